@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
-from .native import blank_split, letters_and_digits, rolling
+from .native import blank_split, letters_and_digits, once, rolling
 
 
 def simhash(grams: Column, weights: Column) -> Column:
@@ -42,8 +42,8 @@ def blocks(fingerprint: Column, radius: int) -> Column:
 
 def item_table(items: DataFrame, key: str, text: str, k: int) -> DataFrame:
     """Per item with at least ``k`` words: n_words, its distinct shingles with weights (1 by the items that hold the shingle), fingerprint."""
-    words = items.select(F.col(key).alias("item_id"), blank_split(letters_and_digits(F.col(text))).alias("words"))
-    grams = words.select("item_id", F.size("words").alias("n_words"), rolling("words", k).alias("gs")).filter(F.size("gs") > 0)
+    words = items.select(F.col(key).alias("item_id"), once(blank_split(letters_and_digits(F.col(text)))).alias("words"))
+    grams = words.select("item_id", F.size("words").alias("n_words"), once(rolling("words", k)).alias("gs")).filter(F.size("gs") > 0)
     # repeated item ids: the row with the smallest shingles stands for all with equal texts; others keep apart by text
     grams = grams.withColumn("item_key", F.xxhash64("item_id", "gs")).dropDuplicates(["item_key"])
     each = grams.select("item_id", "item_key", "n_words", F.posexplode("gs").alias("ipos", "g"))
@@ -77,7 +77,7 @@ def matches(
     mark = F.broadcast if small else lambda x: x
 
     base = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    words = base.select("doc_id", F.xxhash64("t").alias("h"), blank_split(letters_and_digits(F.col("t"))).alias("words"))
+    words = base.select("doc_id", F.xxhash64("t").alias("h"), once(blank_split(letters_and_digits(F.col("t")))).alias("words"))
     hits = words.select("doc_id", "h", rolling("words", k).alias("gs")).select("doc_id", "h", F.posexplode("gs").alias("pos", "g"))
     spots = hits.join(mark(grams), "g").select("doc_id", "h", "item_key", "n_words", F.greatest(F.lit(0), F.col("pos") - F.col("ipos")).alias("start")).distinct()
     spots = spots.groupBy("doc_id", "h").agg(F.collect_list(F.struct("item_key", "n_words", "start")).alias("spots"))
@@ -85,18 +85,18 @@ def matches(
 
     # the documents met, once more, for the shingles of their windows
     on = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.xxhash64("d.t") == F.col("s.h"))
-    met = base.alias("d").join(spots.alias("s"), on).select("d.doc_id", "s.h", "s.spots", blank_split(letters_and_digits(F.col("d.t"))).alias("words"))
-    met = met.withColumn("gs", rolling("words", k)).select("doc_id", "h", "gs", F.explode("spots").alias("x"))
+    met = base.alias("d").join(spots.alias("s"), on).select("d.doc_id", "s.h", "s.spots", once(blank_split(letters_and_digits(F.col("d.t")))).alias("words"))
+    met = met.select("doc_id", "h", "spots", once(rolling("words", k)).alias("gs")).select("doc_id", "h", "gs", F.explode("spots").alias("x"))
     wide = F.col("x.n_words") - (k - 1)
     windows = met.select(
         "doc_id", "h", F.col("x.item_key").alias("item_key"), F.col("x.start").alias("start"),
-        F.array_distinct(F.slice("gs", F.col("x.start") + 1, wide)).alias("win"),
+        once(F.array_distinct(F.slice("gs", F.col("x.start") + 1, wide))).alias("win"),
     ).filter(F.size("win") > 0)
-    windows = windows.withColumn("fp", simhash(F.col("win"), F.array_repeat(F.lit(1.0), F.size("win"))))
+    windows = stage(windows.select("*", once(simhash(F.col("win"), F.array_repeat(F.lit(1.0), F.size("win")))).alias("fp")), "leak-windows")
 
     # multi-index: a window and the item that it was cut for meet where one block is equal
     left = windows.withColumn("block", F.explode(blocks(F.col("fp"), radius)))
-    right = table.select("item_key", "item_id", "n_words", "own", F.col("fp").alias("item_fp")).withColumn("block", F.explode(blocks(F.col("fp"), radius)))
+    right = table.select("item_key", "item_id", "n_words", "own", F.col("fp").alias("item_fp")).withColumn("block", F.explode(blocks(F.col("item_fp"), radius)))
     near = left.join(right, ["item_key", "block"]).withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).filter(F.col("hamming") <= radius)
     near = near.dropDuplicates(["doc_id", "h", "item_key", "start"])
     shared = F.aggregate(F.filter("own", lambda x: F.array_contains(F.col("win"), x["g"])), F.lit(0.0), lambda s, x: s + x["w"])

@@ -15,7 +15,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .native import blank_split, letters_and_digits, phrase_starts, rolling
+from .native import blank_split, letters_and_digits, once, phrase_starts, rolling
 
 #: Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -62,8 +62,8 @@ def template_grams(spark: SparkSession, templates: dict[str, list[str]], k: int)
             raise ValueError(f"template {name} has {n} k-grams; 1 to 63 are possible")
     if len(rows) > 5_000:
         raise ValueError("too many templates to broadcast")
-    words = spark.createDataFrame(rows, "label string, template string, text string").withColumn("words", blank_split(letters_and_digits(F.col("text"))))
-    grams = words.withColumn("gs", rolling("words", k))
+    words = spark.createDataFrame(rows, "label string, template string, text string").select("label", "template", once(blank_split(letters_and_digits(F.col("text")))).alias("words"))
+    grams = words.select("*", once(rolling("words", k)).alias("gs"))
     return grams.select("label", "template", F.size("gs").alias("n_grams"), F.posexplode("gs").alias("tpos", "g"))
 
 
@@ -85,14 +85,14 @@ def scan(
     spark = docs.sparkSession
     base = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     base = base.select("doc_id", F.xxhash64("t").alias("h"), letters_and_digits(F.col("t")).alias("joined"))
-    words = base.withColumn("words", blank_split(F.col("joined")))
+    words = base.select("*", once(blank_split(F.col("joined"))).alias("words"))
 
     grams = F.broadcast(template_grams(spark, templates or TEMPLATES, k))
     hits = words.select("doc_id", "h", rolling("words", k).alias("gs")).select("doc_id", "h", F.posexplode("gs").alias("pos", "g"))
     hits = hits.join(grams, "g").withColumn("diagonal", F.col("pos") - F.col("tpos"))
     spot = ["doc_id", "h", "label", "template", "n_grams"]
     votes = hits.groupBy(*spot, "diagonal").agg(
-        F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("tpos"))).alias("met"), F.min("pos").alias("first"), F.max("pos").alias("last")
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("tpos"))).alias("met"), F.min("pos").alias("first"), F.max("pos").alias("last")
     )
     w = Window.partitionBy("doc_id", "h", "template").orderBy("diagonal")
     runs = votes.withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(w) > drift).cast("int"), F.lit(1)))

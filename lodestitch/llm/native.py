@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def letters_and_digits(text: Column) -> Column:
     """Lower-cased words of ``text`` with one blank between them: runs of 0-9, a-z and characters beyond ASCII."""
-    low = F.lower(F.coalesce(text.cast("string"), F.lit("")))
+    low = F.translate(F.coalesce(text.cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return F.trim(F.regexp_replace(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
 
 
@@ -17,6 +17,11 @@ def blank_split(joined: Column) -> Column:
     return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, " ", -1))
 
 
+def once(value: Column) -> Column:
+    """``value`` as a generated column: computed once per row, never copied into the lambdas that use it."""
+    return F.explode(F.array(value))
+
+
 def rolling(words: str, k: int) -> Column:
     """Hashes of all runs of ``k`` words of the array column ``words``, by start; none for fewer words."""
     n = F.size(words)
