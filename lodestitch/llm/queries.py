@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, licenses, packing, pii, quality_rules, sharding, toxicity
+from . import decontaminate, jaccard, licenses, ngram_models, packing, pii, quality_rules, sharding, toxicity
 from .common import read
 
 
@@ -32,10 +32,19 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return ngram_models.kneser_ney(read(spark, sf_dir, "documents"), trusted)
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_models.suffix_tree(read(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents"))
 
@@ -53,7 +62,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_toxicity": op3_toxicity,
     "op4_decontamination": op4_decontamination,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_pii": op8_pii,
     "op9_quality_rules": op9_quality_rules,
     "op10_licenses": op10_licenses,
