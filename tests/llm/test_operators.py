@@ -1,0 +1,162 @@
+import math
+import re
+import zlib
+from collections import Counter
+
+import pytest
+
+from lodestitch.llm import decontaminate, jaccard, licenses, ngram_models, packing, pii, quality_rules, sharding, toxicity
+from lodestitch.llm.queries import tokenizer_path
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, cid string, words string"
+LONG = " ".join(f"word{i * i % 977}" for i in range(20_000))
+TEXTS = ["", None, "one", "a b c d e f g h", "A b C d e f g h", "a b c d e f g h i", "x\ty\nz  q é", LONG, LONG + " more", "a b c d e f g h"]
+
+
+def table(spark, texts=TEXTS):
+    return spark.createDataFrame([(i, t, None if i == 3 else "en", None if i == 2 else "s", 0, "h", "c", "w") for i, t in enumerate(texts)], SCHEMA)
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
+
+
+def shingles(t, k=4):
+    w = words(t)
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def classes(texts):
+    s = [shingles(t) for t in texts]
+    label = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(s):
+            for j, b in enumerate(s):
+                if a and b and 100 * len(a & b) >= 85 * len(a | b):
+                    label[i] = label[j] = min(label[i], label[j])
+    return {i: (len(s[i]), label[i]) for i in range(len(texts))}
+
+
+def test_jaccard_equals_brute_force(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = [" ".join(base[:i] + ["new"] + base[i + 1 :]) for i in range(0, 60, 7)] + [" ".join(base[i:]) for i in range(12)]
+    texts = TEXTS + near + [" ".join(base[:25] + [f"v{j}{i}" for i in range(n)]) for j, n in enumerate((1, 2, 3, 40))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(table(spark, texts)).collect()}
+    assert got == classes(texts)
+
+
+def test_segments_of_close_sets_meet():
+    import numpy as np
+
+    rng, uppers = np.random.default_rng(1), jaccard.bands(85, 100)
+    for n in [*range(1, 60), 300, 2000]:
+        for _ in range(5):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            cut = rng.integers(0, n * 15 // 100 + 1)
+            b = np.unique(np.append(a[rng.permutation(n)[cut:]], rng.integers(0, 1 << 63, rng.integers(0, n * 9 // 100 + 1), dtype=np.uint64)))
+            both = len(np.intersect1d(a, b))
+            if len(b) and 100 * both >= 85 * (len(a) + len(b) - both):
+                assert set(jaccard.segment_keys(a, 85, 100, uppers).tolist()) & set(jaccard.segment_keys(b, 85, 100, uppers).tolist())
+
+
+def test_packing_round_trip(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    pieces, where = {}, {}
+    for r in packing.pack(table(spark), tokenizer_path(), with_ids=True).collect():
+        pieces.setdefault(r.doc_id, []).append((r.start, list(r.ids)))
+        where.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for i, t in enumerate(TEXTS):
+        assert [x for _, p in sorted(pieces[i]) for x in p] == [*tok.encode(t or "", add_special_tokens=False).ids, 2]
+    for s in where.values():
+        at = 0
+        for offset, n in sorted(s):
+            assert offset == at
+            at += n
+        assert at == 4096 or at & (at - 1) == 0
+
+
+def test_sharding(spark):
+    rows = sharding.interleave(table(spark, TEXTS * 9), n_shards=4).collect()
+    sizes = Counter(r.shard for r in rows)
+    assert len(rows) == 90 and max(sizes.values()) - min(sizes.values()) <= 1
+    for k in range(4):
+        assert sorted(r.slot for r in rows if r.shard == k) == list(range(sizes[k]))
+
+
+def test_suffix_tree_base(spark):
+    texts = TEXTS * 3
+    rows = ngram_models.suffix_tree(table(spark, texts), min_count=2, min_divergence=0.1).collect()
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    c = Counter(w for i, t in enumerate(texts) if not held[i] for w in [*words(t), ""])
+    n, v = sum(c.values()), len(c)
+    for r in rows:
+        mine = [*words(texts[r.doc_id]), ""]
+        assert (r.n_tokens, r.train_tokens, r.held_out, r.n_known) == (len(mine), n, held[r.doc_id], sum(c[w] > 0 for w in mine))
+        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in mine))
+        assert r.score <= 0
+
+
+def test_kneser_ney_prefers_known_text(spark):
+    texts = ["the cat sat on the mat and the dog sat too"] * 30 + ["zq vx kj wp", None]
+    got = {r.doc_id: r for r in ngram_models.kneser_ney(table(spark, texts), spark.range(30).toDF("doc_id")).collect()}
+    assert len(got) == 32 and got[0].kept and got[30].perplexity > 5 * got[0].perplexity and not got[30].kept
+
+
+def test_pii(spark):
+    t = "mail a.b@c.de, card 4539 1488 0343 6467 and +49 (30) 1234-5678, 10.0.0.255 but 10.0.0.256"
+    r = pii.find(table(spark, [t, None, t]), keep_text=True).orderBy("doc_id").collect()
+    assert (r[0].n_email, r[0].n_ip, r[0].n_card, r[0].n_phone) == (1, 1, 1, 1) and r[0].spans == r[2].spans and r[1].spans == ""
+    assert r[0].redacted.startswith("mail <EMAIL>, card <CARD> and <PHONE>, <IP> but")
+    assert pii.redact(table(spark, [t, None])).count() == 2
+
+
+def test_toxicity(spark):
+    texts = [f"the sun is over field {i} " + ("you idiot clown" if i % 4 == 0 else "and all is well") for i in range(200)] + ["", None]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(table(spark, texts), labels).collect()}
+    assert all(got[i].predicted == (i % 4 == 0) for i in range(200)) and got[200].predicted == got[201].predicted == 0
+    assert {r.predicted for r in toxicity.score(table(spark), labels.limit(0)).collect()} == {0}
+
+
+def test_block_max_is_exact():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    vs = [{int(t): float(w) for t, w in zip(rng.permutation(40)[:5], rng.random(5), strict=True)} for _ in range(300)]
+    index = toxicity.BlockMax(vs, 40, 16)
+    for q in vs[:30]:
+        every = sorted(((-sum(w * v.get(t, 0) for t, w in q.items()), i) for i, v in enumerate(vs)))[:10]
+        assert [s for s, _ in index.nearest(q, 10)] == pytest.approx([-s for s, _ in every], abs=1e-5)
+
+
+def test_licenses(spark):
+    t = ["it is CC BY, all rights reserved", "Licensed under the Apache License, Version 2.0 now", None, "by cc"]
+    r = licenses.scan(table(spark, t)).orderBy("doc_id").collect()
+    assert [(x.n_words, x.n_base, x.first_word, x.last_word, x.base_labels) for x in r] == [(7, 2, 2, 4, "cc-by,reserved"), (9, 0, None, None, ""), (0, 0, None, None, ""), (2, 0, None, None, "")]
+    assert r[1].labels == "apache-2.0"
+
+
+def test_decontamination(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    items = spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string")
+    docs = table(spark, ["lead in " + item + " and out", item.upper(), "one two three four five only", None])
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.matches(docs, items).collect()) == [(0, 1), (1, 1)]
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, items).collect()) == [2, 3]
+
+
+def test_quality_rules(spark):
+    r = {x.doc_id: x for x in quality_rules.score(table(spark, ["a b c\na b c\n#|", None, LONG])).collect()}
+    assert (r[0].n_words, r[0].word_chars, r[0].n_symbols, r[0].n_dup_lines, r[0].n_repeat_words, r[0].base_failed) == (7, 8, 2, 1, 6, True)
+    assert r[1].base_failed and not r[1].kept
+
+
+def test_empty_tables(spark):
+    none, labels = table(spark, []), spark.createDataFrame([], "doc_id long, toxic int")
+    items = spark.createDataFrame([], "item_id long, text string")
+    for out in (
+        packing.pack(none, tokenizer_path()), sharding.interleave(none), toxicity.score(none, labels), decontaminate.matches(none, items), decontaminate.matches(table(spark), items),
+        ngram_models.kneser_ney(none, labels), ngram_models.suffix_tree(none), jaccard.join(none), pii.find(none), pii.redact(none), quality_rules.score(none), licenses.scan(none),
+    ):
+        assert out.count() == 0
