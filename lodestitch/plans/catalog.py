@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestitch.operators import candidates, mapping
 
+from . import alignment
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -57,7 +59,7 @@ def metrics_returned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.metrics(rows.filter("confidence >= 0.05"), rows.filter("attribute = 'R'"))
 
 
-QUERIES = {
+QUERIES = alignment.QUERIES | {
     "exact_lexical_pairs": exact_lexical_pairs,
     "jaccard_pairs": jaccard_pairs,
     "xref_direct_pairs": xref_direct_pairs,
@@ -71,7 +73,7 @@ QUERIES = {
 }
 
 _ROWS = "WITH r AS (SELECT l_partkey AS hpo_id, l_suppkey AS sct_id, l_returnflag AS attribute, l_discount AS confidence FROM lineitem) "
-ORACLE_SQL = {
+ORACLE_SQL = alignment.ORACLE_SQL | {
     "exact_lexical_pairs": """SELECT DISTINCT s.p_brand || '/' || s.p_name AS hpo_id, t.p_type || '/' || t.p_name AS sct_id,
         'exact_lexical' AS attribute, CAST(1 AS DOUBLE) AS confidence
         FROM (SELECT DISTINCT p_brand, p_name FROM part) s JOIN (SELECT DISTINCT p_type, p_name FROM part) t ON lower(s.p_name) = lower(trim(upper(t.p_name)))""",
