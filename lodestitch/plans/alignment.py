@@ -7,6 +7,7 @@ region > nation > supplier > part, in which a part has several suppliers.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -124,8 +125,12 @@ def _answers(s: SparkSession, d: str) -> DataFrame:
 
 
 def stub(prompts: list[str]) -> list[str]:
-    """A model that accepts prompts of an even length."""
-    return [json.dumps({"rationale": "length", "decision": "ACCEPT" if len(p) % 2 == 0 else "REJECT", "confidence": 1 + len(p) % 5}) for p in prompts]
+    """A model that accepts candidates whose block has an even length; one answer per candidate id."""
+    out = []
+    for p in prompts:
+        blocks = re.findall(r"^\* ID: (\S+)$(.*?)(?=^---$|\Z)", p, re.M | re.S)
+        out.append(json.dumps({"mappings": [{"sct_id": i, "rationale": "length", "decision": "ACCEPT" if len(b) % 2 == 0 else "REJECT", "confidence": 1 + len(b) % 5} for i, b in blocks]}))
+    return out
 
 
 def review_prompts(s: SparkSession, d: str) -> DataFrame:
@@ -137,8 +142,8 @@ def review_prompts(s: SparkSession, d: str) -> DataFrame:
 
 
 def review_stub(s: SparkSession, d: str) -> DataFrame:
-    got = review.generate(review_prompts(s, d), stub, "stub")
-    return review.parse_pair(got.filter("llm_pass = 1")).drop("prompt")
+    """Decisions of the stub on every reviewed pair, both passes."""
+    return review.parse_group(review.select_pairs(rows(s, d)), review.generate(review_prompts(s, d), stub, "stub"))
 
 
 GOLD_ROWS = [("H1", "12345 |Seizure|"), ("H2", "123456789012345678"), ("H3", "1:2=3"), ("H4", "1+2"), ("H5", "1.2E+08"), ("H6", "1.5"), ("H7", "abc"), ("H8", "0"), ("H9", "-3"), ("H10", "007"), ("H11", "12.0")]

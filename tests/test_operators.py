@@ -116,6 +116,13 @@ def test_answers(spark, tmp_path):
     assert sorted(first) == sorted(again) and spark.read.parquet(store).count() == 2
 
 
+def test_every_selected_pair_is_decided(spark):
+    sf = "/root/testdata/sf0.001"
+    got = alignment.review_stub(spark, sf).toPandas()
+    assert len(got) == review.select_pairs(alignment.rows(spark, sf)).count() > 0
+    assert not got["unusable"].any() and set(got["llm_decision"]) == {"ACCEPT", "REJECT"}
+
+
 def test_children_text(spark):
     df = spark.createDataFrame([([f"c{i}" for i in range(12)],), (["c"],), ([],)], "l array<string>")
     got = [r[0] for r in df.select(text.children_text(df.l)).collect()]
