@@ -1,15 +1,17 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-The examples are a bounded sample of the labelled rows (``max_examples``, by the hash of their ids), the
-vocabulary the ``max_terms`` terms whose presence goes with the label most (log-likelihood ratio). Both bounds
-are parameters, so the index that goes to every task is bounded too. Examples are sorted by their leading term
-and cut into blocks; a block keeps the largest weight of each term. A query visits blocks by falling upper
-bound and stops when no block can beat its k-th neighbour: the neighbours are exact. Votes weigh by
-similarity; a logistic fit to leave-one-out votes of the examples calibrates them.
+Equal labelled texts count once in the statistics and are one example; of their votes three count at most. The examples are a bounded
+sample of them (``max_examples`` a label, by the hash of the text); all their terms are in the index. A term
+weighs its IDF, times one plus the gain (log-likelihood ratio) of its presence if it goes with the label, so no
+term drops out. Examples are sorted by their leading term and cut into blocks; a block keeps the largest weight
+of each term. A query visits blocks by falling upper bound and leaves out those that can't beat its k-th
+neighbour: the neighbours are exact. Votes weigh by similarity; a logistic fit to leave-one-out votes of the
+examples calibrates them.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
@@ -20,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stage
+
 _WORD = re.compile(r"\w+")
 
 
@@ -33,61 +37,83 @@ class BlockMax:
     def __init__(self, vectors: list[dict[int, float]], n_terms: int, block: int = 64):
         self.n, self.block = len(vectors), block
         self.order = sorted(range(self.n), key=lambda i: (max(vectors[i], key=vectors[i].get, default=-1), i))
-        self.blocks = []
         n_blocks = -(-self.n // block)
         self.most = np.zeros((n_terms, n_blocks), np.float32)
-        for b in range(n_blocks):
-            rows = self.order[b * block : (b + 1) * block]
-            postings: dict[int, tuple[list[int], list[float]]] = {}
-            for r, i in enumerate(rows):
-                for t, w in vectors[i].items():
-                    at, ws = postings.setdefault(t, ([], []))
-                    at.append(r)
-                    ws.append(w)
-                    self.most[t, b] = max(self.most[t, b], w)
-            self.blocks.append((np.array(rows), {t: (np.array(a), np.array(w)) for t, (a, w) in postings.items()}))
+        rows = [(t, r, w) for r, i in enumerate(self.order) for t, w in vectors[i].items()]
+        t, self.at = (np.array([x[j] for x in rows], np.int64) for j in (0, 1))
+        self.w = np.array([x[2] for x in rows], np.float64)
+        by_term = np.lexsort((self.at, t))
+        t, self.at, self.w = t[by_term], self.at[by_term], self.w[by_term]
+        np.maximum.at(self.most, (t, self.at // block), np.nextafter(self.w.astype(np.float32), np.float32(np.inf)))
+        self.first = np.searchsorted(t * n_blocks + self.at // block, np.arange(n_terms * n_blocks + 1)).astype(np.int32)
+        # terms that many examples share are rows of a matrix, the others have postings
+        often = np.flatnonzero(np.bincount(t, minlength=n_terms) * 20 >= self.n) if self.n else np.zeros(0, np.int64)
+        self.row = np.full(n_terms, -1, np.int32)
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), n_blocks * block), np.float32)
+        held = self.row[t] >= 0
+        self.dense[self.row[t[held]], self.at[held]] = self.w[held]
+        self.order = np.array(self.order, np.int64)
+        self.dense = self.dense.reshape(len(often), n_blocks, block)
+
+    def similar(self, t: np.ndarray, w: np.ndarray, blocks: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """(-similarity, example) of the examples in ``blocks`` that share a term: the best ``k`` and ties."""
+        row = self.row[t]
+        held, rare = row >= 0, np.flatnonzero(row < 0)
+        sims = np.zeros((self.most.shape[1], self.block))
+        if held.any():
+            part = self.dense[row[held]] if len(blocks) * 2 > len(sims) else self.dense[row[held][:, None], blocks]
+            got = (w[held].astype(np.float32) @ part.reshape(len(part), -1)).reshape(-1, self.block)
+            sims[blocks] = got[blocks] if len(got) == len(sims) else got
+        cell = (t[rare][:, None] * len(sims) + blocks).ravel()
+        n = self.first[cell + 1] - self.first[cell]
+        some = np.flatnonzero(n)
+        cell, n = cell[some], n[some]
+        at = np.repeat(self.first[cell] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        sims = sims.ravel() + np.bincount(self.at[at], np.repeat(w[rare[some // len(blocks)]], n) * self.w[at], sims.size)
+        least = np.partition(sims, -k)[-k] if k < sims.size else 0.0
+        hit = np.flatnonzero((sims > 0) & (sims >= least))
+        return [(-x, i) for x, i in zip(sims[hit].tolist(), self.order[hit].tolist(), strict=True)]
 
     def nearest(self, q: dict[int, float], k: int) -> list[tuple[float, int]]:
         """(similarity, example), best first; ties by the smaller example. Examples without a shared term are left out."""
         if not q or not self.n:
             return []
-        t, w = list(q), np.fromiter(q.values(), np.float32)
-        bound = w @ self.most[t]
+        t, w = np.fromiter(q, np.int64), np.fromiter(q.values(), np.float64)
+        bound = w.astype(np.float32) @ self.most[t]
+        left = np.argsort(-bound, kind="stable")
+        left = left[bound[left] > 0]
         found: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(found) >= k and bound[b] * 1.00001 < -found[k - 1][0]:
-                break
-            rows, postings = self.blocks[b]
-            sims = np.zeros(len(rows))
-            for x, y in q.items():
-                if x in postings:
-                    at, ws = postings[x]
-                    sims[at] += y * ws
-            hit = np.flatnonzero(sims > 0)
-            found = sorted([*found, *zip((-sims[hit]).tolist(), rows[hit].tolist(), strict=True)])[:k]
+        size = 4
+        while len(left):
+            found = heapq.nsmallest(k, [*found, *self.similar(t, w, left[:size], k)])
+            left, size = left[size:], len(left)
+            if len(found) >= k:
+                left = left[bound[left] * 1.00001 >= -found[-1][0]]
         return [(-s, i) for s, i in found]
 
 
 class Model:
-    def __init__(self, examples: list[tuple[str, int]], idf: dict[str, float], k: int):
-        self.ids = {t: i for i, t in enumerate(sorted(idf))}
-        self.idf = np.array([idf[t] for t in sorted(idf)])
+    def __init__(self, examples: list[tuple[dict[str, int], float, float]], weights: dict[str, float], k: int):
+        self.ids = {t: i for i, t in enumerate(sorted(weights))}
+        self.weights = [weights[t] for t in self.ids]
         self.k = k
-        groups: dict[tuple, list[int]] = {}
-        for text, y in examples:
-            v = self.vector(text)
-            groups.setdefault(tuple(sorted((t, round(w, 6)) for t, w in v.items())), [0, 0])[y] += 1
-        self.bare = groups.pop((), [0, 0])
+        groups: dict[tuple, np.ndarray] = {}
+        for said, y, n in examples:
+            v = self.vector(said)
+            groups.setdefault(tuple(sorted((t, round(w, 6)) for t, w in v.items())), np.zeros(2))[:] += (n * (1 - y), n * y)
+        self.bare = groups.pop((), np.zeros(2))
         self.votes = np.array(list(groups.values()), float).reshape(-1, 2)
         vectors = [dict(g) for g in groups]
-        self.index = BlockMax(vectors, len(idf))
+        self.index = BlockMax(vectors, len(weights))
         total = self.votes.sum(0) + self.bare
         self.prior = (total[1] + 0.5) / (total.sum() + 1)
         xs, ys, ws = [], [], []
         for i, v in enumerate(vectors):
+            x = self.raw(self.index.nearest(v, self.k + 1), i)
             for y in (0, 1):
                 if self.votes[i, y]:
-                    xs.append(self.raw(v, (i, y)))
+                    xs.append(x)
                     ys.append(y)
                     ws.append(self.votes[i, y])
         a, b = 1.0, 0.0
@@ -101,77 +127,80 @@ class Model:
                 a, b = a - step[0], b - step[1]
         self.a, self.b = (a, b) if a > 0 else (1.0, 0.0)
 
-    def vector(self, text: str) -> dict[int, float]:
-        ids = self.ids
-        v = {ids[t]: (1 + math.log(n)) * self.idf[ids[t]] for t, n in terms(text).items() if t in ids}
+    def vector(self, said: dict[str, int]) -> dict[int, float]:
+        ids, weights = self.ids, self.weights
+        v = {ids[t]: (1 + math.log(n)) * weights[ids[t]] for t, n in said.items() if t in ids}
         norm = math.sqrt(sum(w * w for w in v.values()))
-        return {t: float(w / norm) for t, w in v.items()}
+        return {t: w / norm for t, w in v.items()}
 
-    def raw(self, v: dict[int, float], left_out: tuple[int, int] | None = None) -> float:
+    def raw(self, near: list[tuple[float, int]], left_out: int = -1) -> float:
         """Log odds of the votes of the nearest examples, with the prior as one vote."""
         up, down = self.prior, 1 - self.prior
-        for s, i in self.index.nearest(v, self.k):
+        for s, i in [x for x in near if x[1] != left_out][: self.k]:
             neg, pos = self.votes[i]
-            if left_out and left_out[0] == i:
-                neg, pos = neg - (left_out[1] == 0), pos - left_out[1]
-            if neg + pos > 0:
-                w = s**2 * min(3.0, neg + pos) / (neg + pos)
-                down, up = down + w * neg, up + w * pos
+            w = s**2 * min(3.0, neg + pos) / (neg + pos)
+            down, up = down + w * neg, up + w * pos
         return math.log(up / down)
 
     def score(self, text: str) -> tuple[float, str]:
-        v = self.vector(text)
+        v = self.vector(terms(text))
         if not v:
             return (self.bare[1] + self.prior) / (sum(self.bare) + 1), ""
-        said = ",".join(f"{i}:{s:.3f}" for s, i in self.index.nearest(v, 3))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.a * self.raw(v) + self.b)))), said
+        near = self.index.nearest(v, max(3, self.k))
+        said = ",".join(f"{i}:{s:.3f}" for s, i in near[:3])
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.a * self.raw(near) + self.b)))), said
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, max_rows: int, max_examples: int, max_terms: int, k: int) -> Model:
-    """A model from the labelled rows whose crc32(key) mod 3 isn't 1: at most ``max_rows`` of each label."""
+def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, max_rows: int, max_examples: int, k: int) -> Model:
+    """A model from the labelled rows whose crc32(key) mod 3 isn't 1: at most ``max_rows`` texts of each label."""
     known = labels.filter(F.col("toxic").isin(0, 1) & (F.crc32(F.col(key).cast("string").cast("binary")) % 3 != 1))
-    known = known.groupBy(F.col(key).alias("id")).agg(F.max("toxic").cast("int").alias("y"))
-    picked = known.filter("y = 0").orderBy(F.xxhash64("id"), "id").limit(max_rows).union(known.filter("y = 1").orderBy(F.xxhash64("id"), "id").limit(max_rows))
-    rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).join(F.broadcast(picked), "id")
+    known = known.groupBy(F.col(key).alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    every = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
+    texts = every.select("id", "h").join(known, "id").groupBy("h").agg(F.min("id").alias("id"), F.avg("toxic").alias("share"), F.least(F.count(F.lit(1)), F.lit(3)).cast("double").alias("copies"))
+    texts = stage(texts.withColumn("y", (F.col("share") >= 0.5).cast("int")), "toxic-texts")
+
+    def sample(df: DataFrame, n: int) -> DataFrame:
+        return df.filter("y = 0").orderBy("h").limit(n).union(df.filter("y = 1").orderBy("h").limit(n))
+
+    rows = stage(every.join(F.broadcast(sample(texts, max_rows)), ["id", "h"]).dropDuplicates(["h"]), "toxic-rows")
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            said = [terms(x) for x in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([" ".join(x) for x in said], pa.string()), pa.array([list(x.values()) for x in said], pa.list_(pa.int32())), *b.columns[1:]], ["t", "n", "share", "copies"])
+
+    got = sample(rows, max_examples).select("t", "share", "copies").mapInArrow(project, "t string, n array<int>, share double, copies double").collect()
+    examples = sorted(((dict(zip(r["t"].split(), r["n"], strict=True)), r["share"], r["copies"]) for r in got), key=lambda x: (sorted(x[0].items()), *x[1:]))
+    used = docs.sparkSession.sparkContext.broadcast({t for said, _, _ in examples for t in said})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen: tuple[Counter, Counter] = (Counter(), Counter())
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen[y].update(set(terms(t)))
-            every = list(seen[0] | seen[1])
-            yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *(pa.array([s[t] for t in every], pa.int64()) for s in seen)], ["term", "n0", "n1"])
+                seen[y].update(set(terms(t)) & used.value)
+            found = list(seen[0] | seen[1])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *(pa.array([s[t] for t in found], pa.int64()) for s in seen)], ["term", "n0", "n1"])
 
     size = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     all0, all1 = size.get(0, 0), size.get(1, 0)
     counts = rows.select("t", "y").mapInArrow(count, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
-    def part(n: str, of: int) -> str:
-        share = f"((n0 + n1) / {max(1, all0 + all1)}D * {max(1, of)}D)"
-        return f"if({n} > 0, {n} * ln({n} / {share}), 0)"
-
-    gain = F.expr(f"2 * ({part('n0', all0)} + {part('n1', all1)})")
-    best = counts.withColumn("gain", gain).filter(f"gain > 10.83 and n1 / {max(1, all1)}D > n0 / {max(1, all0)}D").orderBy(F.desc("gain"), "term").limit(max_terms).collect()
-    idf = {r["term"]: math.log(1 + (all0 + all1) / (r["n0"] + r["n1"])) for r in best}
-    few = rows.filter("y = 0").orderBy(F.xxhash64("id"), "id").limit(max_examples).union(rows.filter("y = 1").orderBy(F.xxhash64("id"), "id").limit(max_examples))
-
-    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:  # only the words of the vocabulary leave the task
-            said = [" ".join(w for t, n in terms(x).items() if t in idf for w in [t] * min(n, 20)) for x in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(said, pa.string()), b.column(1)], ["t", "y"])
+    def weight(n0: int, n1: int) -> float:
+        share = (n0 + n1) / (all0 + all1)
+        gain = 2 * sum(n * math.log(n / (share * of)) for n, of in ((n0, all0), (n1, all1)) if n)
+        return math.log(1 + 1 / share) * (1 + gain * (n1 * all0 > n0 * all1))
 
-    got = few.select("t", "y").mapInArrow(project, "t string, y int").collect()
-    return Model(sorted((r["t"], r["y"]) for r in got), idf, k)
+    return Model(examples, {r["term"]: weight(r["n0"], r["n1"]) for r in counts.collect()}, k)
 
 
-def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.7, max_rows: int = 4000, max_examples: int = 1500, max_terms: int = 400, k: int = 15) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.7, max_rows: int = 4000, max_examples: int = 1500, k: int = 15) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence (nearest examples) per row of ``docs``.
 
-    A null or empty text scores like examples without any term of the vocabulary. Without labels every row gets
+    A null or empty text scores like examples without any term. Without labels every row gets
     the prior, one half. A row labelled twice counts as toxic if one of its labels says so. Repeated rows give
     equal rows, an empty table no rows; extra columns are ignored.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, key, text, max_rows, max_examples, max_terms, k))
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, key, text, max_rows, max_examples, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value

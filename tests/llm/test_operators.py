@@ -120,6 +120,14 @@ def test_toxicity(spark):
     assert {r.predicted for r in toxicity.score(table(spark), labels.limit(0)).collect()} == {0}
 
 
+def test_toxicity_keeps_all_terms_under_copies(spark):
+    copy = " ".join(f"odd{j}" for j in range(600))
+    texts = [f"the sun is over field {i} " + ("you idiot clown" if i % 8 == 0 else "and all is well") for i in range(200)] + [copy] * 100
+    labels = spark.createDataFrame([(i, int(i % 8 == 0 or i >= 200)) for i in range(300)], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.score(table(spark, texts), labels).collect()}
+    assert got == {i: int(i % 8 == 0 or i >= 200) for i in range(300)}
+
+
 def test_block_max_is_exact():
     import numpy as np
 
