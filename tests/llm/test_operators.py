@@ -98,6 +98,12 @@ def test_suffix_tree_base(spark):
         assert r.score <= 0
 
 
+def test_suffix_tree_uses_rare_contexts(spark):
+    texts = [f"alpha{i % 20} beta{i % 20} gamma{i % 20} delta{i % 20}" for i in range(100)]
+    held = [r for r in ngram_models.suffix_tree(table(spark, texts)).collect() if r.held_out]
+    assert held and all(r.score > 0.6 * r.base_score for r in held)
+
+
 def test_kneser_ney_prefers_known_text(spark):
     texts = ["the cat sat on the mat and the dog sat too"] * 30 + ["zq vx kj wp", None]
     got = {r.doc_id: r for r in ngram_models.kneser_ney(table(spark, texts), spark.range(30).toDF("doc_id")).collect()}
