@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 
+import corpus_pipeline
 from lodestitch.llm import decontaminate, jaccard, licenses, ngram_models, packing, pii, quality_rules, sharding, toxicity
 from lodestitch.llm.queries import tokenizer_path
 
@@ -45,6 +46,12 @@ def test_jaccard_equals_brute_force(spark):
     assert got == classes(texts)
 
 
+def test_pipeline_drops_near_copies_of_five_words(spark):
+    base = [f"w{i}" for i in range(50)]
+    docs = table(spark, [" ".join(base), " ".join(base[:25] + ["new"] + base[26:])])
+    assert [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()] == [0]
+
+
 def test_segments_of_close_sets_meet():
     import numpy as np
 
