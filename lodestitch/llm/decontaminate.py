@@ -4,7 +4,11 @@ A window as similar as asked for shares a shingle with its item, so windows are
 shingle of an item: the window starts where the item would start, and is as long as the item. Other windows
 can't pass and aren't fingerprinted. Window and item fingerprints of 64 bits are compared by a multi-index:
 ``radius + 1`` bit blocks, of which any two fingerprints within the radius share one (pigeonhole). Pairs within
-the radius are verified by exact weighted similarity of their shingles.
+the radius are verified by exact similarity of their shingles, weighted or plain, whichever is greater.
+
+A shingle weighs 1 by the distinct item texts that hold it, in items and windows alike; one that no item holds
+weighs as much as the item's shingles do on average. Fingerprints take the roots of the weights, so that a
+weighted similarity bounds their angle.
 
 The shingles of the items are broadcast while they number at most ``broadcast_grams``; beyond that the joins
 shuffle by shingle.
@@ -41,16 +45,16 @@ def blocks(fingerprint: Column, radius: int) -> Column:
 
 
 def item_table(items: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """Per item with at least ``k`` words: n_words, its distinct shingles with weights (1 by the items that hold the shingle), fingerprint."""
+    """Per item with at least ``k`` words: n_words, its distinct shingles with weights (1 by the distinct texts that hold the shingle), their mean weight, fingerprint."""
     words = items.select(F.col(key).alias("item_id"), once(blank_split(letters_and_digits(F.col(text)))).alias("words"))
     grams = words.select("item_id", F.size("words").alias("n_words"), once(rolling("words", k)).alias("gs")).filter(F.size("gs") > 0)
     # repeated item ids: the row with the smallest shingles stands for all with equal texts; others keep apart by text
     grams = grams.withColumn("item_key", F.xxhash64("item_id", "gs")).dropDuplicates(["item_key"])
-    each = grams.select("item_id", "item_key", "n_words", F.posexplode("gs").alias("ipos", "g"))
-    df = each.groupBy("g").agg((1.0 / F.countDistinct("item_key")).alias("w"))
+    each = grams.select("item_id", "item_key", "n_words", F.xxhash64("gs").alias("text_key"), F.posexplode("gs").alias("ipos", "g"))
+    df = each.groupBy("g").agg((1.0 / F.countDistinct("text_key")).alias("w"))
     own = each.groupBy("item_key", "item_id", "n_words", "g").agg(F.min("ipos").alias("ipos")).join(df, "g")
-    table = own.groupBy("item_key", "item_id", "n_words").agg(F.sort_array(F.collect_list(F.struct("ipos", "g", "w"))).alias("own"))
-    return table.withColumn("fp", simhash(F.col("own.g"), F.col("own.w")))
+    table = own.groupBy("item_key", "item_id", "n_words").agg(F.sort_array(F.collect_list(F.struct("ipos", "g", "w"))).alias("own"), F.avg("w").alias("unseen"))
+    return table.withColumn("fp", simhash(F.col("own.g"), F.transform("own.w", F.sqrt)))
 
 
 def matches(
@@ -58,7 +62,7 @@ def matches(
     items: DataFrame,
     k: int = 5,
     min_similarity: float = 0.8,
-    radius: int = 19,
+    radius: int = 26,
     key: str = "doc_id",
     text: str = "text",
     item_key: str = "item_id",
@@ -72,27 +76,32 @@ def matches(
     tables give no rows; extra columns are ignored. Ties in similarity: the smallest start.
     """
     table = stage(item_table(items, item_key, item_text, k), "leak-items")
-    grams = table.select("item_key", "n_words", F.explode("own").alias("x")).select("item_key", "n_words", F.col("x.ipos").alias("ipos"), F.col("x.g").alias("g"))
+    grams = table.select("item_key", "n_words", "unseen", F.explode("own").alias("x")).select("item_key", "n_words", "unseen", F.col("x.w").alias("w"), F.col("x.ipos").alias("ipos"), F.col("x.g").alias("g"))
     small = grams.count() <= broadcast_grams
     mark = F.broadcast if small else lambda x: x
 
     base = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     words = base.select("doc_id", F.xxhash64("t").alias("h"), once(blank_split(letters_and_digits(F.col("t")))).alias("words"))
     hits = words.select("doc_id", "h", rolling("words", k).alias("gs")).select("doc_id", "h", F.posexplode("gs").alias("pos", "g"))
-    spots = hits.join(mark(grams), "g").select("doc_id", "h", "item_key", "n_words", F.greatest(F.lit(0), F.col("pos") - F.col("ipos")).alias("start")).distinct()
-    spots = spots.groupBy("doc_id", "h").agg(F.collect_list(F.struct("item_key", "n_words", "start")).alias("spots"))
+    start = F.greatest(F.lit(0), F.col("pos") - F.col("ipos")).alias("start")
+    spots = hits.join(mark(grams), "g").groupBy("doc_id", "h").agg(
+        F.collect_set(F.struct("item_key", "n_words", "unseen", start)).alias("spots"), F.collect_set(F.struct("g", "w")).alias("known")
+    )
     spots = stage(spots, "leak-spots")
 
     # the documents met, once more, for the shingles of their windows
     on = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.xxhash64("d.t") == F.col("s.h"))
-    met = base.alias("d").join(spots.alias("s"), on).select("d.doc_id", "s.h", "s.spots", once(blank_split(letters_and_digits(F.col("d.t")))).alias("words"))
-    met = met.select("doc_id", "h", "spots", once(rolling("words", k)).alias("gs")).select("doc_id", "h", "gs", F.explode("spots").alias("x"))
+    met = base.alias("d").join(spots.alias("s"), on).select("d.doc_id", "s.h", "s.spots", "s.known", once(blank_split(letters_and_digits(F.col("d.t")))).alias("words"))
+    met = met.select("doc_id", "h", "spots", once(F.map_from_entries("known")).alias("known"), "words").select("doc_id", "h", "spots", "known", once(rolling("words", k)).alias("gs")).select("doc_id", "h", "known", "gs", F.explode("spots").alias("x"))
     wide = F.col("x.n_words") - (k - 1)
     windows = met.select(
-        "doc_id", "h", F.col("x.item_key").alias("item_key"), F.col("x.start").alias("start"),
+        "doc_id", "h", "known", F.col("x.unseen").alias("unseen"), F.col("x.item_key").alias("item_key"), F.col("x.start").alias("start"),
         once(F.array_distinct(F.slice("gs", F.col("x.start") + 1, wide))).alias("win"),
     ).filter(F.size("win") > 0)
-    windows = stage(windows.select("*", once(simhash(F.col("win"), F.array_repeat(F.lit(1.0), F.size("win")))).alias("fp")), "leak-windows")
+    weighed = F.transform("win", lambda g: F.coalesce(F.try_element_at("known", g), F.col("unseen")))
+    windows = windows.select("doc_id", "h", "item_key", "start", "win", once(weighed).alias("ws"))
+    windows = windows.select("*", once(simhash(F.col("win"), F.transform("ws", F.sqrt))).alias("fp"), F.aggregate("ws", F.lit(0.0), lambda s, x: s + x).alias("win_w"))
+    windows = stage(windows.drop("ws"), "leak-windows")
 
     # multi-index: a window and the item that it was cut for meet where one block is equal
     left = windows.withColumn("block", F.explode(blocks(F.col("fp"), radius)))
@@ -102,7 +111,9 @@ def matches(
     shared = F.aggregate(F.filter("own", lambda x: F.array_contains(F.col("win"), x["g"])), F.lit(0.0), lambda s, x: s + x["w"])
     total = F.aggregate("own", F.lit(0.0), lambda s, x: s + x["w"])
     n_shared = F.size(F.array_intersect(F.col("own.g"), F.col("win")))
-    near = near.withColumn("similarity", shared / (total + F.size("win") - n_shared)).filter(F.col("similarity") >= min_similarity - 1e-9)
+    near = near.withColumns({"shared": shared, "total": total, "n": n_shared})
+    plain = F.col("n") / (F.size("own") + F.size("win") - F.col("n"))
+    near = near.withColumn("similarity", F.greatest(F.col("shared") / (F.col("total") + F.col("win_w") - F.col("shared")), plain)).filter(F.col("similarity") >= min_similarity - 1e-9)
     best = near.groupBy("doc_id", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start", "n_words", "hamming")).alias("x"))
     return best.select("doc_id", "item_id", F.col("x.start").alias("start_word"), F.col("x.n_words").alias("n_words"), F.col("x.hamming").alias("hamming"), F.round(-F.col("x.s"), 9).alias("similarity"))
 

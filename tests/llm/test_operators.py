@@ -167,6 +167,15 @@ def test_decontamination(spark):
     assert sorted(r.doc_id for r in decontaminate.clean(docs, items).collect()) == [2, 3]
 
 
+def test_decontamination_of_items_that_share_shingles(spark):
+    head, own = [f"h{i}" for i in range(29)], [[f"t{j}x{i}" for i in range(29)] for j in range(5)]
+    twice = [f"w{i}" for i in range(58)]
+    items = [(j, " ".join(head + own[j])) for j in range(5)] + [(10 + j, " ".join(twice)) for j in range(3)]
+    docs = [" ".join([*(head + own[0])[:45], "new", *(head + own[0])[46:]]), " ".join([*twice[:30], "new", *twice[31:]])]
+    got = decontaminate.matches(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(0, 0), (1, 10), (1, 11), (1, 12)]
+
+
 def test_quality_rules(spark):
     r = {x.doc_id: x for x in quality_rules.score(table(spark, ["a b c\na b c\n#|", None, LONG])).collect()}
     assert (r[0].n_words, r[0].word_chars, r[0].n_symbols, r[0].n_dup_lines, r[0].n_repeat_words, r[0].base_failed) == (7, 8, 2, 1, 6, True)
