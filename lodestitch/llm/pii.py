@@ -3,7 +3,9 @@
 Four patterns give certain spans. The field labels the other candidate tokens (at least six digits, or an @):
 unary potentials are the log odds of a token's shape, counted over all documents with the patterns' spans as
 labels; neighbours share a chain potential; a token and its next repetition (same letters and digits) share a
-skip potential. Loopy message passing makes labels agree across a document, and tokens that are then certain
+skip potential. What repeats a certain span in another notation (same letters and digits, or a number's digits in
+one or several tokens, also without its country code) is tied to it by the nats of so many equal characters by
+chance; its unary odds are floored, since patterns miss whole notations. Loopy message passing makes labels agree across a document, and tokens that are then certain
 enough are added as spans. Shapes come from a fixed product of features (at most 1,440), so the counts that
 reach the driver are bounded. A document is held by one task; everything is linear in its length.
 """
@@ -11,6 +13,7 @@ reach the driver are bounded. A document is held by one task; everything is line
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -94,6 +97,46 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+_NUMBER = re.compile(r"[0-9]+(?:[ ().+/-]{1,3}[0-9]+)*+")
+_FLOOR = -10.0
+
+
+def number_keys(digits: str, kind: int) -> list[str]:
+    """The digits of a card or phone number; a phone number's also without a country code of one to three digits."""
+    digits = digits.lstrip("0")
+    return [digits, *(digits[c:].lstrip("0") for c in (1, 2, 3) if kind == 3 and len(digits[c:].lstrip("0")) >= 9)]
+
+
+def repeats(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(start, end, kind, equal digits) of numbers outside ``spans`` that a card or phone span has too."""
+    known: dict[str, int] = {}
+    for a, k, b in spans:
+        if k in (2, 3):
+            for d in number_keys("".join(_DIGIT.findall(text[a:b])), k):
+                known.setdefault(d, k)
+    out, j = [], 0
+    for m in _NUMBER.finditer(text) if known else ():
+        groups = [(m.start() + g.start(), m.start() + g.end(), g[0]) for g in re.finditer("[0-9]+", m[0])]
+        i = 0
+        while i < len(groups):
+            said, best = "", None
+            for n in range(i, len(groups)):
+                said += groups[n][2]
+                if len(said) > 24:
+                    break
+                if (d := said.lstrip("0")) in known:
+                    best = n, known[d], len(d)
+            if best:
+                a, b = groups[i][0], groups[best[0]][1]
+                while j < len(spans) and spans[j][2] <= a:
+                    j += 1
+                if j == len(spans) or spans[j][0] >= b:
+                    out.append((a, b, best[1], best[2]))
+                i = best[0]
+            i += 1
+    return out
+
+
 def labels_of(tokens: list[tuple[int, int, str]], spans: list[tuple[int, int, int]]) -> list[int]:
     """The kind (1 on) of the span that overlaps each token, else 0; both sides are in order of their starts."""
     out, j, open_ = [], 0, []
@@ -106,13 +149,13 @@ def labels_of(tokens: list[tuple[int, int, str]], spans: list[tuple[int, int, in
     return out
 
 
-def infer(unary: np.ndarray, chain: list[tuple[int, int]], skip: list[tuple[int, int]], w_chain: float, w_skip: float, rounds: int = 8) -> np.ndarray:
+def infer(unary: np.ndarray, chain: list[tuple[int, int]], skip: list[tuple[int, int]], w_chain: float, w_skip: float | list[float], rounds: int = 8) -> np.ndarray:
     """Marginals by damped loopy belief propagation; Potts potentials on both kinds of edges."""
     edges = np.array([*chain, *skip], int).reshape(-1, 2)
     if not len(edges):
         b = np.exp(unary - unary.max(1, keepdims=True))
         return b / b.sum(1, keepdims=True)
-    same = np.exp(np.array([w_chain] * len(chain) + [w_skip] * len(skip)))
+    same = np.exp(np.array([w_chain] * len(chain) + (w_skip if isinstance(w_skip, list) else [w_skip] * len(skip))))
     src, dst = np.concatenate((edges[:, 0], edges[:, 1])), np.concatenate((edges[:, 1], edges[:, 0]))
     back = np.concatenate((np.arange(len(edges)) + len(edges), np.arange(len(edges))))
     same = np.concatenate((same, same))[:, None]
@@ -166,6 +209,11 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", min_probabili
     def one(t: str) -> tuple:
         base = base_spans(t)
         tokens = candidates(t)
+        again = repeats(t, base)
+        if again:  # a repeated number is one candidate, in place of the tokens that it meets
+            met = labels_of(tokens, [(a, 0, b) for a, b, *_ in again])
+            given = labels_of(tokens, base)
+            tokens = sorted([*(x for x, y, z in zip(tokens, met, given, strict=True) if not y or z), *((a, b, t[a:b]) for a, b, *_ in again)])
         spans = base
         if tokens:
             given = labels_of(tokens, base)
@@ -182,7 +230,23 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", min_probabili
                     if c in last:
                         skip.append((last[c], i))
                     last[c] = i
-                p = infer(unary, chain, skip, w_chain, w_skip)
+                # ties to certain spans, each of which is a certain node at the end
+                ties = [(kind, n) for *_, kind, n in again]
+                at = {(a, b): i for i, (a, b, *_) in enumerate(again)}
+                cores = {_CORE.sub("", t[a:b]).lower(): k + 1 for a, k, b in base}
+                cores.update((_CORE.sub("", x[2]).lower(), y) for x, y in zip(tokens, given, strict=True) if y)
+                weights, extra = [w_skip] * len(skip), []
+                for i, x in enumerate(tokens):
+                    c = _CORE.sub("", x[2]).lower()
+                    kind, n = (ties[at[x[:2]]][0] + 1, ties[at[x[:2]]][1]) if x[:2] in at else (cores.get(c, 0), len(c))
+                    if kind and not given[i]:
+                        unary[i] = np.maximum(unary[i], _FLOOR)
+                        node = np.full(len(LABELS), -30.0)
+                        node[kind] = 0.0
+                        skip.append((i, len(tokens) + len(extra)))
+                        extra.append(node)
+                        weights.append(min(25.0, w_skip + math.log(10) * n))
+                p = infer(np.vstack([unary, *extra]), chain, skip, w_chain, weights)[: len(tokens)]
                 best = p.argmax(1)
                 spans = sorted([*base, *((x[0], int(best[i]) - 1, x[1]) for i, x in enumerate(tokens) if not given[i] and best[i] and p[i, best[i]] >= min_probability)])
         n = Counter(s[1] for s in base)

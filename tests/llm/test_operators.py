@@ -125,6 +125,13 @@ def test_pii(spark):
     assert pii.redact(table(spark, [t, None])).count() == 2
 
 
+def test_pii_finds_a_number_in_another_notation(spark):
+    texts = ["call +442079460958 now", "call +442079460958 or 442079460958 or 44 20 7946 0958 or 020-7946-0958 or 442079460959"] + [f"item 4420{i:08d} x" for i in range(100)]
+    r = pii.find(table(spark, texts), keep_text=True).orderBy("doc_id").collect()
+    assert r[1].redacted == "call <PHONE> or <PHONE> or <PHONE> or <PHONE> or 442079460959" and r[1].n_phone == 1
+    assert all(x.spans == "" for x in r[2:])
+
+
 def test_toxicity(spark):
     texts = [f"the sun is over field {i} " + ("you idiot clown" if i % 4 == 0 else "and all is well") for i in range(200)] + ["", None]
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
