@@ -85,6 +85,13 @@ def cosine_pairs(s: SparkSession, d: str) -> DataFrame:
     return out.withColumn("confidence", F.round("confidence", 4))
 
 
+def cosine_pairs_all(s: SparkSession, d: str) -> DataFrame:
+    """All pairs of different embeddings, each once; ``cosine_pairs`` has those of unequal parity only, as its SQL."""
+    v = _t(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    out = embedding.cosine_join(v, v, 0.3).filter("hpo_id < sct_id")
+    return out.withColumn("confidence", F.round("confidence", 4))
+
+
 def pair_phases(s: SparkSession, d: str) -> DataFrame:
     p = cascade.phase(cascade.pair_flags(rows(s, d), domains(s, d)))
     return p.select("hpo_id", "sct_id", "phase", F.col("evidence.refs").alias("refs"), F.col("evidence.lexical").alias("lexical"), F.col("evidence.cos1").alias("cos1"))
@@ -168,6 +175,7 @@ QUERIES = {
     "target_collapse": lambda s, d: hierarchy.target_collapse(rows(s, d).select(F.col("sct_id").alias("hpo_id"), F.col("hpo_id").alias("sct_id")), hierarchy.closure(target_edges(s, d))),
     "cross_reversal": cross_reversal,
     "cosine_pairs": cosine_pairs,
+    "cosine_pairs_all": cosine_pairs_all,
     "pair_phases": pair_phases,
     "cascade_assign": cascade_assign,
     "evaluation_returned": lambda s, d: evaluation.evaluation(final(s, d), gold(s, d)),

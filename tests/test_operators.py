@@ -87,6 +87,19 @@ def test_cosine_edges(spark):
     assert embedding.cosine_join(s.limit(0), t, 0.5).count() == 0
 
 
+def test_cosine_pairs_all_has_every_pair(spark):
+    import numpy as np
+
+    sf = "/root/testdata/sf0.001"
+    rows = sorted((r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect())
+    m = np.array([x[1] for x in rows])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    want = {(rows[i][0], rows[j][0]) for i, j in zip(*np.nonzero(np.triu(m @ m.T > 0.3, 1)), strict=True)}
+    got = [(r.hpo_id, r.sct_id) for r in alignment.cosine_pairs_all(spark, sf).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and any((a - b) % 2 == 0 for a, b in got)
+    print("pairs", len(got))
+
+
 def test_cosine_blocks(spark, monkeypatch):
     """Small blocks and the way without a broadcast find what one block finds."""
     sf = "/root/testdata/sf0.001"
