@@ -11,5 +11,8 @@ def materialise(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder that ``spark.checkpoint.dir`` names; a local folder only where it is unset."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestitch-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestitch-checkpoint-"))
     return df.checkpoint(eager=True)

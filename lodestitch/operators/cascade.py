@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from lodestitch.constants import ACCEPTED, EPSILON, REFERENCE_METHODS, STEP_CODE
 
+from lodestitch.functions.storage import materialise
+
 from .hierarchy import depth, related_candidates
 
 PAIR = ["hpo_id", "sct_id"]
@@ -93,14 +95,14 @@ def _missing(rows: DataFrame, coded: DataFrame) -> DataFrame:
 
 
 def best_candidate(flags: DataFrame, handled: DataFrame) -> DataFrame:
-    """Step 7: of a concept without codes 1-7 or 10, the pair that is best by cosine and by Jaccard; domain-valid ones."""
-    open_ = _missing(flags, handled)
+    """Step 7: of a concept without codes 1-7 or 10, the domain-valid pair that is best by cosine and by Jaccard among those."""
+    open_ = _missing(flags.filter("dom_ok"), handled)
 
-    def best(c: str) -> DataFrame:
-        w = Window.partitionBy("hpo_id").orderBy(F.desc(c), "sct_id")
-        return open_.filter(F.col(c).isNotNull()).withColumn("r", F.row_number().over(w)).filter("r = 1").select(*PAIR, "dom_ok")
+    def place(c: str) -> Column:
+        return F.row_number().over(Window.partitionBy("hpo_id").orderBy(F.col(c).desc_nulls_last(), "sct_id"))
 
-    return best("cosine").filter("dom_ok").join(best("jaccard").select(*PAIR), PAIR).select(*PAIR, F.lit(STEP_CODE["7"]).alias("validity"))
+    first = open_.withColumn("by_cosine", place("cosine")).withColumn("by_jaccard", place("jaccard"))
+    return first.filter("by_cosine = 1 AND by_jaccard = 1 AND cosine IS NOT NULL AND jaccard IS NOT NULL").select(*PAIR, F.lit(STEP_CODE["7"]).alias("validity"))
 
 
 def last_resort(flags: DataFrame, handled: DataFrame) -> DataFrame:
@@ -111,10 +113,13 @@ def last_resort(flags: DataFrame, handled: DataFrame) -> DataFrame:
 
 
 def assign(rows: DataFrame, domains: DataFrame, reach: DataFrame) -> DataFrame:
-    """(hpo_id, sct_id, validity, step) of every pair; both null where no step reaches it."""
-    flags = phase(pair_flags(rows, domains))
-    coded = resolve(flags, reach)
-    eight = best_candidate(flags, coded)
+    """(hpo_id, sct_id, validity, step) of every pair; both null where no step reaches it.
+
+    Flags, the fold's codes and step 7 are each read several times, so they are written out once.
+    """
+    flags = materialise(phase(pair_flags(rows, domains)))
+    coded = materialise(resolve(flags, reach))
+    eight = materialise(best_candidate(flags, coded))
     nine = last_resort(flags, coded.unionByName(eight))
     zero = flags.filter("phase = '1'").select(*PAIR, F.lit(0).alias("validity"))
     every = zero.unionByName(coded).unionByName(eight).unionByName(nine)

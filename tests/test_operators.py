@@ -156,3 +156,11 @@ def test_sources(spark, tmp_path):
     assert terminology.ingest_or_reuse(spark, eav.limit(0), str(tmp_path / "out")).count() == 6
     terminology.write_table(spark.createDataFrame([(0.00005, "a")], "x double, y string"), str(tmp_path / "c"), csv=True)
     assert spark.read.option("sep", ";").option("header", True).csv(str(tmp_path / "c")).first()[1] == "a"
+
+
+def test_step_seven_leaves_out_other_domains_first(spark):
+    rows = [("h", "bad", m, 0.99) for m in ("jaccard", "embedding")] + [("h", "good", m, 0.95) for m in ("jaccard", "embedding")]
+    domains = spark.createDataFrame([("bad", False), ("good", True)], "sct_id string, ok boolean")
+    reach = hierarchy.closure(spark.createDataFrame([], "parent string, child string"))
+    got = cascade.assign(spark.createDataFrame(rows, "hpo_id string, sct_id string, attribute string, confidence double"), domains, reach)
+    assert sorted(tuple(r) for r in got.collect()) == [("h", "bad", 0, "1"), ("h", "good", 8, "7")]
