@@ -6,11 +6,16 @@ segments (pigeonhole): a document is keyed by the segments of its fragments. Key
 (ratio ``1 / t``); a document gives those of its own band and of the one below, so each possible pair meets.
 Documents with fewer than ``m`` empty fragments leave the empty ones out: such a pair still shares a segment.
 
+Keys are dealt by ranges of their hash, packed into one binary row per chunk and range, so a shuffle moves 16
+bytes a key and no row is made for a key that one class alone has. A key that many classes of one chunk share
+sends one of them; the others leave the chunk as rows of their own.
+
 Candidate pairs are verified exactly: overlaps are counted fragment by fragment and summed per pair. Equal
-sets are one class from the start. In each round a key links its members only to the member of smallest rank
-(another ranking each round) among those not yet in its component; a last round tests every pair of different
+sets are one class from the start. In each round a key links its members only to two members of smallest rank
+(other rankings each round) among those not yet in their component; a last round tests every pair of different
 components that share a key. So no link between components is lost, and a large group of near copies costs
-about as many pairs as it has members.
+about as many pairs as it has members. What stays quadratic is a key whose members are not linked at all:
+documents of similar length that share all n-grams of one fragment, but too few in all.
 """
 
 from __future__ import annotations
@@ -19,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import drop_staged, small_side, stage
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _BYTE = _rng.integers(1 << 62, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -76,7 +82,7 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
 
 
 def class_of(s: np.ndarray) -> int:
-    return int(np.bitwise_xor.reduce(mix(s + _BASE * np.uint64(len(s)))).view(np.int64)) if len(s) else 0
+    return int(np.bitwise_xor.reduce(mix(s + _BASE * np.full(1, len(s), np.uint64))).view(np.int64)) if len(s) else 0
 
 
 def bands(num: int, den: int, most: int = 1 << 31) -> list[int]:
@@ -109,27 +115,36 @@ def segment_keys(s: np.ndarray, num: int, den: int, uppers: list[int]) -> np.nda
 
 
 def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
+    """doc_id as it is (a long unless it is a string) and the text's bytes, empty for null."""
+    own = F.col(key) if dict(docs.dtypes)[key] == "string" else F.col(key).cast("long")
+    return docs.select(own.alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
+
+
+def _kind(df: DataFrame, name: str = "doc_id") -> str:
+    return df.schema[name].dataType.simpleString()
+
+
+def _slices(batches: Iterator[pa.RecordBatch], size: int = 4_000_000, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches, each with about ``size`` bytes in a binary ``column``, or one longer row."""
+    for b in batches:
+        ends = np.cumsum(pc.binary_length(b.column(column)).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+            yield b.slice(at, to - at)
+            at = to
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], size: int = 4_000_000) -> Iterator[tuple[list, list[bytes]]]:
     """Ids and texts, about ``size`` bytes at a time."""
-    for b in batches:
-        ids, texts, held = [], [], 0
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            ids.append(i)
-            texts.append(t)
-            held += len(t)
-            if held >= size:
-                yield ids, texts
-                ids, texts, held = [], [], 0
-        if ids:
-            yield ids, texts
+    for b in _slices(batches, size):
+        yield b.column(0).to_pylist(), b.column(1).to_pylist()
 
 
 def components(pairs: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     """id and label (the smallest id reachable) of every id in ``pairs``: large star, small star, until nothing changes."""
     edges = stage(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "cc-edges")
+    before = None
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -137,103 +152,203 @@ def components(pairs: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         new = stage(small.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct(), "cc-edges")
-        same = [x.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first() for x in (edges, new)]
+        now = new.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        drop_staged(edges)
         edges = new
-        if same[0] == same[1]:
+        if now == before:
             break
+        before = now
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
 
 
-def overlaps(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, key: str, text: str, num: int, den: int, fragments: int = 8) -> DataFrame:
-    """The ``pairs`` (a, b: classes) that pass the threshold; partial overlaps are counted by fragment and summed."""
+def segments(docs: DataFrame, ids: DataFrame, k: int, key: str, text: str, fragments: int = 8) -> DataFrame:
+    """cid, fragment, n and grams: the sets of the rows ``ids``, cut by ranges of the n-gram order."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _chunks(batches):
+        for _, texts in _chunks(batches):
             rows = []
             for s in shingle_sets(texts, k):
-                at = np.searchsorted(s >> np.uint64(61), np.arange(fragments + 1, dtype=np.uint64))
+                at = np.searchsorted(s >> np.uint64(32), (np.arange(fragments + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(fragments))
                 c = class_of(s)
                 rows += [(c, f, len(s), s[i:j].view(np.int64)) for f, (i, j) in enumerate(zip(at, at[1:], strict=False)) if j > i]
             if rows:
                 c, f, n, g = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(f, pa.int32()), pa.array(n, pa.int64()), pa.array(g, pa.list_(pa.int64()))], ["cid", "fragment", "n", "grams"])
 
-    needed = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    ids = reps.join(needed, "cid", "left_semi").select("doc_id")
     chosen = _texts(docs, key, text).join(ids, "doc_id", "left_semi")
-    segments = stage(chosen.mapInArrow(cut, "cid long, fragment int, n long, grams array<long>").dropDuplicates(["cid", "fragment"]), "jaccard-segments")
-    left = segments.select(F.col("cid").alias("a"), "fragment", F.col("n").alias("n_a"), F.col("grams").alias("g_a"))
-    right = segments.select(F.col("cid").alias("b"), "fragment", F.col("n").alias("n_b"), F.col("grams").alias("g_b"))
+    return chosen.mapInArrow(cut, "cid long, fragment int, n long, grams array<long>").dropDuplicates(["cid", "fragment"])
+
+
+def overlaps(cut: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """The ``pairs`` (a, b: classes) that pass the threshold; partial overlaps are counted by fragment and summed."""
+    left = cut.select(F.col("cid").alias("a"), "fragment", F.col("n").alias("n_a"), F.col("grams").alias("g_a"))
+    right = cut.select(F.col("cid").alias("b"), "fragment", F.col("n").alias("n_b"), F.col("grams").alias("g_b"))
     partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("g_a", "g_b")).cast("long").alias("c"))
     summed = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("c").alias("c"))
     return summed.filter(den * F.col("c") >= num * (F.col("n_a") + F.col("n_b") - F.col("c"))).select("a", "b")
 
 
-def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, key: str = "doc_id", text: str = "text", star_rounds: int = 3) -> DataFrame:
+def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of about ``most`` bytes of (cid, keys) rows at a time: distinct (key, cid) in order, starts and lengths of the runs of a key."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def out() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        c = np.concatenate([x.column(0).to_numpy() for x in held])
+        n = np.concatenate([pc.binary_length(x.column(1)).to_numpy() for x in held]) // 8
+        k = np.frombuffer(b"".join(y for x in held for y in x.column(1).to_pylist()), np.uint64)
+        if len(k):
+            yield _sorted(k, np.repeat(c, n))
+
+    for b in _slices(batches, most):
+        held.append(b)
+        size += b.column(1).nbytes
+        if size >= most:
+            yield from out()
+            held, size = [], 0
+    if held:
+        yield from out()
+
+
+def _sorted(k: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((c, k))
+    k, c = k[order], c[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+    k, c = k[new], c[new]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(k)), bool), k[1:] != k[:-1])))
+    return k, c, first, np.diff(np.append(first, len(k)))
+
+
+def members(sets: DataFrame, hot: int = 64, size: int = 16_000_000) -> DataFrame:
+    """key and cid of the classes in ``sets`` (cid, keys) that share a key with another; rows may repeat.
+
+    A key with over ``hot`` classes in a chunk of ``size`` bytes is dealt on with its first class only; all its classes
+    there are rows of the second pass over the keys.
+    """
+    spark = sets.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * parts
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, c, first, n in _runs(batches, size):
+            keep = np.ones(len(k), bool)
+            if (n > hot).any():
+                keep = np.repeat(n <= hot, n)
+                keep[first] = True
+            k, c = k[keep], c[keep]
+            b = ((k >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            at = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
+            to = np.append(at[1:], len(k))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(b[at].astype(np.int32)), *(pa.array([x[i:j].tobytes() for i, j in zip(at, to, strict=True)], pa.binary()) for x in (k, c))], ["bucket", "keys", "cids"]
+            )
+
+    def crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, c, _, n in _runs(batches, size):
+            if (n > hot).any():
+                keep = np.repeat(n > hot, n)
+                yield pa.RecordBatch.from_arrays([pa.array(k[keep].view(np.int64)), pa.array(c[keep])], ["key", "cid"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ks, cs = None, [], []
+
+        def shared() -> Iterator[pa.RecordBatch]:
+            k, c, _, n = _sorted(np.frombuffer(b"".join(ks), np.uint64), np.frombuffer(b"".join(cs), np.int64))
+            keep = np.repeat(n > 1, n)
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(k[keep].view(np.int64)), pa.array(c[keep])], ["key", "cid"])
+
+        for b in batches:
+            for bucket, k, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if bucket != now and ks:
+                    yield from shared()
+                    ks, cs = [], []
+                now = bucket
+                ks.append(k)
+                cs.append(c)
+        if ks:
+            yield from shared()
+
+    packed = sets.mapInArrow(deal, "bucket int, keys binary, cids binary")
+    packed = packed.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket")
+    return packed.mapInArrow(meet, "key long, cid long").unionByName(sets.mapInArrow(crowded, "key long, cid long"))
+
+
+def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, key: str = "doc_id", text: str = "text", star_rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles and component_id per row of ``docs``.
 
-    Words are runs of non-blank characters, with A-Z lower-cased. Two rows link where 100 * intersection >=
-    85 * union of their shingle sets; null or blank texts have no set and link with nothing. Repeated rows stay
-    rows; with a null key a row is its own component, null. An empty table gives no rows; extra columns are ignored.
+    Words are runs of non-blank characters, with A-Z lower-cased. Two rows link where ``den`` * intersection >=
+    ``num`` * union of their shingle sets; null or blank texts have no set and link with nothing. Repeated rows stay
+    rows; with a null key a row is its own component, null. A string key stays a string, any other is a long. An
+    empty table gives no rows; extra columns are ignored. A text is held by one task, so memory grows with the longest.
     """
     uppers = bands(num, den)
 
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _chunks(batches):
-            sets = shingle_sets(texts, k)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64())], ["doc_id", "n", "cid"])
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # copies in a task give their keys once; forgetting some only repeats rows
-        for _, texts in _chunks(batches):
-            cs, ks = [], []
-            for s in shingle_sets(texts, k):
-                c = class_of(s)
-                if len(s) and c not in seen:
-                    seen.add(c)
-                    found = segment_keys(s, num, den, uppers)
-                    ks.append(found)
-                    cs.append(np.full(len(found), c, np.int64))
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies in a task give their keys once; forgetting some only repeats keys
+        for b in _slices(batches):
+            sets = shingle_sets(b.column(1).to_pylist(), k)
+            cids = [class_of(s) for s in sets]
+            found = []
+            for s, c in zip(sets, cids, strict=True):
+                found.append(segment_keys(s, num, den, uppers).tobytes() if len(s) and c not in seen else b"")
+                seen.add(c)
             if len(seen) > 500_000:
                 seen.clear()
-            if ks:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ks)), pa.array(np.concatenate(cs))], ["key", "cid"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(cids, pa.int64()), pa.array(found, pa.binary())], ["doc_id", "n", "cid", "keys"])
 
     rows = _texts(docs, key, text)
-    sized = stage(rows.mapInArrow(sizes, "doc_id long, n long, cid long"), "jaccard-sizes")
-    reps = sized.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
-
-    keys = rows.mapInArrow(keyed, "key long, cid long")
-    shared = keys.groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).filter("lo != hi").select("key")
-    members = stage(keys.join(shared, "key").distinct(), "jaccard-members")
-
-    links = members.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)
-    labels = None
+    sets = stage(rows.mapInArrow(first, f"doc_id {_kind(rows)}, n long, cid long, keys binary"), "jaccard-sets")
+    sized = sets.select("doc_id", "n", "cid")
+    reps = sized.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"))
+
+    met = stage(members(sets.filter("keys != x''").select("cid", "keys")), "jaccard-members")
+    # one row of each class that met another; rows without a key stand for no class of others
+    ids = stage(sized.filter("doc_id IS NOT NULL").join(met.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.min("doc_id").alias("doc_id")), "jaccard-ids")
+    cut = stage(segments(docs, small_side(ids.select("doc_id")), k, key, text), "jaccard-segments")
+    met_now = met.join(ids.select("cid"), "cid", "left_semi")
+
+    links = [met.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)]
+    labels, open_ = None, None
     for turn in range(star_rounds + 1):
-        m = members.withColumn("label", F.col("cid"))
-        if labels is not None:
-            m = members.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+        if labels is None:
+            m = met_now.withColumn("label", F.col("cid"))
+        else:
+            m = (met_now if open_ is None else open_.drop("label")).join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
             mixed = m.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
             m = stage(m.join(mixed, "key"), "jaccard-open")
+            if open_ is not None:
+                drop_staged(open_)
+            open_ = m
         if turn < star_rounds:
-            rank = F.struct(F.xxhash64(F.lit(turn), "cid").alias("r"), F.col("cid").alias("c"), F.col("label").alias("l"))
-            lead = m.groupBy("key").agg(F.min(rank).alias("x")).select("key", F.col("x.c").alias("c"), F.col("x.l").alias("l"))
-            met = m.join(lead, "key").filter("label != l").select("cid", "c")
+            ranks = [F.struct(F.xxhash64(F.lit(2 * turn + i), "cid").alias("r"), F.col("cid").alias("c"), F.col("label").alias("l")) for i in (0, 1)]
+            lead = m.groupBy("key").agg(*(F.min(r).alias(f"x{i}") for i, r in enumerate(ranks)))
+            found = m.join(lead, "key").select("cid", "label", F.explode(F.array("x0", "x1")).alias("x")).select("cid", "label", "x.c", "x.l").filter("label != l")
         else:
             other = m.select("key", F.col("cid").alias("c"), F.col("label").alias("l"))
-            met = m.join(other, "key").filter("label < l").select("cid", "c")
-        pairs = stage(met.select(F.least("cid", "c").alias("a"), F.greatest("cid", "c").alias("b")).distinct(), "jaccard-pairs")
+            found = m.join(other, "key").filter("label < l")
+        pairs = stage(found.select(F.least("cid", "c").alias("a"), F.greatest("cid", "c").alias("b")).distinct(), "jaccard-pairs")
         if pairs.isEmpty():
             break
-        links = stage(links.union(overlaps(docs, reps, pairs, k, key, text, num, den)), "jaccard-links")
-        labels = stage(components(links, "a", "b"), "jaccard-labels")
+        new = stage(overlaps(cut, pairs, num, den), "jaccard-links")
+        drop_staged(pairs)
+        if new.isEmpty():
+            continue
+        links.append(new)
+        if labels is not None:
+            drop_staged(labels)
+        every = links[0]
+        for x in links[1:]:
+            every = every.unionByName(x)
+        labels = stage(components(every, "a", "b"), "jaccard-labels")
     if labels is None:
-        labels = members.select(F.col("cid").alias("id"), F.col("cid").alias("label")).limit(0)
+        labels = met.select(F.col("cid").alias("id"), F.col("cid").alias("label")).limit(0)
 
     grouped = reps.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    least = grouped.groupBy("label").agg(F.min("doc_id").alias("component"))
+    least = grouped.groupBy("label").agg(F.min("least").alias("component"))
     classes = grouped.join(least, "label").select("cid", "component")
     both = sized.join(classes, "cid", "left")
     return both.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id")).alias("component_id"))
@@ -242,5 +357,5 @@ def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, key: str =
 def keep_one(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` but for those whose component has a smaller id; rows without a key or set stay."""
     found = join(docs, key=key, **options)
-    gone = found.filter("component_id < doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = small_side(stage(found.filter("component_id < doc_id").select(F.col("doc_id").alias("gone_id")).distinct(), "jaccard-gone"))
     return docs.join(gone, docs[key] == gone["gone_id"], "left_anti")
