@@ -11,11 +11,12 @@ bytes a key and no row is made for a key that one class alone has. A key that ma
 sends one of them; the others leave the chunk as rows of their own.
 
 Candidate pairs are verified exactly: overlaps are counted fragment by fragment and summed per pair. Equal
-sets are one class from the start. In each round a key links its members only to two members of smallest rank
-(other rankings each round) among those not yet in their component; a last round tests every pair of different
-components that share a key. So no link between components is lost, and a large group of near copies costs
-about as many pairs as it has members. What stays quadratic is a key whose members are not linked at all:
-documents of similar length that share all n-grams of one fragment, but too few in all.
+sets are one class from the start. First a key links its members to two of them only: the one that meets most
+others over all its keys (in a group of near copies the one that most were made from), and one by hash. Classes
+that share a key and still lie in different components are tested in a second round: their n-grams are ordered
+by how many of these classes hold them, rarest first, and a pair must share an n-gram of both prefixes at places
+that leave room for the overlap. A copy with many changes has a prefix of its own and meets nothing. So no link
+between components is lost, and a large group of near copies costs about as many pairs as it has members.
 """
 
 from __future__ import annotations
@@ -277,7 +278,36 @@ def members(sets: DataFrame, hot: int = 64, size: int = 16_000_000) -> DataFrame
     return packed.mapInArrow(meet, "key long, cid long").unionByName(sets.mapInArrow(crowded, "key long, cid long"))
 
 
-def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, key: str = "doc_id", text: str = "text", star_rounds: int = 2) -> DataFrame:
+def stars(met: DataFrame) -> DataFrame:
+    """a and b: each class of ``met`` (key, cid) with the two leads of each of its keys."""
+    n = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    weight = met.join(n, "key").groupBy("cid").agg(F.sum("n").alias("w"))
+    m = met.join(weight, "cid")
+    lead = m.groupBy("key").agg(F.min(F.struct(-F.col("w"), "cid")).alias("x"), F.min(F.struct(F.xxhash64("cid"), "cid")).alias("y"))
+    met_lead = met.join(lead.select("key", F.array("x.cid", "y.cid").alias("leads")), "key").select("cid", F.explode("leads").alias("c")).filter("cid != c")
+    return met_lead.select(F.least("cid", "c").alias("a"), F.greatest("cid", "c").alias("b")).distinct()
+
+
+def prefixes(cut: DataFrame, open_: DataFrame, num: int, den: int) -> DataFrame:
+    """a and b: the pairs of ``open_`` (cid, label) with different labels that the prefixes of their sets leave possible."""
+    grams = cut.join(open_, "cid").select("cid", "label", "n", F.explode("grams").alias("g"))
+    df = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    held = grams.join(df, "g").groupBy("cid", "label", "n").agg(F.collect_list(F.struct("df", "g")).alias("shared"))
+    # n-grams of one class alone come first in the order and take up places of the prefix
+    own = F.col("n") - F.size("shared")
+    length = F.col("n") - F.expr(f"(n * {num}L + {den - 1}L) div {den}L") + 1
+    held = held.withColumn("own", own).withColumn("length", length - own).filter("length > 0")
+    held = held.select("cid", "label", "n", "own", F.posexplode(F.slice(F.sort_array("shared"), F.lit(1), F.col("length").cast("int"))).alias("i", "x"))
+    left = held.select("cid", "label", "n", (F.col("own") + F.col("i")).alias("at"), F.col("x.g").alias("g"))
+    right = left.select("g", *(F.col(c).alias(f"{c}_2") for c in ("cid", "label", "n", "at")))
+    room = 1 + F.least(F.col("n") - F.col("at"), F.col("n_2") - F.col("at_2")) - 1
+    fits = (F.col("label") < F.col("label_2")) & ((num + den) * room >= num * (F.col("n") + F.col("n_2")))
+    fits = fits & (den * F.least("n", "n_2") >= num * F.greatest("n", "n_2"))
+    both = left.alias("l").join(right.alias("r"), (F.col("l.g") == F.col("r.g")) & fits)
+    return both.select(F.least("cid", "cid_2").alias("a"), F.greatest("cid", "cid_2").alias("b")).distinct()
+
+
+def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id per row of ``docs``.
 
     Words are runs of non-blank characters, with A-Z lower-cased. Two rows link where ``den`` * intersection >=
@@ -305,49 +335,24 @@ def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, key: str =
     sized = sets.select("doc_id", "n", "cid")
     reps = sized.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"))
 
-    met = stage(members(sets.filter("keys != x''").select("cid", "keys")), "jaccard-members")
+    met = stage(members(sets.filter("keys != x''").select("cid", "keys")).distinct(), "jaccard-members")
     # one row of each class that met another; rows without a key stand for no class of others
     ids = stage(sized.filter("doc_id IS NOT NULL").join(met.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.min("doc_id").alias("doc_id")), "jaccard-ids")
     cut = stage(segments(docs, small_side(ids.select("doc_id")), k, key, text), "jaccard-segments")
-    met_now = met.join(ids.select("cid"), "cid", "left_semi")
-
-    links = [met.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)]
-    labels, open_ = None, None
-    for turn in range(star_rounds + 1):
-        if labels is None:
-            m = met_now.withColumn("label", F.col("cid"))
-        else:
-            m = (met_now if open_ is None else open_.drop("label")).join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-            mixed = m.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
-            m = stage(m.join(mixed, "key"), "jaccard-open")
-            if open_ is not None:
-                drop_staged(open_)
-            open_ = m
-        if turn < star_rounds:
-            ranks = [F.struct(F.xxhash64(F.lit(2 * turn + i), "cid").alias("r"), F.col("cid").alias("c"), F.col("label").alias("l")) for i in (0, 1)]
-            lead = m.groupBy("key").agg(*(F.min(r).alias(f"x{i}") for i, r in enumerate(ranks)))
-            found = m.join(lead, "key").select("cid", "label", F.explode(F.array("x0", "x1")).alias("x")).select("cid", "label", "x.c", "x.l").filter("label != l")
-        else:
-            other = m.select("key", F.col("cid").alias("c"), F.col("label").alias("l"))
-            found = m.join(other, "key").filter("label < l")
-        pairs = stage(found.select(F.least("cid", "c").alias("a"), F.greatest("cid", "c").alias("b")).distinct(), "jaccard-pairs")
-        if pairs.isEmpty():
-            break
-        new = stage(overlaps(cut, pairs, num, den), "jaccard-links")
-        drop_staged(pairs)
-        if new.isEmpty():
-            continue
-        links.append(new)
-        if labels is not None:
-            drop_staged(labels)
-        every = links[0]
-        for x in links[1:]:
-            every = every.unionByName(x)
-        labels = stage(components(every, "a", "b"), "jaccard-labels")
-    if labels is None:
-        labels = met.select(F.col("cid").alias("id"), F.col("cid").alias("label")).limit(0)
-
-    grouped = reps.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+
+    links = stage(overlaps(cut, stars(met), num, den), "jaccard-links")
+    labels = stage(components(links, "a", "b"), "jaccard-labels").withColumnRenamed("id", "cid")
+    m = met.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    mixed = m.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
+    open_ = stage(m.join(mixed, "key", "left_semi").select("cid", "label").distinct(), "jaccard-open")
+    drop_staged(met)
+    pairs = stage(prefixes(cut, open_, num, den), "jaccard-pairs")
+    more = stage(overlaps(cut, pairs, num, den), "jaccard-links")
+    if not more.isEmpty():
+        labels = stage(components(links.unionByName(more), "a", "b"), "jaccard-labels").withColumnRenamed("id", "cid")
+    drop_staged(cut, pairs)
+
+    grouped = reps.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = grouped.groupBy("label").agg(F.min("least").alias("component"))
     classes = grouped.join(least, "label").select("cid", "component")
     both = sized.join(classes, "cid", "left")
