@@ -1,13 +1,16 @@
 """Personal data by a skip-chain conditional random field over the tokens that could hold any.
 
-Four patterns give certain spans. The field labels the other candidate tokens (at least six digits, or an @):
-unary potentials are the log odds of a token's shape, counted over all documents with the patterns' spans as
-labels; neighbours share a chain potential; a token and its next repetition (same letters and digits) share a
-skip potential. What repeats a certain span in another notation (same letters and digits, or a number's digits in
-one or several tokens, also without its country code) is tied to it by the nats of so many equal characters by
-chance; its unary odds are floored, since patterns miss whole notations. Loopy message passing makes labels agree across a document, and tokens that are then certain
-enough are added as spans. Shapes come from a fixed product of features (at most 1,440), so the counts that
-reach the driver are bounded. A document is held by one task; everything is linear in its length.
+Four patterns give certain spans. The field labels the other candidate tokens (an @, at least six digits, or a
+long mix of letters and digits) as one of the patterns' kinds, as a secret or as none. Its potentials are trained
+piecewise, factor by factor, from counts over all documents in which the patterns' spans and the values given to
+credential names are the labels (a token without one that repeats a token with one is left out): unary potentials by a multinomial logistic fit to a token's shape, the word before
+it and a credential name before it; chain potentials from neighbours and skip potentials from tokens that repeat
+(same letters and digits), both as the mutual information of their labels. What repeats a certain span in another
+notation (same letters and digits, or a number's digits in one or several tokens, also without its country code)
+is tied to it by the nats of so many equal characters by chance; its unary odds are floored, since patterns miss
+whole notations. Loopy message passing makes labels agree across a document, and tokens that are then certain
+enough are added as spans. All features come from a fixed product of values, so the counts that reach the driver
+are bounded. A document is held by one task; everything is linear in its length.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,7 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-LABELS = ("none", *KINDS)
+LABELS = ("none", *KINDS, "secret")
+#: Names whose value is a credential.
+CREDENTIALS = ("token", "secret", "password", "passwd", "pwd", "api_key", "api-key", "apikey", "access_key", "access-key", "auth")
+WORD_BUCKETS = 32
+#: Pairs of repeated tokens with equal labels that each label counts as seen before training.
+AGREEMENT = 5.0
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _MAIL = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -34,6 +43,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _RUN = re.compile(r"\S++")
 _DIGIT = re.compile(r"[0-9]")
 _CORE = re.compile(r"[^0-9A-Za-z@]+")
+_NAMED = re.compile("(?:" + "|".join(CREDENTIALS) + r")[\"']?\s?[=:]\s?[\"']?$", re.IGNORECASE)
+_BEFORE = re.compile(r"(\S+)\s+\S*$")
 
 
 def _luhn(digits: str) -> bool:
@@ -76,22 +87,36 @@ def shape(token: str) -> int:
     digits = sum(c in "0123456789" for c in token)
     size = (digits > 0) + (digits > 5) + (digits > 8) + (digits > 9) + (digits > 13) + (digits > 19)
     dots = min(3, token.count("."))
+    hexa = all(c in "0123456789abcdefABCDEF" for c in token)
     out = 0
-    for value, n in ((size, 7), (dots, 4), ("@" in token, 2), (token.startswith("+"), 2), (any(c.isalpha() for c in token), 2), ("-" in token, 2)):
+    for value, n in (
+        (size, 7), (dots, 4), ("@" in token, 2), (token.startswith("+"), 2), (any(c.isalpha() for c in token), 2), ("-" in token, 2), (len(token) >= 20, 2), (hexa, 2),
+    ):
         out = out * n + int(value)
     return out
 
 
+def features(text: str, start: int, token: str) -> tuple[int, int, int]:
+    """Shape of the token, bucket of the word before it, and whether a credential's name stands before it."""
+    lead = text[max(0, start - 40) : start]
+    m = _BEFORE.search(lead)
+    word = zlib.crc32(m[1].lower().encode("utf-8", "surrogatepass")) % WORD_BUCKETS if m else 0
+    return shape(token), word, int(bool(_NAMED.search(lead)))
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """Start, end and text of tokens with an @ or at least six digits; outer punctuation is left out."""
+    """Start, end and text of tokens with an @, at least six digits, or 16 characters with a digit and a letter; outer punctuation is left out."""
     out = []
     if "@" not in text and not _DIGIT.search(text):
         return out
     for m in _RUN.finditer(text):
         t = m[0]
-        if "@" in t or len(t) >= 6 and len(_DIGIT.findall(t)) >= 6:
+        if len(t) < 6 and "@" not in t:
+            continue
+        digits = len(_DIGIT.findall(t))
+        if "@" in t or digits >= 6 or digits and len(t) >= 16:
             core = t.strip(".,;:!?\"'()[]{}<>")
-            if core:
+            if core and ("@" in t or digits >= 6 or any(c.isalpha() for c in core)):
                 start = m.start() + t.index(core)
                 out.append((start, start + len(core), core))
     return out
@@ -149,32 +174,104 @@ def labels_of(tokens: list[tuple[int, int, str]], spans: list[tuple[int, int, in
     return out
 
 
-def infer(unary: np.ndarray, chain: list[tuple[int, int]], skip: list[tuple[int, int]], w_chain: float, w_skip: float | list[float], rounds: int = 8) -> np.ndarray:
-    """Marginals by damped loopy belief propagation; Potts potentials on both kinds of edges."""
-    edges = np.array([*chain, *skip], int).reshape(-1, 2)
+def twins(tokens: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """Each token with its last repetition before it: same letters and digits."""
+    last: dict[str, int] = {}
+    out = []
+    for i, x in enumerate(tokens):
+        c = _CORE.sub("", x[2]).lower()
+        if c in last:
+            out.append((last[c], i))
+        last[c] = i
+    return out
+
+
+def neighbours(tokens: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    return [(i, i + 1) for i in range(len(tokens) - 1) if tokens[i + 1][0] - tokens[i][1] <= 2]
+
+
+def infer(unary: np.ndarray, edges: list[tuple[int, int]], potentials: np.ndarray, rounds: int = 60, close: float = 1e-6) -> np.ndarray:
+    """Marginals by damped loopy belief propagation; ``potentials`` has a symmetric matrix of logs for each edge."""
+
+    def share(x: np.ndarray) -> np.ndarray:
+        p = np.exp(x - x.max(1, keepdims=True))
+        return p / p.sum(1, keepdims=True)
+
     if not len(edges):
-        b = np.exp(unary - unary.max(1, keepdims=True))
-        return b / b.sum(1, keepdims=True)
-    same = np.exp(np.array([w_chain] * len(chain) + (w_skip if isinstance(w_skip, list) else [w_skip] * len(skip))))
-    src, dst = np.concatenate((edges[:, 0], edges[:, 1])), np.concatenate((edges[:, 1], edges[:, 0]))
-    back = np.concatenate((np.arange(len(edges)) + len(edges), np.arange(len(edges))))
-    same = np.concatenate((same, same))[:, None]
+        return share(unary)
+    e = np.array(edges, int).reshape(-1, 2)
+    src, dst = np.concatenate((e[:, 0], e[:, 1])), np.concatenate((e[:, 1], e[:, 0]))
+    back = np.concatenate((np.arange(len(e)) + len(e), np.arange(len(e))))
+    w = np.concatenate((potentials, potentials))
     msg = np.zeros((len(src), unary.shape[1]))
     for _ in range(rounds):
         total = unary.copy()
         np.add.at(total, dst, msg)
-        out = total[src] - msg[back]
-        p = np.exp(out - out.max(1, keepdims=True))
-        new = np.log(p.sum(1, keepdims=True) + (same - 1) * p)
-        msg = 0.5 * msg + 0.5 * (new - new.max(1, keepdims=True))
+        out = (total[src] - msg[back])[:, :, None] + w
+        top = out.max(1)
+        new = top + np.log(np.exp(out - top[:, None, :]).sum(1))
+        new -= new.max(1, keepdims=True)
+        step = np.abs(new - msg).max()
+        msg = 0.5 * msg + 0.5 * new
+        if step < close:
+            break
     total = unary.copy()
     np.add.at(total, dst, msg)
-    b = np.exp(total - total.max(1, keepdims=True))
-    return b / b.sum(1, keepdims=True)
-
-
-def train(texts: DataFrame) -> dict[int, list[int]]:
-    """Counts of labels by shape, over all rows; the result is bounded by the number of shapes."""
+    return share(total)
+
+
+def given_labels(text: str, tokens: list[tuple[int, int, str]], feats: list[tuple[int, int, int]], spans: list[tuple[int, int, int]]) -> list[int]:
+    """The labels to learn from: the patterns' kinds, and secrets where a credential's name stands before."""
+    secret = LABELS.index("secret")
+    return [y or (secret if f[2] and len(x[2]) >= 8 else 0) for x, f, y in zip(tokens, feats, labels_of(tokens, spans), strict=True)]
+
+
+class Field:
+    """Potentials fitted to counts: unary[(shape, word, named)] of label counts, and label pairs of both kinds of edges."""
+
+    def __init__(self, unary: dict[tuple[int, int, int], np.ndarray], chain: np.ndarray, skip: np.ndarray, steps: int = 300):
+        n = len(LABELS)
+        self.place: tuple[dict[int, int], ...] = tuple({v: i for i, v in enumerate(sorted({f[j] for f in unary}))} for j in range(3))
+        sizes = [len(p) for p in self.place]
+        self.weights = [np.zeros((k, n)) for k in sizes]
+        counts = np.array(list(unary.values()), float).reshape(-1, n)
+        self.bias = np.log((counts.sum(0) + ([1.0] + [0.1] * (n - 1))) / (counts.sum() + 1 + 0.1 * (n - 1)))
+        if unary:
+            at = [np.array([self.place[j][f[j]] for f in unary]) for j in range(3)]
+            size = counts.sum(1, keepdims=True)
+            heft = [np.zeros(k) for k in sizes]
+            for j in range(3):
+                np.add.at(heft[j], at[j], size[:, 0])
+            for _ in range(steps):  # each block moves by its own gradient over its own mass: a diagonal bound of the Hessian
+                z = self.bias + sum(w[i] for w, i in zip(self.weights, at, strict=True))
+                p = np.exp(z - z.max(1, keepdims=True))
+                gap = counts - size * p / p.sum(1, keepdims=True)
+                for j, w in enumerate(self.weights):
+                    g = np.zeros_like(w)
+                    np.add.at(g, at[j], gap)
+                    w += (g - 0.02 * w) / (0.5 * heft[j][:, None] + 1.0)
+        self.chain, self.skip = self.tie(chain), self.tie(skip + AGREEMENT * np.eye(n))
+
+    @staticmethod
+    def tie(pairs: np.ndarray) -> np.ndarray:
+        """Mutual information, in nats, of each pair of labels at the ends of an edge; unseen pairs are smoothed."""
+        both = pairs + pairs.T
+        ends = both.sum(0) + 1.0
+        smooth = np.outer(ends, ends) / ends.sum() ** 2
+        joint = (both + smooth) / (both.sum() + smooth.sum())
+        return np.log(joint) - np.log(np.outer(ends, ends) / ends.sum() ** 2)
+
+    def unary(self, f: tuple[int, int, int]) -> np.ndarray:
+        z = self.bias.copy()
+        for v, place, w in zip(f, self.place, self.weights, strict=True):
+            if v in place:
+                z += w[place[v]]
+        z -= z.max()
+        return z - np.log(np.exp(z).sum())
+
+
+def train(texts: DataFrame) -> Field:
+    """A field from counts over all rows; what reaches the driver is bounded by the number of feature values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -182,102 +279,117 @@ def train(texts: DataFrame) -> dict[int, list[int]]:
             for t in b.column(0).to_pylist():
                 tokens = candidates(t)
                 if tokens:
-                    seen.update(zip((shape(x[2]) for x in tokens), labels_of(tokens, base_spans(t)), strict=True))
+                    feats = [features(t, x[0], x[2]) for x in tokens]
+                    y = given_labels(t, tokens, feats, base_spans(t))
+                    same = twins(tokens)
+                    masked = {j if y[i] else i for i, j in same if bool(y[i]) != bool(y[j])}
+                    seen.update((0, *f, k) for i, (f, k) in enumerate(zip(feats, y, strict=True)) if i not in masked)
+                    for kind, edges in ((1, neighbours(tokens)), (2, same)):
+                        seen.update((kind, 0, 0, y[i], y[j]) for i, j in edges if i not in masked and j not in masked)
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*((s, y, n) for (s, y), n in seen.items()), strict=True)], ["shape", "label", "n"])
-
-    counts: dict[int, list[int]] = {}
-    for r in texts.mapInArrow(run, "shape long, label long, n long").groupBy("shape", "label").agg(F.sum("n").alias("n")).collect():
-        counts.setdefault(r["shape"], [0] * len(LABELS))[r["label"]] = r["n"]
-    return counts
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*((*k, n) for k, n in seen.items()), strict=True)], ["kind", "a", "b", "c", "label", "n"])
+
+    unary: dict[tuple[int, int, int], np.ndarray] = {}
+    pairs = np.zeros((3, len(LABELS), len(LABELS)))
+    for r in texts.mapInArrow(run, "kind long, a long, b long, c long, label long, n long").groupBy("kind", "a", "b", "c", "label").agg(F.sum("n").alias("n")).collect():
+        if r["kind"]:
+            pairs[r["kind"], r["c"], r["label"]] += r["n"]
+        else:
+            unary.setdefault((r["a"], r["b"], r["c"]), np.zeros(len(LABELS)))[r["label"]] += r["n"]
+    return Field(dict(sorted(unary.items())), pairs[1], pairs[2])
+
+
+def label(t: str, field: Field, min_probability: float) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """The patterns' spans, and those with what the field adds."""
+    base = base_spans(t)
+    tokens = candidates(t)
+    again = repeats(t, base)
+    if again:  # a repeated number is one candidate, in place of the tokens that it meets
+        met = labels_of(tokens, [(a, 0, b) for a, b, *_ in again])
+        given = labels_of(tokens, base)
+        tokens = sorted([*(x for x, y, z in zip(tokens, met, given, strict=True) if not y or z), *((a, b, t[a:b]) for a, b, *_ in again)])
+    given = labels_of(tokens, base)
+    if all(given):
+        return base, base
+    unary = np.array([field.unary(features(t, x[0], x[2])) for x in tokens])
+    sure = np.array(given) > 0
+    unary[sure] = -30.0
+    unary[sure, np.array(given)[sure]] = 0.0
+    chain, skip = neighbours(tokens), twins(tokens)
+    edges, weights = [*chain, *skip], [field.chain] * len(chain) + [field.skip] * len(skip)
+    # ties to certain spans, each of which is a certain node at the end
+    ties = {(a, b): (kind + 1, n) for a, b, kind, n in again}
+    cores = {_CORE.sub("", t[a:b]).lower(): k + 1 for a, k, b in base}
+    cores.update((_CORE.sub("", x[2]).lower(), y) for x, y in zip(tokens, given, strict=True) if y)
+    extra = []
+    for i, x in enumerate(tokens):
+        c = _CORE.sub("", x[2]).lower()
+        kind, n = ties.get(x[:2], (cores.get(c, 0), len(c)))
+        if kind and not given[i]:
+            unary[i] = np.maximum(unary[i], _FLOOR)
+            node = np.full(len(LABELS), -30.0)
+            node[kind] = 0.0
+            edges.append((i, len(tokens) + len(extra)))
+            extra.append(node)
+            weights.append(np.eye(len(LABELS)) * min(25.0, math.log(10) * n))
+    p = infer(np.vstack([unary, *extra]), edges, np.array(weights).reshape(-1, len(LABELS), len(LABELS)))[: len(tokens)]
+    best = p.argmax(1)
+    found = [(x[0], int(best[i]) - 1, x[1]) for i, x in enumerate(tokens) if not given[i] and best[i] and p[i, best[i]] >= min_probability]
+    return base, sorted([*base, *found])
+
+
+def replaced(t: str, spans: list[tuple[int, int, int]]) -> str:
+    parts, at = [], 0
+    for a, k, b in spans:
+        if a >= at:
+            parts += [t[at:a], f"<{LABELS[k + 1].upper()}>"]
+        at = max(at, b)
+    return "".join([*parts, t[at:]])
 
 
-def find(docs: DataFrame, key: str = "doc_id", text: str = "text", min_probability: float = 0.9, w_chain: float = 0.1, w_skip: float = 2.0, keep_text: bool = False) -> DataFrame:
-    """One row per row of ``docs``: counts of the patterns' spans, their digest, and all spans.
+def find(docs: DataFrame, key: str = "doc_id", text: str = "text", min_probability: float = 0.9, keep_text: bool = False) -> DataFrame:
+    """One row per row of ``docs``: counts of the patterns' spans, their digest, all spans and their number.
 
     A null text is empty. Repeated rows give equal rows, an empty table gives no rows, a null key stays null and
-    extra columns are ignored. Spans that the field adds never overlap those of the patterns. ``keep_text``
-    adds ``redacted``: the text with each span replaced by its kind in brackets.
+    extra columns are ignored. A string key stays a string, any other is a long. Spans that the field adds never
+    overlap those of the patterns. ``keep_text`` adds ``redacted``: the text with each span replaced by its kind in
+    brackets. Very long texts are held by one task and labelled whole.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    counts = train(rows.select("text"))
-    prior = np.array([1.0, 0.1, 0.1, 0.1, 0.1])
-    odds = {s: np.log((np.array(c) + prior) / (sum(c) + prior.sum())) for s, c in counts.items()}
-    blank = np.log(prior / prior.sum())
-    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
+    own = F.col(key) if dict(docs.dtypes)[key] == "string" else F.col(key).cast("long")
+    rows = docs.select(own.alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    field = train(rows.select("text"))
 
     def one(t: str) -> tuple:
-        base = base_spans(t)
-        tokens = candidates(t)
-        again = repeats(t, base)
-        if again:  # a repeated number is one candidate, in place of the tokens that it meets
-            met = labels_of(tokens, [(a, 0, b) for a, b, *_ in again])
-            given = labels_of(tokens, base)
-            tokens = sorted([*(x for x, y, z in zip(tokens, met, given, strict=True) if not y or z), *((a, b, t[a:b]) for a, b, *_ in again)])
-        spans = base
-        if tokens:
-            given = labels_of(tokens, base)
-            if not all(given):
-                unary = np.array([odds.get(shape(x[2]), blank) for x in tokens])
-                sure = np.array(given) > 0
-                unary[sure] = -30.0
-                unary[sure, np.array(given)[sure]] = 0.0
-                chain = [(i, i + 1) for i in range(len(tokens) - 1) if tokens[i + 1][0] - tokens[i][1] <= 2]
-                last: dict[str, int] = {}
-                skip = []
-                for i, x in enumerate(tokens):
-                    c = _CORE.sub("", x[2]).lower()
-                    if c in last:
-                        skip.append((last[c], i))
-                    last[c] = i
-                # ties to certain spans, each of which is a certain node at the end
-                ties = [(kind, n) for *_, kind, n in again]
-                at = {(a, b): i for i, (a, b, *_) in enumerate(again)}
-                cores = {_CORE.sub("", t[a:b]).lower(): k + 1 for a, k, b in base}
-                cores.update((_CORE.sub("", x[2]).lower(), y) for x, y in zip(tokens, given, strict=True) if y)
-                weights, extra = [w_skip] * len(skip), []
-                for i, x in enumerate(tokens):
-                    c = _CORE.sub("", x[2]).lower()
-                    kind, n = (ties[at[x[:2]]][0] + 1, ties[at[x[:2]]][1]) if x[:2] in at else (cores.get(c, 0), len(c))
-                    if kind and not given[i]:
-                        unary[i] = np.maximum(unary[i], _FLOOR)
-                        node = np.full(len(LABELS), -30.0)
-                        node[kind] = 0.0
-                        skip.append((i, len(tokens) + len(extra)))
-                        extra.append(node)
-                        weights.append(min(25.0, w_skip + math.log(10) * n))
-                p = infer(np.vstack([unary, *extra]), chain, skip, w_chain, weights)[: len(tokens)]
-                best = p.argmax(1)
-                spans = sorted([*base, *((x[0], int(best[i]) - 1, x[1]) for i, x in enumerate(tokens) if not given[i] and best[i] and p[i, best[i]] >= min_probability)])
+        base, spans = label(t, field, min_probability)
         n = Counter(s[1] for s in base)
-        said = [",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in s) for s in (base, spans)]
-        out = [n[0], n[1], n[2], n[3], hashlib.sha256(said[0].encode()).hexdigest(), said[1]]
-        if keep_text:
-            parts, at = [], 0
-            for a, k, b in spans:
-                if a >= at:
-                    parts += [t[at:a], f"<{KINDS[k].upper()}>"]
-                at = max(at, b)
-            out.append("".join([*parts, t[at:]]))
-        return tuple(out)
+        said = [",".join(f"{LABELS[k + 1]}:{a}:{b}" for a, k, b in s) for s in (base, spans)]
+        out = [n[0], n[1], n[2], n[3], hashlib.sha256(said[0].encode()).hexdigest(), said[1], len(spans)]
+        return tuple(out + [replaced(t, spans)] * keep_text)
+
+    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64()] * 4 + [pa.string()] * 3
+        types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64(), pa.string()]
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
                 cols = list(zip(*map(one, part.column(1).to_pylist()), strict=True))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, x) for c, x in zip(cols, types, strict=False))], names + ["redacted"] * keep_text)
 
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + ", redacted string" * keep_text
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long" + ", redacted string" * keep_text
     return rows.mapInArrow(run, schema)
 
 
-def redact(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """``docs`` with the spans of each text replaced; all rows and columns stay, null texts too."""
-    number = "_row_of_redact"
-    tagged = docs.select("*", F.xxhash64(text).alias(number))
-    found = find(docs.filter(F.col(text).isNotNull()).select(F.xxhash64(text).alias("doc_id"), text), text=text, keep_text=True, **options)
-    found = found.filter("spans != ''").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias(number), "redacted")
-    both = tagged.join(found, number, "left")
-    return both.select(*(F.coalesce("redacted", c).alias(c) if c == text else F.col(c) for c in docs.columns))
+def redact(docs: DataFrame, text: str = "text", min_probability: float = 0.9) -> DataFrame:
+    """``docs`` with the spans of each text replaced; all rows and columns stay, null texts too, whatever the columns' names."""
+    field = train(docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")))
+    names = docs.columns
+    at = names.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            said = [None if t is None else replaced(t, label(t, field, min_probability)[1]) for t in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(said, pa.string()) if i == at else x for i, x in enumerate(b.columns)], names)
+
+    return docs.select(*(F.col(c).cast("string") if c == text else F.col(c) for c in names)).mapInArrow(run, docs.withColumn(text, F.col(text).cast("string")).schema)

@@ -132,6 +132,40 @@ def test_pii_finds_a_number_in_another_notation(spark):
     assert all(x.spans == "" for x in r[2:])
 
 
+def test_pii_finds_named_secrets_and_their_repeats(spark):
+    names = [f"{i * 7919 % 99991:05d}{'ab3f9c'[i % 6]}" * 6 for i in range(40)]
+    texts = [f'the token = "{x[:32]}" and then {x[:32]} again' for x in names] + [f"order {i} of 12 and {i * 1000003} pieces" for i in range(100, 160)]
+    r = pii.find(table(spark, texts), keep_text=True).orderBy("doc_id").collect()
+    assert all(x.redacted == 'the token = "<SECRET>" and then <SECRET> again' for x in r[:40])
+    assert all(x.spans == "" for x in r[40:])
+
+
+def test_pii_messages_equal_enumeration():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    n = len(pii.LABELS)
+    unary = rng.normal(size=(5, n))
+    edges = [(0, 1), (1, 2), (1, 3), (3, 4)]
+    w = rng.normal(size=(len(edges), n, n))
+    w = w + w.transpose(0, 2, 1)
+    want = np.zeros((5, n))
+    for y in itertools.product(range(n), repeat=5):
+        p = np.exp(sum(unary[i, k] for i, k in enumerate(y)) + sum(m[y[i], y[j]] for (i, j), m in zip(edges, w, strict=True)))
+        for i, k in enumerate(y):
+            want[i, k] += p
+    assert pii.infer(unary, edges, w) == pytest.approx(want / want.sum(1, keepdims=True), abs=1e-4)
+
+
+def test_pii_redact_keeps_clashing_columns_and_nulls(spark):
+    docs = spark.createDataFrame([("k", "mail a.b@c.de", "x", 1), (None, None, None, None), ("k", "", "y", 2)], "redacted string, text string, _row_of_redact string, spans int")
+    got = pii.redact(docs)
+    assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [("k", "mail <EMAIL>", "x", 1), (None, None, None, None), ("k", "", "y", 2)]
+    assert [r.doc_id for r in pii.find(docs, key="redacted").collect()] == ["k", None, "k"]
+
+
 def test_toxicity(spark):
     texts = [f"the sun is over field {i} " + ("you idiot clown" if i % 4 == 0 else "and all is well") for i in range(200)] + ["", None]
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
