@@ -1,14 +1,16 @@
 """Benchmark decontamination by SimHash of item-sized windows, in DataFrame operations only.
 
 A window as similar as asked for shares a shingle with its item, so windows are cut where a document meets a
-shingle of an item: the window starts where the item would start, and is as long as the item. Other windows
-can't pass and aren't fingerprinted. Window and item fingerprints of 64 bits are compared by a multi-index:
-``radius + 1`` bit blocks, of which any two fingerprints within the radius share one (pigeonhole). Pairs within
-the radius are verified by exact similarity of their shingles, weighted or plain, whichever is greater.
+shingle of any item: such a place gives a start and a length, as the shingle stands in items of that length. Other
+windows can't pass and aren't fingerprinted. Items of one length that share shingles share windows; which items a
+window resembles is found by fingerprints alone: windows and items of one length meet in a multi-index of
+``radius + 1`` bit blocks, of which any two fingerprints within the radius share one (pigeonhole). Fingerprints give
+every distinct shingle the weight 1 on both sides, so a verbatim copy has its item's. ``radius`` follows from the
+similarity: a plain similarity s of sets of one size is an angle of arccos(2s / (1 + s)), and the radius lies three
+standard deviations beyond the bits that differ at that angle on average.
 
-A shingle weighs 1 by the distinct item texts that hold it, in items and windows alike; one that no item holds
-weighs as much as the item's shingles do on average. Fingerprints take the roots of the weights, so that a
-weighted similarity bounds their angle.
+Pairs within the radius are verified by exact similarity of their shingles, weighted or plain, whichever is
+greater. A shingle weighs 1 by the distinct item texts that hold it, in items and windows alike, and 1 if none does.
 
 The shingles of the items are broadcast while they number at most ``broadcast_grams``; beyond that the joins
 shuffle by shingle.
@@ -16,22 +18,26 @@ shuffle by shingle.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import small_side, stage
 from .native import blank_split, letters_and_digits, once, rolling
 
 
-def simhash(grams: Column, weights: Column) -> Column:
-    """64-bit fingerprint of hashed features with weights: bit b is set where the weights of features with it prevail."""
-    pairs = F.arrays_zip(grams.alias("g"), weights.alias("w"))
+def radius_for(similarity: float, bits: int = 64, deviations: float = 3.0) -> int:
+    """Bits that fingerprints of sets this similar differ in, at most but for rare exceptions."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return min(bits - 1, math.ceil(bits * p + deviations * math.sqrt(bits * p * (1 - p))))
+
+
+def simhash(grams: Column) -> Column:
+    """64-bit fingerprint of hashed features: bit b is set where more features have it than not."""
 
     def bit(b: Column) -> Column:
-        total = F.aggregate(
-            pairs, F.lit(0.0),
-            lambda s, x: s + F.when(F.call_function("getbit", x["g"], b) == 1, x["w"]).otherwise(-x["w"]),
-        )
+        total = F.aggregate(grams, F.lit(0), lambda s, g: s + 2 * F.call_function("getbit", g, b).cast("int") - 1)
         return F.when(total > 0, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(bit(b)))
@@ -45,7 +51,7 @@ def blocks(fingerprint: Column, radius: int) -> Column:
 
 
 def item_table(items: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """Per item with at least ``k`` words: n_words, its distinct shingles with weights (1 by the distinct texts that hold the shingle), their mean weight, fingerprint."""
+    """Per item with at least ``k`` words: n_words, its distinct shingles with weights (1 by the distinct texts that hold the shingle), fingerprint."""
     words = items.select(F.col(key).alias("item_id"), once(blank_split(letters_and_digits(F.col(text)))).alias("words"))
     grams = words.select("item_id", F.size("words").alias("n_words"), once(rolling("words", k)).alias("gs")).filter(F.size("gs") > 0)
     # repeated item ids: the row with the smallest shingles stands for all with equal texts; others keep apart by text
@@ -53,8 +59,8 @@ def item_table(items: DataFrame, key: str, text: str, k: int) -> DataFrame:
     each = grams.select("item_id", "item_key", "n_words", F.xxhash64("gs").alias("text_key"), F.posexplode("gs").alias("ipos", "g"))
     df = each.groupBy("g").agg((1.0 / F.countDistinct("text_key")).alias("w"))
     own = each.groupBy("item_key", "item_id", "n_words", "g").agg(F.min("ipos").alias("ipos")).join(df, "g")
-    table = own.groupBy("item_key", "item_id", "n_words").agg(F.sort_array(F.collect_list(F.struct("ipos", "g", "w"))).alias("own"), F.avg("w").alias("unseen"))
-    return table.withColumn("fp", simhash(F.col("own.g"), F.transform("own.w", F.sqrt)))
+    table = own.groupBy("item_key", "item_id", "n_words").agg(F.sort_array(F.collect_list(F.struct("ipos", "g", "w"))).alias("own"))
+    return table.withColumn("fp", simhash(F.col("own.g")))
 
 
 def matches(
@@ -62,7 +68,7 @@ def matches(
     items: DataFrame,
     k: int = 5,
     min_similarity: float = 0.8,
-    radius: int = 26,
+    radius: int | None = None,
     key: str = "doc_id",
     text: str = "text",
     item_key: str = "item_id",
@@ -73,40 +79,43 @@ def matches(
 
     Words are runs of letters and digits, lower-cased. Null texts have no words. Items and documents under ``k``
     words match nothing. Repeated rows of a document give one row for each match; repeated items likewise. Empty
-    tables give no rows; extra columns are ignored. Ties in similarity: the smallest start.
+    tables give no rows; extra columns are ignored. Ties in similarity: the smallest start. Null keys are keys. A
+    document is cut in one task, whatever its length.
     """
+    radius = radius_for(min_similarity) if radius is None else radius
     table = stage(item_table(items, item_key, item_text, k), "leak-items")
-    grams = table.select("item_key", "n_words", "unseen", F.explode("own").alias("x")).select("item_key", "n_words", "unseen", F.col("x.w").alias("w"), F.col("x.ipos").alias("ipos"), F.col("x.g").alias("g"))
-    small = grams.count() <= broadcast_grams
-    mark = F.broadcast if small else lambda x: x
+    grams = table.select("n_words", F.explode("own").alias("x")).select("n_words", F.col("x.ipos").alias("ipos"), F.col("x.g").alias("g"), F.col("x.w").alias("w")).distinct()
+    mark = F.broadcast if grams.limit(broadcast_grams + 1).count() <= broadcast_grams else lambda x: x
 
     base = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     words = base.select("doc_id", F.xxhash64("t").alias("h"), once(blank_split(letters_and_digits(F.col("t")))).alias("words"))
     hits = words.select("doc_id", "h", rolling("words", k).alias("gs")).select("doc_id", "h", F.posexplode("gs").alias("pos", "g"))
     start = F.greatest(F.lit(0), F.col("pos") - F.col("ipos")).alias("start")
     spots = hits.join(mark(grams), "g").groupBy("doc_id", "h").agg(
-        F.collect_set(F.struct("item_key", "n_words", "unseen", start)).alias("spots"), F.collect_set(F.struct("g", "w")).alias("known")
+        F.collect_set(F.struct("n_words", start)).alias("spots"), F.collect_set(F.struct("g", "w")).alias("known")
     )
     spots = stage(spots, "leak-spots")
 
     # the documents met, once more, for the shingles of their windows
     on = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.xxhash64("d.t") == F.col("s.h"))
     met = base.alias("d").join(spots.alias("s"), on).select("d.doc_id", "s.h", "s.spots", "s.known", once(blank_split(letters_and_digits(F.col("d.t")))).alias("words"))
-    met = met.select("doc_id", "h", "spots", once(F.map_from_entries("known")).alias("known"), "words").select("doc_id", "h", "spots", "known", once(rolling("words", k)).alias("gs")).select("doc_id", "h", "known", "gs", F.explode("spots").alias("x"))
-    wide = F.col("x.n_words") - (k - 1)
-    windows = met.select(
-        "doc_id", "h", "known", F.col("x.unseen").alias("unseen"), F.col("x.item_key").alias("item_key"), F.col("x.start").alias("start"),
-        once(F.array_distinct(F.slice("gs", F.col("x.start") + 1, wide))).alias("win"),
-    ).filter(F.size("win") > 0)
-    weighed = F.transform("win", lambda g: F.coalesce(F.try_element_at("known", g), F.col("unseen")))
-    windows = windows.select("doc_id", "h", "item_key", "start", "win", once(weighed).alias("ws"))
-    windows = windows.select("*", once(simhash(F.col("win"), F.transform("ws", F.sqrt))).alias("fp"), F.aggregate("ws", F.lit(0.0), lambda s, x: s + x).alias("win_w"))
-    windows = stage(windows.drop("ws"), "leak-windows")
-
-    # multi-index: a window and the item that it was cut for meet where one block is equal
+    met = met.select("doc_id", "h", "spots", "known", once(rolling("words", k)).alias("gs"))
+
+    def window(x: Column) -> Column:
+        return F.struct(x["n_words"].alias("n_words"), x["start"].alias("start"), F.array_distinct(F.slice("gs", x["start"] + 1, x["n_words"] - (k - 1))).alias("win"))
+
+    cut = met.select("doc_id", "h", "known", F.explode(F.transform("spots", window)).alias("x")).select("doc_id", "h", "known", "x.*").filter(F.size("win") > 0)
+    windows = cut.select(
+        "doc_id", "h", "n_words", "start", "win", once(simhash(F.col("win"))).alias("fp"),
+        # what no item holds weighs 1
+        (F.size("win") + F.aggregate(F.filter("known", lambda x: F.array_contains("win", x["g"])), F.lit(0.0), lambda s, x: s + x["w"] - 1)).alias("win_w"),
+    )
+    windows = stage(windows, "leak-windows")
+
+    # multi-index: windows and items of one length meet where one block is equal
     left = windows.withColumn("block", F.explode(blocks(F.col("fp"), radius)))
     right = table.select("item_key", "item_id", "n_words", "own", F.col("fp").alias("item_fp")).withColumn("block", F.explode(blocks(F.col("item_fp"), radius)))
-    near = left.join(right, ["item_key", "block"]).withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).filter(F.col("hamming") <= radius)
+    near = left.join(right, ["n_words", "block"]).withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).filter(F.col("hamming") <= radius)
     near = near.dropDuplicates(["doc_id", "h", "item_key", "start"])
     shared = F.aggregate(F.filter("own", lambda x: F.array_contains(F.col("win"), x["g"])), F.lit(0.0), lambda s, x: s + x["w"])
     total = F.aggregate("own", F.lit(0.0), lambda s, x: s + x["w"])
@@ -120,5 +129,5 @@ def matches(
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that hold no item; all columns stay. Rows with a null key are judged like others."""
-    found = matches(docs, items, key=key, **options).select(F.col("doc_id").alias("leaked_id")).distinct()
+    found = small_side(stage(matches(docs, items, key=key, **options).select(F.col("doc_id").alias("leaked_id")).distinct(), "leak-found"))
     return docs.join(found, docs[key].eqNullSafe(found["leaked_id"]), "left_anti")

@@ -217,6 +217,40 @@ def test_decontamination_of_items_that_share_shingles(spark):
     assert sorted((r.doc_id, r.item_id) for r in got) == [(0, 0), (1, 10), (1, 11), (1, 12)]
 
 
+def test_decontamination_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    head = [f"h{i}" for i in range(30)]
+    items = {i: [*head, *(f"t{i}x{j}" for j in range(3))] for i in range(50)} | {50 + i: [f"w{rng.randrange(4000)}" for _ in range(rng.choice((12, 40, 41, 90)))] for i in range(60)}
+    items |= {110: items[59][3:], 111: list(items[70])}
+    docs = {}
+    for i, w in items.items():
+        docs[len(docs)] = [*(f"a{rng.randrange(900)}" for _ in range(rng.randrange(30))), *w, "end"]
+        for n in (1, 2, 3):
+            near = list(w)
+            for _ in range(n):
+                at = rng.randrange(len(near))
+                near[at : at + 1] = rng.choice(([], ["new"], [near[at], f"n{at}"]))
+            docs[len(docs)] = ["lead", *near, "and", *(f"b{rng.randrange(900)}" for _ in range(20))]
+
+    def grams(w):
+        return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+
+    want, clear = set(), set()
+    for d, w in docs.items():
+        g = grams(w)
+        for i, x in items.items():
+            own, size = set(grams(x)), len(x) - 4
+            if own & set(g):
+                best = max((len(own & set(g[s : s + size])) / len(own | set(g[s : s + size])) for s in range(len(g))), default=0)
+                want |= {(d, i)} if best >= 0.8 else set()
+                clear |= {(d, i)} if best < 0.8 and i >= 50 else set()
+    found = {(r.doc_id, r.item_id) for r in decontaminate.matches(table(spark, [" ".join(w) for w in docs.values()]), spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")).collect()}
+    assert all((4 * i, i) in found for i in items)
+    assert len(found & want) >= 0.97 * len(want) and not found & clear
+
+
 def test_quality_rules(spark):
     r = {x.doc_id: x for x in quality_rules.score(table(spark, ["a b c\na b c\n#|", None, LONG])).collect()}
     assert (r[0].n_words, r[0].word_chars, r[0].n_symbols, r[0].n_dup_lines, r[0].n_repeat_words, r[0].base_failed) == (7, 8, 2, 1, 6, True)
