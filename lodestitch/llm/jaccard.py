@@ -55,7 +55,8 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     # the bytes of each word, weighed by their place and summed
     place = np.arange(len(raw), dtype=np.int64)
-    place[first[0] if len(first) else 0 :] -= np.repeat(first, np.diff(np.append(first, len(raw))))
+    if len(first):
+        place[first[0] :] -= np.repeat(first, np.diff(np.append(first, len(raw))))
     values = mix(_BYTE[raw] + place.view(np.uint64) * _BASE)
     values[gap] = 0
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)))

@@ -117,6 +117,57 @@ def test_kneser_ney_prefers_known_text(spark):
     assert len(got) == 32 and got[0].kept and got[30].perplexity > 5 * got[0].perplexity and not got[30].kept
 
 
+def test_kneser_ney_sums_to_one():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(6)
+    texts = [" ".join(f"w{min(int(rng.expovariate(0.4)), 12)}" for _ in range(rng.randrange(1, 30))).encode() for _ in range(60)]
+    model = ngram_models.KneserNey(*ngram_models.tokens(texts), 3)
+    vocabulary = sorted({w for t in texts for w in t.split()}) + [b"unseen"]
+    for lead in (b"", b"w0", b"w0 w1", b"w3 w2 w1", b"unseen w0", b"unseen"):
+        n = len(lead.split())
+        said = [np.exp(model.score(*ngram_models.tokens([lead + b" " + w]))[n]) for w in vocabulary]
+        assert sum(said) + np.exp(model.score(*ngram_models.tokens([lead]))[n]) == pytest.approx(1, abs=1e-5)
+
+
+def test_suffix_tree_equals_plain_model(spark):
+    import random
+
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(("a b c d", "a b e f", "g a", "h", "b c x", "q r s t u")) for _ in range(rng.randrange(6))) for _ in range(150)] + [None, "never seen words"]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    seqs = [[*words(t), ""] for t in texts]
+
+    def context(s, i, d):
+        return tuple(s[j] if j >= 0 else None for j in range(i - d, i))
+
+    counts = {}
+    for s, out in zip(seqs, held, strict=True):
+        for i, w in enumerate(s):
+            for d in range(4):
+                if not out:
+                    counts.setdefault(context(s, i, d), Counter())[w] += 1
+    n, v = sum(counts[()].values()), len(counts[()])
+
+    def p(w, ctx):
+        if not ctx:
+            return (counts[()][w] + 1) / (n + v + 1)
+        c = counts.get(ctx, Counter())
+        size, low = sum(c.values()), p(w, ctx[1:])
+        if size < 2 or sum(k * math.log(k / size / p(x, ctx[1:])) for x, k in c.items()) < 1.5:
+            return low
+        return (c[w] + len(c) * low) / (size + len(c))
+
+    for r in ngram_models.suffix_tree(table(spark, texts), min_divergence=1.5, chunk=300).collect():
+        s = seqs[r.doc_id]
+        assert r.score == pytest.approx(sum(math.log10(p(w, context(s, i, 3))) for i, w in enumerate(s)))
+    every = set(counts[()]) | {"unseen"}
+    for ctx in list(counts)[:40]:
+        assert sum(p(w, ctx) for w in every) == pytest.approx(1)
+
+
 def test_pii(spark):
     t = "mail a.b@c.de, card 4539 1488 0343 6467 and +49 (30) 1234-5678, 10.0.0.255 but 10.0.0.256"
     r = pii.find(table(spark, [t, None, t]), keep_text=True).orderBy("doc_id").collect()
