@@ -132,7 +132,8 @@ def test_kneser_ney_sums_to_one():
         assert sum(said) + np.exp(model.score(*ngram_models.tokens([lead]))[n]) == pytest.approx(1, abs=1e-5)
 
 
-def test_suffix_tree_equals_plain_model(spark):
+@pytest.mark.parametrize("hot_share", [1.0, 0.06])
+def test_suffix_tree_equals_plain_model(spark, hot_share):
     import random
 
     rng = random.Random(8)
@@ -150,17 +151,22 @@ def test_suffix_tree_equals_plain_model(spark):
                 if not out:
                     counts.setdefault(context(s, i, d), Counter())[w] += 1
     n, v = sum(counts[()].values()), len(counts[()])
+    hot = {w for w in counts[()] if w and counts[()][w] > hot_share * n} | ({None} if counts[()][""] > hot_share * n else set())
+    assert (len(hot) > 2) == (hot_share < 1)
 
     def p(w, ctx):
         if not ctx:
             return (counts[()][w] + 1) / (n + v + 1)
         c = counts.get(ctx, Counter())
+        if ctx[0] in hot and len(ctx) == 1:
+            often = {x: k / sum(c.values()) for x, k in c.items() if k >= 2}
+            return often.get(w, 0) + (1 - sum(often.values())) * p(w, ())
         size, low = sum(c.values()), p(w, ctx[1:])
         if size < 2 or sum(k * math.log(k / size / p(x, ctx[1:])) for x, k in c.items()) < 1.5:
             return low
         return (c[w] + len(c) * low) / (size + len(c))
 
-    for r in ngram_models.suffix_tree(table(spark, texts), min_divergence=1.5, chunk=300).collect():
+    for r in ngram_models.suffix_tree(table(spark, texts), min_divergence=1.5, chunk=300, hot_share=hot_share).collect():
         s = seqs[r.doc_id]
         assert r.score == pytest.approx(sum(math.log10(p(w, context(s, i, 3))) for i, w in enumerate(s)))
     every = set(counts[()]) | {"unseen"}
