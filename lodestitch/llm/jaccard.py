@@ -187,7 +187,7 @@ def overlaps(cut: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
     """The ``pairs`` (a, b: classes) that pass the threshold; partial overlaps are counted by fragment and summed."""
     left = cut.select(F.col("cid").alias("a"), "fragment", F.col("n").alias("n_a"), F.col("grams").alias("g_a"))
     right = cut.select(F.col("cid").alias("b"), "fragment", F.col("n").alias("n_b"), F.col("grams").alias("g_b"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("g_a", "g_b")).cast("long").alias("c"))
+    partial = left.join(small_side(pairs), "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("g_a", "g_b")).cast("long").alias("c"))
     summed = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("c").alias("c"))
     return summed.filter(den * F.col("c") >= num * (F.col("n_a") + F.col("n_b") - F.col("c"))).select("a", "b")
 
@@ -291,14 +291,18 @@ def stars(met: DataFrame) -> DataFrame:
 
 def prefixes(cut: DataFrame, open_: DataFrame, num: int, den: int) -> DataFrame:
     """a and b: the pairs of ``open_`` (cid, label) with different labels that the prefixes of their sets leave possible."""
-    grams = cut.join(open_, "cid").select("cid", "label", "n", F.explode("grams").alias("g"))
-    df = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    held = grams.join(df, "g").groupBy("cid", "label", "n").agg(F.collect_list(F.struct("df", "g")).alias("shared"))
+    grams = cut.join(small_side(open_.select("cid")), "cid", "left_semi").select("cid", F.explode("grams").alias("g"))
+    df = stage(grams.groupBy("g").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "jaccard-df")
+    size = cut.select("cid", "n").distinct()
+    held = grams.join(df, "g").groupBy("cid").agg(F.collect_list(F.struct("df", "g")).alias("shared"))
+    held = held.join(small_side(open_), "cid").join(size, "cid")
     # n-grams of one class alone come first in the order and take up places of the prefix
     own = F.col("n") - F.size("shared")
     length = F.col("n") - F.expr(f"(n * {num}L + {den - 1}L) div {den}L") + 1
     held = held.withColumn("own", own).withColumn("length", length - own).filter("length > 0")
-    held = held.select("cid", "label", "n", "own", F.posexplode(F.slice(F.sort_array("shared"), F.lit(1), F.col("length").cast("int"))).alias("i", "x"))
+    held = stage(held.select("cid", "label", "n", "own", F.slice(F.sort_array("shared"), F.lit(1), F.col("length").cast("int")).alias("shared")), "jaccard-prefixes")
+    drop_staged(df)
+    held = held.select("cid", "label", "n", "own", F.posexplode("shared").alias("i", "x"))
     left = held.select("cid", "label", "n", (F.col("own") + F.col("i")).alias("at"), F.col("x.g").alias("g"))
     right = left.select("g", *(F.col(c).alias(f"{c}_2") for c in ("cid", "label", "n", "at")))
     room = 1 + F.least(F.col("n") - F.col("at"), F.col("n_2") - F.col("at_2")) - 1
@@ -333,15 +337,18 @@ def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, key: str =
 
     rows = _texts(docs, key, text)
     sets = stage(rows.mapInArrow(first, f"doc_id {_kind(rows)}, n long, cid long, keys binary"), "jaccard-sets")
-    sized = sets.select("doc_id", "n", "cid")
+    sized = stage(sets.select("doc_id", "n", "cid"), "jaccard-sized")
     reps = sized.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"))
 
     met = stage(members(sets.filter("keys != x''").select("cid", "keys")).distinct(), "jaccard-members")
+    drop_staged(sets)
     # one row of each class that met another; rows without a key stand for no class of others
     ids = stage(sized.filter("doc_id IS NOT NULL").join(met.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.min("doc_id").alias("doc_id")), "jaccard-ids")
     cut = stage(segments(docs, small_side(ids.select("doc_id")), k, key, text), "jaccard-segments")
 
-    links = stage(overlaps(cut, stars(met), num, den), "jaccard-links")
+    near = stage(stars(met), "jaccard-pairs")
+    links = stage(overlaps(cut, near, num, den), "jaccard-links")
+    drop_staged(near)
     labels = stage(components(links, "a", "b"), "jaccard-labels").withColumnRenamed("id", "cid")
     m = met.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     mixed = m.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
