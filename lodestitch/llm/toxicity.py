@@ -34,14 +34,16 @@ def terms(text: str) -> Counter:
 class BlockMax:
     """Unit vectors with labels; ``nearest`` gives the exact top ``k`` by cosine."""
 
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int, block: int = 64):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = 64):
+        """``vectors``: the terms and weights of each example."""
         self.n, self.block = len(vectors), block
-        self.order = sorted(range(self.n), key=lambda i: (max(vectors[i], key=vectors[i].get, default=-1), i))
+        self.order = sorted(range(self.n), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]) if len(vectors[i][0]) else -1, i))
         n_blocks = -(-self.n // block)
         self.most = np.zeros((n_terms, n_blocks), np.float32)
-        rows = [(t, r, w) for r, i in enumerate(self.order) for t, w in vectors[i].items()]
-        t, self.at = (np.array([x[j] for x in rows], np.int64) for j in (0, 1))
-        self.w = np.array([x[2] for x in rows], np.float64)
+        none = np.zeros(0)
+        t = np.concatenate([none, *(vectors[i][0] for i in self.order)]).astype(np.int64)
+        self.at = np.repeat(np.arange(self.n), [len(vectors[i][0]) for i in self.order])
+        self.w = np.concatenate([none, *(vectors[i][1] for i in self.order)])
         by_term = np.lexsort((self.at, t))
         t, self.at, self.w = t[by_term], self.at[by_term], self.w[by_term]
         np.maximum.at(self.most, (t, self.at // block), np.nextafter(self.w.astype(np.float32), np.float32(np.inf)))
@@ -98,19 +100,25 @@ class Model:
         self.ids = {t: i for i, t in enumerate(sorted(weights))}
         self.weights = [weights[t] for t in self.ids]
         self.k = k
-        groups: dict[tuple, np.ndarray] = {}
+        groups: dict[bytes, np.ndarray] = {}
+        vectors = []
         for said, y, n in examples:
             v = self.vector(said)
-            groups.setdefault(tuple(sorted((t, round(w, 6)) for t, w in v.items())), np.zeros(2))[:] += (n * (1 - y), n * y)
-        self.bare = groups.pop((), np.zeros(2))
+            t = np.fromiter(v, np.int32, len(v))
+            w = np.round(np.fromiter(v.values(), float, len(v)), 6)[np.argsort(t)]
+            t.sort()
+            group = t.tobytes() + w.tobytes()
+            if len(t) and group not in groups:
+                vectors.append((t, w))
+            groups.setdefault(group, np.zeros(2))[:] += (n * (1 - y), n * y)
+        self.bare = groups.pop(b"", np.zeros(2))
         self.votes = np.array(list(groups.values()), float).reshape(-1, 2)
-        vectors = [dict(g) for g in groups]
         self.index = BlockMax(vectors, len(weights))
         total = self.votes.sum(0) + self.bare
         self.prior = (total[1] + 0.5) / (total.sum() + 1)
         xs, ys, ws = [], [], []
         for i, v in enumerate(vectors):
-            x = self.raw(self.index.nearest(v, self.k + 1), i)
+            x = self.raw(self.index.nearest(dict(zip(*(a.tolist() for a in v), strict=True)), self.k + 1), i)
             for y in (0, 1):
                 if self.votes[i, y]:
                     xs.append(x)
@@ -169,8 +177,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, max_rows: int,
             said = [terms(x) for x in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([" ".join(x) for x in said], pa.string()), pa.array([list(x.values()) for x in said], pa.list_(pa.int32())), *b.columns[1:]], ["t", "n", "share", "copies"])
 
-    got = sample(rows, max_examples).select("t", "share", "copies").mapInArrow(project, "t string, n array<int>, share double, copies double").collect()
-    examples = sorted(((dict(zip(r["t"].split(), r["n"], strict=True)), r["share"], r["copies"]) for r in got), key=lambda x: (sorted(x[0].items()), *x[1:]))
+    got = sample(rows, max_examples).select("t", "share", "copies").mapInArrow(project, "t string, n array<int>, share double, copies double").orderBy("t", "share", "copies").toArrow()
+    one: dict[str, str] = {}  # a term is held once, whatever number of examples have it
+    examples = [
+        ({one.setdefault(t, t): c for t, c in zip(got["t"][i].as_py().split(), got["n"][i].as_py(), strict=True)}, got["share"][i].as_py(), got["copies"][i].as_py())
+        for i in range(got.num_rows)
+    ]
     used = docs.sparkSession.sparkContext.broadcast({t for said, _, _ in examples for t in said})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -244,7 +244,7 @@ def test_block_max_is_exact():
 
     rng = np.random.default_rng(3)
     vs = [{int(t): float(w) for t, w in zip(rng.permutation(40)[:5], rng.random(5), strict=True)} for _ in range(300)]
-    index = toxicity.BlockMax(vs, 40, 16)
+    index = toxicity.BlockMax([(np.array(list(v)), np.array(list(v.values()))) for v in vs], 40, 16)
     for q in vs[:30]:
         every = sorted(((-sum(w * v.get(t, 0) for t, w in q.items()), i) for i, v in enumerate(vs)))[:10]
         assert [s for s, _ in index.nearest(q, 10)] == pytest.approx([-s for s, _ in every], abs=1e-5)
