@@ -34,7 +34,7 @@ def terms(text: str) -> Counter:
 class BlockMax:
     """Unit vectors with labels; ``nearest`` gives the exact top ``k`` by cosine."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = 64):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = 128):
         """``vectors``: the terms and weights of each example."""
         self.n, self.block = len(vectors), block
         self.order = sorted(range(self.n), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]) if len(vectors[i][0]) else -1, i))
@@ -47,7 +47,9 @@ class BlockMax:
         by_term = np.lexsort((self.at, t))
         t, self.at, self.w = t[by_term], self.at[by_term], self.w[by_term]
         np.maximum.at(self.most, (t, self.at // block), np.nextafter(self.w.astype(np.float32), np.float32(np.inf)))
-        self.first = np.searchsorted(t * n_blocks + self.at // block, np.arange(n_terms * n_blocks + 1)).astype(np.int32)
+        cells = np.bincount(t * n_blocks + self.at // block + 1, minlength=n_terms * n_blocks + 1)
+        self.first = np.cumsum(cells, dtype=np.int32)
+        del cells
         # terms that many examples share are rows of a matrix, the others have postings
         often = np.flatnonzero(np.bincount(t, minlength=n_terms) * 20 >= self.n) if self.n else np.zeros(0, np.int64)
         self.row = np.full(n_terms, -1, np.int32)
@@ -202,7 +204,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, max_rows: int,
         gain = 2 * sum(n * math.log(n / (share * of)) for n, of in ((n0, all0), (n1, all1)) if n)
         return math.log(1 + 1 / share) * (1 + gain * (n1 * all0 > n0 * all1))
 
-    return Model(examples, {r["term"]: weight(r["n0"], r["n1"]) for r in counts.collect()}, k)
+    found = counts.toArrow()
+    weights = {one.get(t, t): weight(n0, n1) for t, n0, n1 in zip(*(found[c].to_pylist() for c in ("term", "n0", "n1")), strict=True)}
+    del got, found
+    return Model(examples, weights, k)
 
 
 def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.7, max_rows: int = 4000, max_examples: int = 1500, k: int = 15) -> DataFrame:
