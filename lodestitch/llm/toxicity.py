@@ -42,7 +42,7 @@ class BlockMax:
         self.most = np.zeros((n_terms, n_blocks), np.float32)
         none = np.zeros(0)
         t = np.concatenate([none, *(vectors[i][0] for i in self.order)]).astype(np.int64)
-        self.at = np.repeat(np.arange(self.n), [len(vectors[i][0]) for i in self.order])
+        self.at = np.repeat(np.arange(self.n, dtype=np.int32), [len(vectors[i][0]) for i in self.order])
         self.w = np.concatenate([none, *(vectors[i][1] for i in self.order)])
         by_term = np.lexsort((self.at, t))
         t, self.at, self.w = t[by_term], self.at[by_term], self.w[by_term]
@@ -98,17 +98,14 @@ class BlockMax:
 
 
 class Model:
-    def __init__(self, examples: list[tuple[dict[str, int], float, float]], weights: dict[str, float], k: int):
-        self.ids = {t: i for i, t in enumerate(sorted(weights))}
-        self.weights = [weights[t] for t in self.ids]
-        self.k = k
+    def __init__(self, examples: list[tuple[np.ndarray, np.ndarray, float, float]], ids: dict[str, int], weights: np.ndarray, k: int):
+        """``examples``: the numbers of an example's terms, their counts, its share of label 1 and its votes."""
+        self.ids, self.weights, self.k = ids, weights, k
         groups: dict[bytes, np.ndarray] = {}
         vectors = []
-        for said, y, n in examples:
-            v = self.vector(said)
-            t = np.fromiter(v, np.int32, len(v))
-            w = np.round(np.fromiter(v.values(), float, len(v)), 6)[np.argsort(t)]
-            t.sort()
+        for t, said, y, n in examples:
+            by_term = np.argsort(t)
+            t, w = t[by_term], np.round(self.unit(t, said), 6)[by_term]
             group = t.tobytes() + w.tobytes()
             if len(t) and group not in groups:
                 vectors.append((t, w))
@@ -137,11 +134,14 @@ class Model:
                 a, b = a - step[0], b - step[1]
         self.a, self.b = (a, b) if a > 0 else (1.0, 0.0)
 
+    def unit(self, t: np.ndarray, n: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(n)) * self.weights[t]
+        return w / np.sqrt((w * w).sum())
+
     def vector(self, said: dict[str, int]) -> dict[int, float]:
-        ids, weights = self.ids, self.weights
-        v = {ids[t]: (1 + math.log(n)) * weights[ids[t]] for t, n in said.items() if t in ids}
-        norm = math.sqrt(sum(w * w for w in v.values()))
-        return {t: w / norm for t, w in v.items()}
+        known = [(self.ids[t], n) for t, n in said.items() if t in self.ids]
+        t, n = np.array(known, np.int64).reshape(-1, 2).T
+        return dict(zip(t.tolist(), self.unit(t, n).tolist(), strict=True))
 
     def raw(self, near: list[tuple[float, int]], left_out: int = -1) -> float:
         """Log odds of the votes of the nearest examples, with the prior as one vote."""
@@ -180,12 +180,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, max_rows: int,
             yield pa.RecordBatch.from_arrays([pa.array([" ".join(x) for x in said], pa.string()), pa.array([list(x.values()) for x in said], pa.list_(pa.int32())), *b.columns[1:]], ["t", "n", "share", "copies"])
 
     got = sample(rows, max_examples).select("t", "share", "copies").mapInArrow(project, "t string, n array<int>, share double, copies double").orderBy("t", "share", "copies").toArrow()
-    one: dict[str, str] = {}  # a term is held once, whatever number of examples have it
+    ids: dict[str, int] = {}
     examples = [
-        ({one.setdefault(t, t): c for t, c in zip(got["t"][i].as_py().split(), got["n"][i].as_py(), strict=True)}, got["share"][i].as_py(), got["copies"][i].as_py())
+        (np.array([ids.setdefault(t, len(ids)) for t in got["t"][i].as_py().split()], np.int32), np.array(got["n"][i].as_py(), np.int32), got["share"][i].as_py(), got["copies"][i].as_py())
         for i in range(got.num_rows)
     ]
-    used = docs.sparkSession.sparkContext.broadcast({t for said, _, _ in examples for t in said})
+    del got
+    used = docs.sparkSession.sparkContext.broadcast(set(ids))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -205,9 +206,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, max_rows: int,
         return math.log(1 + 1 / share) * (1 + gain * (n1 * all0 > n0 * all1))
 
     found = counts.toArrow()
-    weights = {one.get(t, t): weight(n0, n1) for t, n0, n1 in zip(*(found[c].to_pylist() for c in ("term", "n0", "n1")), strict=True)}
-    del got, found
-    return Model(examples, weights, k)
+    weights = np.zeros(len(ids))
+    for t, n0, n1 in zip(*(found[c].to_pylist() for c in ("term", "n0", "n1")), strict=True):
+        weights[ids[t]] = weight(n0, n1)
+    del found
+    used.destroy()
+    return Model(examples, ids, weights, k)
 
 
 def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.7, max_rows: int = 4000, max_examples: int = 1500, k: int = 15) -> DataFrame:
