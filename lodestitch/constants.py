@@ -37,3 +37,10 @@ CONFIDENCE_MAX = 5
 CHILDREN_SHOWN = 10
 DISTANCE_CAP = 5
 SWEEP_POINTS = 50
+
+# Rows shown of examples and of rejected pairs.
+EXAMPLES_SHOWN = 10
+REJECTS_SHOWN = 20
+
+# Sets of pairs that the stages are compared by, in order.
+STAGES = ("generated", "filtered", "auto", "llm", "final")
