@@ -96,9 +96,12 @@ def matches(
     )
     spots = stage(spots, "leak-spots")
 
-    # the documents met, once more, for the shingles of their windows
-    on = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.xxhash64("d.t") == F.col("s.h"))
-    met = base.alias("d").join(spots.alias("s"), on).select("d.doc_id", "s.h", "s.spots", "s.known", once(blank_split(letters_and_digits(F.col("d.t")))).alias("words"))
+    # the documents met, once more, for the shingles of their windows; their narrow keys go ahead, so that only they are shuffled
+    def on(side: str) -> Column:
+        return F.col("d.doc_id").eqNullSafe(F.col(f"{side}.doc_id")) & (F.xxhash64("d.t") == F.col(f"{side}.h"))
+
+    few = base.alias("d").join(small_side(spots.select("doc_id", "h")).alias("m"), on("m"), "left_semi")
+    met = few.alias("d").join(spots.alias("s"), on("s")).select("d.doc_id", "s.h", "s.spots", "s.known", once(blank_split(letters_and_digits(F.col("d.t")))).alias("words"))
     met = met.select("doc_id", "h", "spots", "known", once(rolling("words", k)).alias("gs"))
 
     def window(x: Column) -> Column:
