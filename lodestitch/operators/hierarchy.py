@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestitch.functions.storage import materialise
 
+from . import distances
+
 
 def closure(edges: DataFrame) -> DataFrame:
     """(ancestor, descendant, min_steps) of all pairs linked by a path.
@@ -35,7 +37,12 @@ def ancestor_distances(edges: DataFrame, reach: DataFrame | None = None) -> Data
 
 
 def distance(pairs: DataFrame, edges: DataFrame, reach: DataFrame | None = None) -> DataFrame:
-    """(a, b, distance): fewest steps over a common ancestor; 0 for equal ids, null without one."""
+    """(a, b, distance): fewest steps over a common ancestor; 0 for equal ids, null without one.
+
+    Without a closure at hand the pairs are searched from both ends (``distances.search``).
+    """
+    if reach is None:
+        return distances.search(pairs, edges)
     up = ancestor_distances(edges, reach)
     p = pairs.select("a", "b").distinct()
     left = up.select(F.col("node").alias("a"), "ancestor", F.col("steps").alias("up_a"))

@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from lodestitch.constants import CONFIDENCE_MAX, REVIEW_REASON
 from lodestitch.functions.text import children_text, quote_list
 
+from .answers import CHUNK, AnswerStore
+
 PAIR = ["hpo_id", "sct_id"]
 ANSWER = "struct<rationale:string,decision:string,confidence:string>"
 GROUP = "struct<mappings:array<struct<sct_id:string,rationale:string,decision:string,confidence:string>>>"
@@ -77,31 +78,24 @@ def related_text(selected: DataFrame, target: DataFrame, reach: DataFrame) -> Da
     return both.groupBy(*PAIR).agg(F.array_join(F.sort_array(F.collect_list(F.struct("o", text.alias("t"))))["t"], "; ").alias("related"))
 
 
-def generate(asked: DataFrame, model: Callable[[list[str]], list[str]], settings: str, store: str | None = None) -> DataFrame:
+def generate(asked: DataFrame, model: Callable[[list[str]], list[str]], settings: str, store: str | None = None, chunk: int = CHUNK) -> DataFrame:
     """``asked`` with the model's ``answer``; each distinct prompt is asked once.
 
-    Answers are kept in the Parquet table ``store`` under the prompt's hash and the settings, so a new run asks
-    only what is missing. ``model`` runs on executors, one Arrow batch of prompts at a time.
+    With ``store``, answers are kept there chunk by chunk (``AnswerStore``), so a run that was lost goes on after its
+    last chunk and a later one asks only what is missing; a store of other settings is refused. ``model`` runs on
+    executors, one Arrow batch of prompts at a time.
     """
-    keyed = asked.withColumn("key", F.sha2(F.concat_ws("\n", F.lit(settings), "prompt"), 256))
-    todo = keyed.select("key", "prompt").distinct()
-    spark, old = asked.sparkSession, None
     if store:
-        try:
-            old = spark.read.schema("key string, answer string").parquet(store)
-            todo = todo.join(old, "key", "left_anti")
-        except AnalysisException:
-            old = None
+        kept = AnswerStore(asked.sparkSession, store, settings)
+        kept.fill(asked, model, chunk)
+        return kept.attach(asked)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"key": b["key"], "answer": model(b["prompt"].tolist())})
+            yield pd.DataFrame({"prompt": b["prompt"], "answer": model(b["prompt"].tolist())})
 
-    got = todo.mapInPandas(ask, "key string, answer string")
-    if store:
-        got.write.mode("append").parquet(store)
-        got = spark.read.schema("key string, answer string").parquet(store)
-    return keyed.join(got.dropDuplicates(["key"]), "key", "left").drop("key")
+    got = asked.select("prompt").filter("prompt IS NOT NULL").distinct().mapInPandas(ask, "prompt string, answer string")
+    return asked.join(got, "prompt", "left").select(*asked.columns, "answer")
 
 
 def _parsed(a: Column) -> list[Column]:
