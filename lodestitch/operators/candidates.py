@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestitch.functions.text import norm_key, tokens
+from lodestitch.functions.tokens import TokenNormalizer
 
 
 def _pairs(df: DataFrame, method: str) -> DataFrame:
@@ -19,25 +22,35 @@ def exact_lexical(source: DataFrame, target: DataFrame) -> DataFrame:
     return _pairs(s.join(t, "k").select("hpo_id", "sct_id").distinct().withColumn("confidence", F.lit(1.0)), "exact_lexical")
 
 
-def jaccard(source: DataFrame, target: DataFrame, threshold: float = 0.90) -> DataFrame:
+def jaccard(source: DataFrame, target: DataFrame, threshold: float = 0.90, normalizer: TokenNormalizer | None = None) -> DataFrame:
     """Pairs whose token sets have a Jaccard similarity over ``threshold``; the best of a pair counts.
 
-    Distinct token sets stand for their terms. Tokens are ordered rarest first and a set is met only through its
-    prefix, which any partner over the threshold shares.
+    Tokens are cut at blanks, or made by ``normalizer``; a term without tokens matches nothing. Distinct token sets
+    stand for their terms. Tokens are ordered rarest first and a set is met only through its prefix, which any
+    partner over the threshold shares, and only by sets of a size that can reach the threshold: sizes fall into
+    bands, one of which is as wide as that ratio, so partners lie in the same band or the next, and a frequent token
+    is parted by band.
     """
 
     def sets(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.col("concept_id").alias(name), F.sort_array(F.array_distinct(tokens("term"))).alias("ts")).filter(F.size("ts") > 0).distinct()
+        if normalizer is None:
+            df = df.select("concept_id", tokens("term").alias("tokens"))
+        else:
+            df = normalizer.normalize(df.select("concept_id", "term"))
+        return df.select(F.col("concept_id").alias(name), F.sort_array(F.array_distinct("tokens")).alias("ts")).filter(F.size("ts") > 0).distinct()
 
     s, t = sets(source, "hpo_id"), sets(target, "sct_id")
     every = s.select("ts").distinct().unionByName(t.select("ts").distinct()).distinct()
     df = every.select(F.explode("ts").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     ranked = every.select("ts", F.explode("ts").alias("w")).join(df, "w").groupBy("ts").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("o"))
     keep = F.size("ts") - F.ceil(F.size("ts") * F.lit(threshold) - 1e-9).cast("int") + 1
-    prefix = ranked.select("ts", F.explode(F.slice(F.col("o.w"), 1, keep)).alias("w"))
-    a = prefix.join(s.select("ts").distinct(), "ts", "left_semi").withColumnRenamed("ts", "a")
+    band = F.floor(F.ln(F.size("ts")) / -math.log(threshold) + 1e-9).cast("int")
+    prefix = ranked.select("ts", band.alias("band"), F.explode(F.slice(F.col("o.w"), 1, keep)).alias("w"))
+    near_bands = F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band")
+    a = prefix.join(s.select("ts").distinct(), "ts", "left_semi").select(F.col("ts").alias("a"), "w", near_bands)
     b = prefix.join(t.select("ts").distinct(), "ts", "left_semi").withColumnRenamed("ts", "b")
-    near = a.join(b, "w").select("a", "b").distinct()
+    fits = F.least(F.size("a"), F.size("b")) >= F.greatest(F.size("a"), F.size("b")) * F.lit(threshold)
+    near = a.join(b, ["w", "band"]).filter(fits).select("a", "b").distinct()
     i = F.size(F.array_intersect("a", "b"))
     near = near.withColumn("confidence", i / (F.size("a") + F.size("b") - i)).filter(F.col("confidence") > threshold)
     met = near.join(s.withColumnRenamed("ts", "a"), "a").join(t.withColumnRenamed("ts", "b"), "b")

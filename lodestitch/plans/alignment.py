@@ -89,7 +89,7 @@ def cosine_pairs(s: SparkSession, d: str) -> DataFrame:
 def cosine_pairs_all(s: SparkSession, d: str) -> DataFrame:
     """All pairs of different embeddings, each once."""
     v = _t(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    out = embedding.cosine_join(v, v, 0.3).filter("hpo_id < sct_id")
+    out = embedding.cosine_self_join(v, 0.3)
     return out.withColumn("confidence", F.round("confidence", 4))
 
 

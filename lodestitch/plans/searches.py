@@ -1,4 +1,4 @@
-"""Queries of the durable review store and of searches without a closure, with their SQL."""
+"""Queries of the durable review store, searched distances, pruned cosine search and token normaliser, with their SQL."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestitch.functions.storage import Scratch
-from lodestitch.operators import distances, review
+from lodestitch.functions.tokens import TokenNormalizer
+from lodestitch.operators import candidates, distances, embedding, review
 from lodestitch.operators.answers import AnswerStore
 
 from . import alignment as a
@@ -43,7 +44,27 @@ def distance_cyclic(s: SparkSession, d: str) -> DataFrame:
     return distances.search(sup.select(F.col("k").alias("a"), ((F.col("k") * 5 + 1) % n).alias("b")), sup.select(F.explode(both).alias("parent"), F.col("k").alias("child")))
 
 
-QUERIES = {"review_resume": review_resume, "distance_cyclic": distance_cyclic}
+def term_tokens(s: SparkSession, d: str) -> DataFrame:
+    """Tokens of a phrase about each part."""
+    phrase = F.concat(F.lit("The "), "p_name", F.lit("s of "), "p_type")
+    return TokenNormalizer().normalize(a._t(s, d, "part").select("p_partkey", phrase.alias("term"))).select("p_partkey", F.array_join("tokens", " ").alias("tokens"))
+
+
+def jaccard_normalised(s: SparkSession, d: str) -> DataFrame:
+    """Parts by brand against plural names in capitals after a protected word."""
+    p = a._t(s, d, "part")
+    source = p.select(F.concat_ws("/", "p_brand", "p_name").alias("concept_id"), F.concat(F.lit("The "), "p_name", F.lit(" of "), "p_brand").alias("term"))
+    target = p.select(F.concat_ws("/", "p_type", "p_name").alias("concept_id"), F.concat(F.lit("WITHOUT "), F.upper("p_name"), F.lit("S")).alias("term"))
+    return candidates.jaccard(source.distinct(), target.distinct(), 0.35, TokenNormalizer()).withColumn("confidence", F.round("confidence", 6))
+
+
+def cosine_skipped(s: SparkSession, d: str) -> DataFrame:
+    """Share of block pairs that the search of near-equal embeddings skips."""
+    v = a._t(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return embedding.skipped(v, threshold=0.9)
+
+
+QUERIES = {"review_resume": review_resume, "distance_cyclic": distance_cyclic, "term_tokens": term_tokens, "jaccard_normalised": jaccard_normalised, "cosine_skipped": cosine_skipped}
 
 ORACLE_SQL = {
     "review_resume": """WITH k AS (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)
@@ -52,4 +73,10 @@ ORACLE_SQL = {
         w AS (SELECT s_suppkey AS start, s_suppkey AS node, 0 AS s FROM supplier UNION SELECT w.start, e.parent, w.s + 1 FROM w JOIN e ON e.child = w.node WHERE w.s < 20), c AS (SELECT start, node, min(s) AS s FROM w GROUP BY ALL),
         p AS (SELECT s_suppkey AS a, (s_suppkey * 5 + 1) % n AS b FROM supplier, n)
         SELECT a, b, CAST(CASE WHEN a = b THEN 0 ELSE min(x.s + y.s) END AS BIGINT) AS distance FROM p JOIN c x ON x.start = a LEFT JOIN c y ON y.start = b AND y.node = x.node GROUP BY a, b""",
+    "term_tokens": "SELECT p_partkey, replace(replace(lower(p_name || ' ' || p_type), 'large', 'larg'), 'economy', 'economi') AS tokens FROM part",
+    "jaccard_normalised": """WITH s AS (SELECT DISTINCT p_brand || '/' || p_name AS id, list_distinct(list_concat(string_split(p_name, ' '), ['brand', string_split(p_brand, '#')[2]])) AS ts FROM part),
+        t AS (SELECT DISTINCT p_type || '/' || p_name AS id, list_distinct(list_concat(string_split(p_name, ' '), ['without'])) AS ts FROM part),
+        su AS (SELECT id, len(ts) AS n, unnest(ts) AS w FROM s), tu AS (SELECT id, len(ts) AS n, unnest(ts) AS w FROM t),
+        o AS (SELECT su.id AS hpo_id, tu.id AS sct_id, su.n AS a, tu.n AS b, count(*) AS i FROM su JOIN tu USING (w) GROUP BY ALL)
+        SELECT hpo_id, sct_id, 'jaccard' AS attribute, round(CAST(i AS DOUBLE) / (a + b - i), 6) AS confidence FROM o WHERE CAST(i AS DOUBLE) / (a + b - i) > 0.35""",
 }
