@@ -1,4 +1,4 @@
-"""Distances in an is-a hierarchy for given pairs, searched from both ends without a closure."""
+"""Distances, relations and depths in an is-a hierarchy for the ids that occur, without a closure of the whole."""
 
 from __future__ import annotations
 
@@ -61,3 +61,49 @@ def search(pairs: DataFrame, edges: DataFrame, trace: list[dict] | None = None)
     for x in settled:
         out = out.unionByName(x)
     return out
+
+
+def climb(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """(start, node, steps): each distinct ``id`` with itself at 0 and all its ancestors by their fewest steps.
+
+    Only what lies above ``ids`` is walked; cycles end where they come back. A round is written with what is known
+    and supersedes the one before.
+    """
+    scratch = Scratch(ids.sparkSession, "climb")
+    up = scratch.keep(edges.select(F.col("child").alias("node"), "parent").filter("node != parent").distinct(), "edges")
+    known = scratch.keep(ids.select(F.col(ids.columns[0]).alias("start")).filter("start IS NOT NULL").distinct().select("start", F.col("start").alias("node"), F.lit(0).cast("long").alias("steps")), "known")
+    k = 0
+    while not known.filter(F.col("steps") == k).isEmpty():
+        climbed = known.filter(F.col("steps") == k).join(up, "node").select("start", F.col("parent").alias("node"), F.lit(k + 1).cast("long").alias("steps"))
+        old, k = known, k + 1
+        known = scratch.keep(known.unionByName(climbed).groupBy("start", "node").agg(F.min("steps").alias("steps")), "known")
+        scratch.drop(old)
+    scratch.drop(up)
+    return known
+
+
+def relations(pairs: DataFrame, up: DataFrame) -> DataFrame:
+    """(a, b, relation) of the distinct ``pairs`` with both ids: equal, broader (a above b), narrower or lateral.
+
+    ``up`` is what ``climb`` made of at least the pairs' ids. Of two ids in one cycle the first is broader.
+    """
+    p = pairs.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL").distinct()
+    over = up.select(F.col("node").alias("a"), F.col("start").alias("b"), F.lit(True).alias("over"))
+    under = up.select(F.col("start").alias("a"), F.col("node").alias("b"), F.lit(True).alias("under"))
+    kind = F.when(F.col("a") == F.col("b"), "equal").when(F.col("over"), "broader").when(F.col("under"), "narrower").otherwise("lateral")
+    return p.join(over, ["a", "b"], "left").join(under, ["a", "b"], "left").select("a", "b", kind.alias("relation"))
+
+
+def related_pairs(members: DataFrame, up: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, broader, narrower): of each group's ids (column ``id``) those of which one is above the other, each two once.
+
+    Of two ids in one cycle the smaller counts as the broader. The groups are arbitrary sets, not only one concept's
+    targets.
+    """
+    m = members.select(*by, "id").distinct()
+    over = up.filter("start != node").select(F.col("start").alias("id"), F.col("node").alias("broader"))
+    met = m.join(over, "id").select(*by, "broader", F.col("id").alias("narrower"))
+    met = met.join(m.withColumnRenamed("id", "broader"), [*by, "broader"], "left_semi")
+    low, high = F.least("broader", "narrower"), F.greatest("broader", "narrower")
+    once = met.groupBy(*by, low.alias("low"), high.alias("high")).agg(F.min("broader").alias("broader"))
+    return once.select(*by, "broader", F.when(F.col("broader") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("narrower"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestitch.constants import DISTANCE_CAP, METHODS, REPORT_THRESHOLDS, SWEEP_POINTS
+from lodestitch.constants import METHODS, REPORT_THRESHOLDS, SWEEP_POINTS
 from lodestitch.functions.text import outcome, share
 
 PAIR = ["hpo_id", "sct_id"]
@@ -138,21 +138,6 @@ def nearest_target(pairs: DataFrame, gold: DataFrame, distances: DataFrame) -> D
     return p.join(near, PAIR, "left")
 
 
-def distance_histogram(near: DataFrame) -> DataFrame:
-    """(bucket, n_pairs, share, cumulative): the last bucket is open, unlinked pairs have their own."""
-    d = F.col("gold_distance")
-    b = F.when(d.isNull(), "none").when(d >= DISTANCE_CAP, f"{DISTANCE_CAP}+").otherwise(d.cast("string"))
-    n = near.groupBy(b.alias("bucket")).agg(F.count(F.lit(1)).alias("n_pairs"))
-    every, upto = Window.partitionBy(), Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("n_pairs").over(every)
-    return n.select("bucket", "n_pairs", share(F.col("n_pairs"), total).alias("share"), share(F.sum("n_pairs").over(upto), total).alias("cumulative"))
-
-
-def depth_stats(depths: DataFrame) -> DataFrame:
-    """n, mean, exact median, least and greatest of ``depth``."""
-    return depths.agg(F.count("depth").alias("n"), F.avg("depth").alias("mean"), F.median("depth").alias("median"), F.min("depth").alias("least"), F.max("depth").alias("greatest"))
-
-
 def pipeline_flow(coded: DataFrame, final: DataFrame) -> DataFrame:
     """(source, target, n_pairs): links from step to outcome and from outcome to final or rejected."""
     p = _flag(coded.groupBy(*PAIR).agg(F.max("validity").alias("v"), F.max("step").alias("step")), final, "fin")

@@ -117,10 +117,6 @@ def nearest_target(s: SparkSession, d: str) -> DataFrame:
     return evaluation.nearest_target(p, g, hierarchy.distance(met, target_edges(s, d)))
 
 
-def depth_stats(s: SparkSession, d: str) -> DataFrame:
-    return evaluation.depth_stats(hierarchy.depth(hierarchy.closure(edges(s, d))).select(F.col("n_ancestors").alias("depth")))
-
-
 def _info(s: SparkSession, d: str) -> DataFrame:
     return evaluation.pair_info(rows(s, d), gold(s, d), rows(s, d).filter("attribute = 'jaccard'"))
 
@@ -191,8 +187,6 @@ QUERIES = {
     "any_all_exact": lambda s, d: evaluation.any_all_exact(final(s, d), gold(s, d)),
     "missed_diagnosis": lambda s, d: evaluation.diagnose(rows(s, d).filter("attribute != 'hpo_sct'"), final(s, d), gold(s, d)),
     "nearest_target": nearest_target,
-    "distance_histogram": lambda s, d: evaluation.distance_histogram(nearest_target(s, d)),
-    "depth_stats": depth_stats,
     "pipeline_flow": lambda s, d: evaluation.pipeline_flow(rows(s, d), final(s, d)),
     "pair_info": _info,
     "accepted_without_gold": lambda s, d: evaluation.accepted_without_gold(_info(s, d), gold(s, d)),
@@ -279,9 +273,6 @@ ORACLE_SQL = {
         SELECT CASE WHEN made IS NULL THEN 'NEVER_GENERATED' WHEN v IS NULL THEN 'NOT_REACHED' WHEN v = 0 THEN 'DOMAIN_REJECTED' WHEN v BETWEEN 1 AND 7 THEN 'HIERARCHY_REVERSAL_LLM_REJECTED' WHEN v IN (8, 9) THEN 'FALLBACK_LLM_REJECTED' ELSE 'INCONSISTENCY' END AS reason, count(*) AS n_pairs
         FROM x LEFT JOIN v USING (hpo_id, sct_id) GROUP BY 1""",
     "nearest_target": _NEAR + " SELECT * FROM nt",
-    "distance_histogram": _NEAR + """, h AS (SELECT CASE WHEN gold_distance IS NULL THEN 'none' WHEN gold_distance >= 5 THEN '5+' ELSE CAST(gold_distance AS VARCHAR) END AS bucket, count(*) AS n_pairs FROM nt GROUP BY 1)
-        SELECT *, CAST(n_pairs AS DOUBLE) / sum(n_pairs) OVER () AS share, CAST(sum(n_pairs) OVER (ORDER BY bucket) AS DOUBLE) / sum(n_pairs) OVER () AS cumulative FROM h""",
-    "depth_stats": _UP + ", x AS (SELECT descendant, count(*) AS depth FROM c GROUP BY 1) SELECT count(*) AS n, avg(depth) AS mean, median(depth) AS median, min(depth) AS least, max(depth) AS greatest FROM x",
     "pipeline_flow": _R + f""", x AS (SELECT hpo_id, sct_id, max(validity) AS validity, max(step) AS step FROM r GROUP BY ALL), y AS (SELECT 'step ' || coalesce(step, 'none') AS s, coalesce({_OUT}, 'unreached') AS o, CASE WHEN (hpo_id, sct_id) IN (SELECT (hpo_id, sct_id) FROM f) THEN 'final' ELSE 'rejected' END AS z FROM x)
         SELECT source, target, count(*) AS n_pairs FROM (SELECT s AS source, o AS target FROM y UNION ALL SELECT o, z FROM y) GROUP BY ALL""",
     "pair_info": _INFO + " SELECT * FROM i",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestitch.operators import candidates, mapping
 
-from . import alignment, diagnostics, searches
+from . import alignment, diagnostics, reports, searches
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -59,7 +59,7 @@ def metrics_returned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.metrics(rows.filter("confidence >= 0.05"), rows.filter("attribute = 'R'"))
 
 
-QUERIES = alignment.QUERIES | diagnostics.QUERIES | searches.QUERIES | {
+QUERIES = alignment.QUERIES | diagnostics.QUERIES | searches.QUERIES | reports.QUERIES | {
     "exact_lexical_pairs": exact_lexical_pairs,
     "jaccard_pairs": jaccard_pairs,
     "xref_direct_pairs": xref_direct_pairs,
@@ -73,7 +73,7 @@ QUERIES = alignment.QUERIES | diagnostics.QUERIES | searches.QUERIES | {
 }
 
 _ROWS = "WITH r AS (SELECT l_partkey AS hpo_id, l_suppkey AS sct_id, l_returnflag AS attribute, l_discount AS confidence FROM lineitem) "
-ORACLE_SQL = alignment.ORACLE_SQL | diagnostics.ORACLE_SQL | searches.ORACLE_SQL | {
+ORACLE_SQL = alignment.ORACLE_SQL | diagnostics.ORACLE_SQL | searches.ORACLE_SQL | reports.ORACLE_SQL | {
     "exact_lexical_pairs": """SELECT DISTINCT s.p_brand || '/' || s.p_name AS hpo_id, t.p_type || '/' || t.p_name AS sct_id,
         'exact_lexical' AS attribute, CAST(1 AS DOUBLE) AS confidence
         FROM (SELECT DISTINCT p_brand, p_name FROM part) s JOIN (SELECT DISTINCT p_type, p_name FROM part) t ON lower(s.p_name) = lower(trim(upper(t.p_name)))""",
