@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import small_side, stage
 
 _WORD = re.compile(r"\w+")
 
@@ -236,6 +236,6 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def reject(docs: DataFrame, labels: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that aren't predicted toxic."""
-    gone = score(docs, labels, key=key, **options).filter("predicted = 1").select(F.col("doc_id").alias("gone_id")).distinct()
+    """The rows of ``docs`` that aren't predicted toxic; all columns stay. Rows with a null key are judged like others."""
+    gone = small_side(stage(score(docs, labels, key=key, **options).filter("predicted = 1").select(F.col("doc_id").alias("gone_id")).distinct(), "toxic-gone"))
     return docs.join(gone, docs[key].eqNullSafe(gone["gone_id"]), "left_anti")
