@@ -50,7 +50,8 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.score(read(spark, sf_dir, "documents"))
+    trusted = read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return quality_rules.score(read(spark, sf_dir, "documents"), trusted)
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
