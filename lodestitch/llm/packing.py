@@ -10,6 +10,7 @@ powers of two, which need no padding.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -115,12 +116,25 @@ def plan(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
     return out
 
 
+# The split pattern and the settings of tokenizers whose texts may be cut at blanks.
+_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": _PARTS}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def cuts_at_blanks(settings: dict) -> bool:
+    """Whether a tokenizer lower-cases, drops white space and splits as the fast path does; judged by its own file."""
+    return settings.get("normalizer") == _NORMALIZER and settings.get("pre_tokenizer") == {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]} and settings["model"]["type"] == "BPE"
+
+
 class Words:
-    """Token ids of whole texts, with the ids of each chunk between blanks kept for reuse.
+    """Token ids of whole texts by any tokenizers file.
 
-    The tokenizer drops white space before it splits, so the ids of a text are those of its chunks in turn.
-    Chunks of ASCII and Latin letters, digits and marks are split here and go straight to its merge model;
-    any other chunk goes through the whole tokenizer.
+    Where the file's settings say that white space is dropped before the split (``cuts_at_blanks``), the ids of a
+    text are those of its chunks between blanks in turn, which are kept for reuse: chunks of ASCII and Latin letters,
+    digits and marks are split here and go straight to the merge model, any other chunk goes through the whole
+    tokenizer. With other settings every text goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -129,8 +143,10 @@ class Words:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        with open(path, encoding="utf-8") as f:
+            self.fast = cuts_at_blanks(json.load(f))
         self.plain = regex.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-        self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.parts = regex.compile(_PARTS).findall
         self.special = tuple(x.content for x in self.whole.get_added_tokens_decoder().values())
         # byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on
         keep = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -151,6 +167,8 @@ class Words:
         return np.array(ids, "<u4").tobytes()
 
     def text(self, text: str) -> bytes:
+        if not self.fast:
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         kept, out = self.kept, []
         for c in text.replace("\n", " ").split(" "):
             ids = kept.get(c)
@@ -185,10 +203,13 @@ def pack(
 
     ``tokenizer`` is the path of a tokenizers file, the same on all machines. A document is its ids and then
     ``end_id``; a null or empty text is ``end_id`` alone. Repeated rows are packed one by one; a null key stays
-    null. An empty table gives no rows. Extra columns are ignored. ``with_ids`` adds the ids of each piece.
+    null, a string key stays a string. An empty table gives no rows. Extra columns are ignored. ``with_ids`` adds the
+    ids of each piece.
     """
     spark = docs.sparkSession
-    cols = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    text_key = dict(docs.dtypes)[key] == "string"
+    key_type, schema = (pa.string(), SCHEMA.replace("doc_id long", "doc_id string")) if text_key else (pa.int64(), SCHEMA)
+    cols = docs.select((F.col(key) if text_key else F.col(key).cast("long")).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = cols.withColumn("h", F.xxhash64("doc_id", "text"))
     dealt = cols.repartition(n, "h").sortWithinPartitions("h", "doc_id").select("doc_id", "text")
@@ -198,7 +219,7 @@ def pack(
 
         enc, end = words(tokenizer), np.array([end_id], "<u4").tobytes()
         seq = TaskContext.get().partitionId() << 36
-        keys: list[int | None] = []
+        keys: list[int | str | None] = []
         held: list[bytes] = []
         size = 0
 
@@ -218,7 +239,7 @@ def pack(
                 seq += 1
             for at in range(0, len(rows), 50_000):
                 part = list(zip(*rows[at : at + 50_000], strict=True))
-                arrays = [pa.array(c, pa.int64()) for c in part[:7]] + [pa.array(part[7], pa.int32())]
+                arrays = [pa.array(part[0], key_type), *(pa.array(c, pa.int64()) for c in part[1:7]), pa.array(part[7], pa.int32())]
                 names = SCHEMA_NAMES
                 if with_ids:
                     arrays.append(pa.array([np.frombuffer(x, "<i4") for x in blobs[at : at + 50_000]], pa.list_(pa.int32())))
@@ -237,7 +258,7 @@ def pack(
         if held:
             yield from flush()
 
-    return dealt.mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))
+    return dealt.mapInArrow(run, schema + (", ids array<int>" if with_ids else ""))
 
 
 SCHEMA_NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
