@@ -6,11 +6,14 @@ segments (pigeonhole): a document is keyed by the segments of its fragments. Key
 (ratio ``1 / t``); a document gives those of its own band and of the one below, so each possible pair meets.
 Documents with fewer than ``m`` empty fragments leave the empty ones out: such a pair still shares a segment.
 
-Keys are dealt by ranges of their hash, packed into one binary row per chunk and range, so a shuffle moves 16
-bytes a key and no row is made for a key that one class alone has. A key that many classes of one chunk share
-sends one of them; the others leave the chunk as rows of their own.
-
-Candidate pairs are verified exactly: overlaps are counted fragment by fragment and summed per pair. Equal
+Keys are dealt by ranges of their hash straight from the texts, packed into one binary row per chunk and range
+(sorted keys byte by byte, classes as numbers in the row's list), so a shuffle moves about 8 bytes a key and no
+row is made for a key that one class alone has. A key that many classes of one chunk share sends one of them; the
+others leave the chunk as rows of their own.
+
+Candidate pairs are verified exactly: overlaps are counted fragment by fragment and summed per pair. Before that,
+each set is a row of bits, the parities of its n-grams in as many bins as it has n-grams or more: two sets differ
+in at least as many n-grams as their bits do, so pairs whose bits differ too much are left out without loss. Equal
 sets are one class from the start. First a key links its members to two of them only: the one that meets most
 others over all its keys (in a group of near copies the one that most were made from), and one by hash. Classes
 that share a key and still lie in different components are tested in a second round: their n-grams are ordered
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_staged, small_side, stage
@@ -116,6 +119,13 @@ def segment_keys(s: np.ndarray, num: int, den: int, uppers: list[int]) -> np.nda
     return np.concatenate(found).view(np.int64)
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Words of 64 bits: whether a bin holds an odd number of the n-grams, for the least power of two bins that is no less than 64 or the set."""
+    bins = max(64, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(bins - 1)).view(np.int64), minlength=bins) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """doc_id as it is (a long unless it is a string) and the text's bytes, empty for null."""
     own = F.col(key) if dict(docs.dtypes)[key] == "string" else F.col(key).cast("long")
@@ -166,7 +176,7 @@ def components(pairs: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
 
 
 def segments(docs: DataFrame, ids: DataFrame, k: int, key: str, text: str, fragments: int = 8) -> DataFrame:
-    """cid, fragment, n and grams: the sets of the rows ``ids``, cut by ranges of the n-gram order."""
+    """cid, fragment, n and grams: the sets of the rows ``ids``, cut by ranges of the n-gram order; fragment -1 holds the parities."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _chunks(batches):
@@ -175,6 +185,8 @@ def segments(docs: DataFrame, ids: DataFrame, k: int, key: str, text: str, fragm
                 at = np.searchsorted(s >> np.uint64(32), (np.arange(fragments + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(fragments))
                 c = class_of(s)
                 rows += [(c, f, len(s), s[i:j].view(np.int64)) for f, (i, j) in enumerate(zip(at, at[1:], strict=False)) if j > i]
+                if len(s):
+                    rows.append((c, -1, len(s), parities(s)))
             if rows:
                 c, f, n, g = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(f, pa.int32()), pa.array(n, pa.int64()), pa.array(g, pa.list_(pa.int64()))], ["cid", "fragment", "n", "grams"])
@@ -183,37 +195,41 @@ def segments(docs: DataFrame, ids: DataFrame, k: int, key: str, text: str, fragm
     return chosen.mapInArrow(cut, "cid long, fragment int, n long, grams array<long>").dropDuplicates(["cid", "fragment"])
 
 
+def close(cut: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """The ``pairs`` (a, b: classes) that sizes and parities leave possible."""
+    bits = cut.filter("fragment = -1")
+    both = bits.select(F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("grams").alias("x")).join(small_side(pairs), "a")
+    both = both.join(bits.select(F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("grams").alias("y")), "b")
+    both = both.filter(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
+
+    def folded(x: str, y: str) -> Column:
+        """``x`` with half as many bins, where it has twice as many as ``y``."""
+        half = F.size(y)
+        lower, upper = F.slice(x, F.lit(1), half), F.slice(x, half + 1, half)
+        return F.when(F.size(x) == 2 * half, F.zip_with(lower, upper, lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(x))
+
+    both = both.select("a", "b", "n_a", "n_b", folded("x", "y").alias("x"), folded("y", "x").alias("y"))
+    differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("long")), F.lit(0).cast("long"), lambda s, v: s + v)
+    unlike = (F.size("x") == F.size("y")) & ((num + den) * differ > (den - num) * (F.col("n_a") + F.col("n_b")))
+    return both.filter(~unlike).select("a", "b")
+
+
 def overlaps(cut: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
     """The ``pairs`` (a, b: classes) that pass the threshold; partial overlaps are counted by fragment and summed."""
+    pairs = stage(close(cut, pairs, num, den), "jaccard-close")
+    if pairs.isEmpty():
+        return pairs
+    cut = cut.filter("fragment >= 0")
     left = cut.select(F.col("cid").alias("a"), "fragment", F.col("n").alias("n_a"), F.col("grams").alias("g_a"))
     right = cut.select(F.col("cid").alias("b"), "fragment", F.col("n").alias("n_b"), F.col("grams").alias("g_b"))
-    partial = left.join(small_side(pairs), "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("g_a", "g_b")).cast("long").alias("c"))
+    few = small_side(pairs)
+    if few is not pairs:
+        right = right.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
+    partial = left.join(few, "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("g_a", "g_b")).cast("long").alias("c"))
     summed = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("c").alias("c"))
     return summed.filter(den * F.col("c") >= num * (F.col("n_a") + F.col("n_b") - F.col("c"))).select("a", "b")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of about ``most`` bytes of (cid, keys) rows at a time: distinct (key, cid) in order, starts and lengths of the runs of a key."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-
-    def out() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        c = np.concatenate([x.column(0).to_numpy() for x in held])
-        n = np.concatenate([pc.binary_length(x.column(1)).to_numpy() for x in held]) // 8
-        k = np.frombuffer(b"".join(y for x in held for y in x.column(1).to_pylist()), np.uint64)
-        if len(k):
-            yield _sorted(k, np.repeat(c, n))
-
-    for b in _slices(batches, most):
-        held.append(b)
-        size += b.column(1).nbytes
-        if size >= most:
-            yield from out()
-            held, size = [], 0
-    if held:
-        yield from out()
-
-
 def _sorted(k: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     order = np.lexsort((c, k))
     k, c = k[order], c[order]
@@ -224,59 +240,98 @@ def _sorted(k: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return k, c, first, np.diff(np.append(first, len(k)))
 
 
-def members(sets: DataFrame, hot: int = 64, size: int = 16_000_000) -> DataFrame:
-    """key and cid of the classes in ``sets`` (cid, keys) that share a key with another; rows may repeat.
+def _packed(k: np.ndarray, c: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Sorted keys byte by byte, the highest bytes of which repeat, the distinct classes, and each key's place among them."""
+    known, at = np.unique(c, return_inverse=True)
+    return k.view(np.uint8).reshape(-1, 8).T.tobytes(), known.tobytes(), at.astype(np.uint16 if len(known) <= 1 << 16 else np.uint32).tobytes()
+
+
+def _unpacked(keys: bytes, known: bytes, at: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(keys) // 8
+    k = np.ascontiguousarray(np.frombuffer(keys, np.uint8).reshape(8, n).T).view(np.uint64).ravel()
+    return k, np.frombuffer(known, np.int64)[np.frombuffer(at, np.uint16 if len(at) == 2 * n else np.uint32)]
+
+
+def members(rows: DataFrame, k: int, num: int, den: int, hot: int = 64, size: int = 16_000_000) -> DataFrame:
+    """doc_id, n and cid per row of ``rows`` (doc_id, text), and key and cid of the classes that share a key with another.
 
-    A key with over ``hot`` classes in a chunk of ``size`` bytes is dealt on with its first class only; all its classes
-    there are rows of the second pass over the keys.
+    Rows of the second kind have a key and may repeat. A key with over ``hot`` classes in a chunk of ``size`` bytes is
+    dealt on with its first class only; all its classes there pass by as rows.
     """
-    spark = sets.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * parts
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets, uppers, kind = 4 * parts, bands(num, den), _kind(rows)
+    plain = f"doc_id {kind}, n long, key long, cid long"
+    own = pa.string() if kind == "string" else pa.int64()
+    names = ["doc_id", "n", "key", "cid", "bucket", "keys", "known", "at"]
+
+    def batch(n: int, /, **columns: pa.Array) -> pa.RecordBatch:
+        types = [own, *[pa.int64()] * 3, pa.int32(), *[pa.binary()] * 3]
+        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, t) for c, t in zip(names, types, strict=True)], names)
+
+    def passing(key: pa.Array | None, cid: np.ndarray, **columns: pa.Array) -> pa.RecordBatch:
+        spread = (buckets + mix(cid.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+        return batch(len(cid), cid=pa.array(cid), bucket=pa.array(spread), **columns, **({} if key is None else {"key": key}))
+
+    def dealt(found: list[np.ndarray], cids: list[int]) -> Iterator[pa.RecordBatch]:
+        k, c, first, n = _sorted(np.concatenate(found).view(np.uint64), np.repeat(np.array(cids, np.int64), [len(x) for x in found]))
+        if (n > hot).any():
+            crowd = np.repeat(n > hot, n)
+            yield passing(pa.array(k[crowd].view(np.int64)), c[crowd])
+            crowd[first] = False
+            k, c = k[~crowd], c[~crowd]
+        b = ((k >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        at = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
+        rows = [_packed(k[i:j], c[i:j]) for i, j in zip(at, np.append(at[1:], len(k)), strict=True)]
+        yield batch(len(at), bucket=pa.array(b[at].astype(np.int32)), **{x: pa.array(y, pa.binary()) for x, y in zip(names[5:], zip(*rows, strict=True), strict=True)})
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, c, first, n in _runs(batches, size):
-            keep = np.ones(len(k), bool)
-            if (n > hot).any():
-                keep = np.repeat(n <= hot, n)
-                keep[first] = True
-            k, c = k[keep], c[keep]
-            b = ((k >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            at = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
-            to = np.append(at[1:], len(k))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(b[at].astype(np.int32)), *(pa.array([x[i:j].tobytes() for i, j in zip(at, to, strict=True)], pa.binary()) for x in (k, c))], ["bucket", "keys", "cids"]
-            )
-
-    def crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, c, _, n in _runs(batches, size):
-            if (n > hot).any():
-                keep = np.repeat(n > hot, n)
-                yield pa.RecordBatch.from_arrays([pa.array(k[keep].view(np.int64)), pa.array(c[keep])], ["key", "cid"])
+        seen: set[int] = set()  # copies in a task give their keys once; forgetting some only repeats keys
+        found: list[np.ndarray] = []
+        held: list[int] = []
+        for b in _slices(batches):
+            sets = shingle_sets(b.column(1).to_pylist(), k)
+            cids = [class_of(s) for s in sets]
+            yield passing(None, np.array(cids, np.int64), doc_id=b.column(0), n=pa.array([len(s) for s in sets], pa.int64()))
+            for s, c, known in zip(sets, cids, pc.is_valid(b.column(0)).to_pylist(), strict=True):
+                if len(s) and known and c not in seen:
+                    found.append(segment_keys(s, num, den, uppers))
+                    held.append(c)
+                    seen.add(c)
+            if 8 * sum(len(x) for x in found) >= size:
+                yield from dealt(found, held)
+                found, held = [], []
+            if len(seen) > 500_000:
+                seen.clear()
+        if found:
+            yield from dealt(found, held)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ks, cs = None, [], []
 
         def shared() -> Iterator[pa.RecordBatch]:
-            k, c, _, n = _sorted(np.frombuffer(b"".join(ks), np.uint64), np.frombuffer(b"".join(cs), np.int64))
+            k, c, _, n = _sorted(np.concatenate(ks), np.concatenate(cs))
             keep = np.repeat(n > 1, n)
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(k[keep].view(np.int64)), pa.array(c[keep])], ["key", "cid"])
+                yield batch(int(keep.sum()), key=pa.array(k[keep].view(np.int64)), cid=pa.array(c[keep])).select(names[:4])
 
         for b in batches:
-            for bucket, k, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            by = b.select(names[:4]).filter(pc.is_valid(b["cid"]))
+            if by.num_rows:
+                yield by
+            b = b.filter(pc.is_valid(b["keys"]))
+            for bucket, *row in zip(*(b[x].to_pylist() for x in names[4:]), strict=True):
                 if bucket != now and ks:
                     yield from shared()
                     ks, cs = [], []
                 now = bucket
-                ks.append(k)
-                cs.append(c)
+                keys, classes = _unpacked(*row)
+                ks.append(keys)
+                cs.append(classes)
         if ks:
             yield from shared()
 
-    packed = sets.mapInArrow(deal, "bucket int, keys binary, cids binary")
-    packed = packed.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket")
-    return packed.mapInArrow(meet, "key long, cid long").unionByName(sets.mapInArrow(crowded, "key long, cid long"))
+    packed = rows.mapInArrow(deal, f"{plain}, bucket int, keys binary, known binary, at binary")
+    return packed.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket").mapInArrow(meet, plain)
 
 
 def stars(met: DataFrame) -> DataFrame:
@@ -291,9 +346,9 @@ def stars(met: DataFrame) -> DataFrame:
 
 def prefixes(cut: DataFrame, open_: DataFrame, num: int, den: int) -> DataFrame:
     """a and b: the pairs of ``open_`` (cid, label) with different labels that the prefixes of their sets leave possible."""
-    grams = cut.join(small_side(open_.select("cid")), "cid", "left_semi").select("cid", F.explode("grams").alias("g"))
+    grams = cut.filter("fragment >= 0").join(small_side(open_.select("cid")), "cid", "left_semi").select("cid", F.explode("grams").alias("g"))
     df = stage(grams.groupBy("g").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "jaccard-df")
-    size = cut.select("cid", "n").distinct()
+    size = cut.filter("fragment = -1").select("cid", "n")
     held = grams.join(df, "g").groupBy("cid").agg(F.collect_list(F.struct("df", "g")).alias("shared"))
     held = held.join(small_side(open_), "cid").join(size, "cid")
     # n-grams of one class alone come first in the order and take up places of the prefix
@@ -320,28 +375,10 @@ def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, key: str =
     rows; with a null key a row is its own component, null. A string key stays a string, any other is a long. An
     empty table gives no rows; extra columns are ignored. A text is held by one task, so memory grows with the longest.
     """
-    uppers = bands(num, den)
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # copies in a task give their keys once; forgetting some only repeats keys
-        for b in _slices(batches):
-            sets = shingle_sets(b.column(1).to_pylist(), k)
-            cids = [class_of(s) for s in sets]
-            found = []
-            for s, c in zip(sets, cids, strict=True):
-                found.append(segment_keys(s, num, den, uppers).tobytes() if len(s) and c not in seen else b"")
-                seen.add(c)
-            if len(seen) > 500_000:
-                seen.clear()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(cids, pa.int64()), pa.array(found, pa.binary())], ["doc_id", "n", "cid", "keys"])
-
-    rows = _texts(docs, key, text)
-    sets = stage(rows.mapInArrow(first, f"doc_id {_kind(rows)}, n long, cid long, keys binary"), "jaccard-sets")
-    sized = stage(sets.select("doc_id", "n", "cid"), "jaccard-sized")
+    every = stage(members(_texts(docs, key, text), k, num, den), "jaccard-keys")
+    sized = every.filter("key IS NULL").select("doc_id", "n", "cid")
     reps = sized.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"))
-
-    met = stage(members(sets.filter("keys != x''").select("cid", "keys")).distinct(), "jaccard-members")
-    drop_staged(sets)
+    met = stage(every.filter("key IS NOT NULL").select("key", "cid").distinct(), "jaccard-members")
     # one row of each class that met another; rows without a key stand for no class of others
     ids = stage(sized.filter("doc_id IS NOT NULL").join(met.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.min("doc_id").alias("doc_id")), "jaccard-ids")
     cut = stage(segments(docs, small_side(ids.select("doc_id")), k, key, text), "jaccard-segments")

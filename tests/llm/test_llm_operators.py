@@ -52,6 +52,45 @@ def test_pipeline_drops_near_copies_of_five_words(spark):
     assert [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()] == [0]
 
 
+def test_parities_lose_no_pair(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows, pairs, sets = [], [], {}
+    for n in (1, 2, 9, 63, 64, 65, 100, 127, 130, 300, 1030):
+        whole = rng.integers(1 << 62, size=2 * n, dtype=np.uint64)
+        for changed in range(0, n + 1, max(1, n // 12)):
+            for extra in (0, max(0, n // 12)):
+                a, b = len(sets), len(sets) + 1
+                sets[a], sets[b] = np.unique(whole[:n]), np.unique(whole[changed : n + extra + changed])
+                pairs.append((a, b))
+    for c, s in sets.items():
+        rows += [(c, -1, len(s), jaccard.parities(s).tolist()), (c, 0, len(s), s.view(np.int64).tolist())]
+    cut = spark.createDataFrame(rows, "cid long, fragment int, n long, grams array<long>")
+    asked = spark.createDataFrame(pairs, "a long, b long")
+    share = {(a, b): (len(np.intersect1d(sets[a], sets[b])), len(np.union1d(sets[a], sets[b]))) for a, b in pairs}
+    near = {x for x, (c, u) in share.items() if 100 * c >= 85 * u}
+    left = {tuple(r) for r in jaccard.close(cut, asked, 85, 100).collect()}
+    assert near <= left and len(left) < len(pairs) / 2
+    assert {tuple(r) for r in jaccard.overlaps(cut, asked, 85, 100).collect()} == near
+
+
+def test_packed_keys_come_back():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for n, classes in ((1, 1), (5, 2), (70_000, 70_000)):
+        k, c = np.sort(rng.integers(1 << 63, size=n, dtype=np.uint64) * np.uint64(2)), rng.integers(-classes, classes, size=n)
+        got = jaccard._unpacked(*jaccard._packed(k, c))
+        assert (got[0] == k).all() and (got[1] == c).all()
+
+
+def test_jaccard_of_string_and_null_keys(spark):
+    texts = [("b", "a b c d e f g h"), ("a", "a b c d e f g h"), (None, "a b c d e f g h"), ("c", None), (None, "x y z q r s")]
+    got = jaccard.join(spark.createDataFrame(texts, "doc_id string, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == sorted([("b", 5, "a"), ("a", 5, "a"), ("None", 5, "None"), ("c", 0, "c"), ("None", 3, "None")])
+
+
 def test_segments_of_close_sets_meet():
     import numpy as np
 
