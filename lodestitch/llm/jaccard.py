@@ -269,7 +269,8 @@ def members(rows: DataFrame, k: int, num: int, den: int, hot: int = 64, size: in
         return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, t) for c, t in zip(names, types, strict=True)], names)
 
     def passing(key: pa.Array | None, cid: np.ndarray, **columns: pa.Array) -> pa.RecordBatch:
-        spread = (buckets + mix(cid.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+        # in turn and not by class: copies are many
+        spread = buckets + ((mix(cid[:1].view(np.uint64)) + np.arange(len(cid), dtype=np.uint64)) % np.uint64(parts)).astype(np.int32)
         return batch(len(cid), cid=pa.array(cid), bucket=pa.array(spread), **columns, **({} if key is None else {"key": key}))
 
     def dealt(found: list[np.ndarray], cids: list[int]) -> Iterator[pa.RecordBatch]:
