@@ -345,21 +345,161 @@ def stars(met: DataFrame) -> DataFrame:
     return met_lead.select(F.least("cid", "c").alias("a"), F.greatest("cid", "c").alias("b")).distinct()
 
 
+def rarest(cut: DataFrame, num: int, den: int, hot: int = 64, size: int = 2_000_000) -> DataFrame:
+    """cid, n, own and grams per set of ``cut``: the part of its prefix that other sets have too, rarest first.
+
+    ``own`` n-grams stand before it that no other set has; sets whose prefix they fill have no row. N-grams are dealt
+    by ranges of their hash, packed, counted there and dealt back by class. An n-gram with over ``hot`` classes in a
+    chunk of ``size`` n-grams is counted as one of them with that weight; the others pass by and meet the sum in a join.
+    """
+    parts = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * parts
+    names = ["bucket", "keys", "known", "sizes", "at", "weights", "g", "df"]
+    types = [pa.int32(), *[pa.binary()] * 5, pa.int64(), pa.int64()]
+    plain = "bucket int, keys binary, known binary, sizes binary, at binary, weights binary, g long, df long"
+
+    def batch(n: int, /, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, t) for c, t in zip(names, types, strict=True)], names)
+
+    def by_gram(g: np.ndarray) -> np.ndarray:
+        return (((g >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
+
+    def by_class(c: np.ndarray) -> np.ndarray:
+        return (mix(c.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+
+    def packed(bucket: np.ndarray, g: np.ndarray, c: np.ndarray, n: np.ndarray, w: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        if not len(g):
+            return
+        order = np.lexsort((g, bucket))
+        bucket, g, c, n = bucket[order], g[order], c[order], n[order]
+        w = None if w is None else w[order]
+        at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        rows = []
+        for i, j in zip(at, np.append(at[1:], len(g)), strict=True):
+            keys, known, place = _packed(g[i:j], c[i:j])
+            sizes = n[i:j][np.unique(c[i:j], return_index=True)[1]]
+            rows.append((keys, known, sizes.tobytes(), place, None if w is None else w[i:j].tobytes()))
+        yield batch(len(at), bucket=pa.array(bucket[at]), **{x: pa.array(y, pa.binary()) for x, y in zip(names[1:6], zip(*rows, strict=True), strict=True)})
+
+    def unpacked(row: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+        keys, known, sizes, at, weights = row
+        g, place = _unpacked(keys, np.arange(len(known) // 8).tobytes(), at)
+        return g, np.frombuffer(known, np.int64)[place], np.frombuffer(sizes, np.int64)[place], None if weights is None else np.frombuffer(weights, np.int64)
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray] | pa.RecordBatch]:
+        """The n-grams, classes, sizes and weights of each bucket, and the rows that pass by as they come."""
+        now, held = None, []
+        for b in batches:
+            by = b.filter(pc.is_null(b["weights"]))
+            if by.num_rows:
+                yield by
+            b = b.filter(pc.is_valid(b["weights"]))
+            for bucket, *row in zip(*(b[x].to_pylist() for x in names[:6]), strict=True):
+                if held and bucket != now:
+                    yield [np.concatenate(x) for x in zip(*held, strict=True)]
+                    held = []
+                now = bucket
+                held.append(unpacked(row))
+        if held:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+    def dealt(g: np.ndarray, c: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(g, kind="stable")
+        g, c, n = g[order], c[order], n[order]
+        first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+        met = np.diff(np.append(first, len(g)))
+        w = np.ones(len(g), np.int64)
+        crowd = np.repeat(met > hot, met)
+        if crowd.any():
+            w[first[met > hot]] = met[met > hot]
+            crowd[first] = False
+            # any bucket beyond the others: these rows only pass by
+            spread = buckets + by_class(c[crowd])
+            yield from packed(spread, g[crowd], c[crowd], n[crowd], None)
+        yield from packed(by_gram(g[~crowd]), g[~crowd], c[~crowd], n[~crowd], w[~crowd])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+        for b in batches:
+            each = pc.list_value_length(b["grams"]).to_numpy(zero_copy_only=False)
+            g = b["grams"].flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            held.append((g, np.repeat(b["cid"].to_numpy(), each), np.repeat(b["n"].to_numpy(), each)))
+            total += len(g)
+            if total >= size:
+                yield from dealt(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held, total = [], 0
+        if total:
+            yield from dealt(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    def counted(g: np.ndarray, c: np.ndarray, n: np.ndarray, w: np.ndarray) -> tuple[list[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        order = np.argsort(g, kind="stable")
+        g, c, n, w = g[order], c[order], n[order], w[order]
+        first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+        df, most = np.add.reduceat(w, first), np.maximum.reduceat(w, first)
+        each = np.repeat(df, np.diff(np.append(first, len(g))))
+        return [x[each > 1] for x in (g, c, n, each)], (g[first[most > 1]], df[most > 1])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+        for bucket in grouped(batches):
+            if isinstance(bucket, pa.RecordBatch):
+                yield bucket
+                continue
+            rows, (g, df) = counted(*bucket)
+            if len(g):
+                yield batch(len(g), g=pa.array(g.view(np.int64)), df=pa.array(df))
+            held.append(rows)
+            total += len(rows[0])
+            if total >= size:
+                g, c, n, w = (np.concatenate(x) for x in zip(*held, strict=True))
+                yield from packed(by_class(c), g, c, n, w)
+                held, total = [], 0
+        if total:
+            g, c, n, w = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield from packed(by_class(c), g, c, n, w)
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in zip(*(b[x].to_pylist() for x in names[1:6]), strict=True):
+                g, c, n, _ = unpacked(row)
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c), pa.array(n)], ["g", "cid", "n"])
+
+    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = b["cid"].to_numpy()
+            yield from packed(by_class(c), b["g"].to_numpy().view(np.uint64), c, b["n"].to_numpy(), b["df"].to_numpy())
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g, c, n, w in grouped(batches):
+            order = np.lexsort((g, w, c))
+            g, c, n = g[order], c[order], n[order]
+            first = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
+            shared = np.diff(np.append(first, len(c)))
+            own = n[first] - shared
+            length = np.clip(n[first] + (-n[first] * num) // den + 1 - own, 0, shared)
+            take = np.arange(len(c)) - np.repeat(first, shared) < np.repeat(length, shared)
+            some = length > 0
+            ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(length[some])))
+            grams = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(g[take].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (c[first], n[first], own)] + [grams], ["cid", "n", "own", "grams"])
+
+    sets = cut.select("cid", "n", "grams").mapInArrow(deal, plain)
+    met = sets.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket").mapInArrow(count, plain)
+    met = stage(met, "jaccard-counts")
+    sums = small_side(met.filter("df IS NOT NULL").select("g", "df"))
+    passed = met.filter("keys IS NOT NULL AND weights IS NULL").mapInArrow(rows_of, "g long, cid long, n long").join(sums, "g")
+    rows = met.filter("weights IS NOT NULL").unionByName(passed.mapInArrow(back, plain))
+    out = stage(rows.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket").mapInArrow(pick, "cid long, n long, own long, grams array<long>"), "jaccard-prefixes")
+    drop_staged(met)
+    return out
+
+
 def prefixes(cut: DataFrame, open_: DataFrame, num: int, den: int) -> DataFrame:
     """a and b: the pairs of ``open_`` (cid, label) with different labels that the prefixes of their sets leave possible."""
-    grams = cut.filter("fragment >= 0").join(small_side(open_.select("cid")), "cid", "left_semi").select("cid", F.explode("grams").alias("g"))
-    df = stage(grams.groupBy("g").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "jaccard-df")
-    size = cut.filter("fragment = -1").select("cid", "n")
-    held = grams.join(df, "g").groupBy("cid").agg(F.collect_list(F.struct("df", "g")).alias("shared"))
-    held = held.join(small_side(open_), "cid").join(size, "cid")
-    # n-grams of one class alone come first in the order and take up places of the prefix
-    own = F.col("n") - F.size("shared")
-    length = F.col("n") - F.expr(f"(n * {num}L + {den - 1}L) div {den}L") + 1
-    held = held.withColumn("own", own).withColumn("length", length - own).filter("length > 0")
-    held = stage(held.select("cid", "label", "n", "own", F.slice(F.sort_array("shared"), F.lit(1), F.col("length").cast("int")).alias("shared")), "jaccard-prefixes")
-    drop_staged(df)
-    held = held.select("cid", "label", "n", "own", F.posexplode("shared").alias("i", "x"))
-    left = held.select("cid", "label", "n", (F.col("own") + F.col("i")).alias("at"), F.col("x.g").alias("g"))
+    sets = cut.filter("fragment >= 0").join(small_side(open_.select("cid")), "cid", "left_semi")
+    held = rarest(sets, num, den).join(small_side(open_), "cid")
+    held = held.select("cid", "label", "n", "own", F.posexplode("grams").alias("i", "g"))
+    left = held.select("cid", "label", "n", (F.col("own") + F.col("i")).alias("at"), "g")
     right = left.select("g", *(F.col(c).alias(f"{c}_2") for c in ("cid", "label", "n", "at")))
     room = 1 + F.least(F.col("n") - F.col("at"), F.col("n_2") - F.col("at_2")) - 1
     fits = (F.col("label") < F.col("label_2")) & ((num + den) * room >= num * (F.col("n") + F.col("n_2")))

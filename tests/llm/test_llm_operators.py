@@ -75,6 +75,32 @@ def test_parities_lose_no_pair(spark):
     assert {tuple(r) for r in jaccard.overlaps(cut, asked, 85, 100).collect()} == near
 
 
+def test_prefixes_are_counted_exactly(spark):
+    from collections import Counter
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    common, pool = rng.integers(1 << 62, size=6, dtype=np.uint64) * np.uint64(4), rng.integers(1 << 62, size=400, dtype=np.uint64) * np.uint64(4)
+    sets, rows = {}, []
+    for c in range(120):
+        own = rng.integers(1 << 62, size=rng.integers(0, 9), dtype=np.uint64)
+        sets[c] = np.unique(np.concatenate((common if c % 3 else common[:2], rng.choice(pool, rng.integers(1, 80)), own)))
+        half = len(sets[c]) // 2
+        rows += [(c, f, len(sets[c]), part.view(np.int64).tolist()) for f, part in enumerate((sets[c][:half], sets[c][half:])) if len(part)]
+    df = Counter(g for s in sets.values() for g in s.tolist())
+    want = {}
+    for c, s in sets.items():
+        n, shared = len(s), sorted((g for g in s.tolist() if df[g] > 1), key=lambda g: (df[g], g))
+        length = n - -(-85 * n // 100) + 1 - (n - len(shared))
+        if length > 0:
+            want[c] = (n, n - len(shared), shared[:length])
+    cut = spark.createDataFrame(rows, "cid long, fragment int, n long, grams array<long>").repartition(3)
+    for hot, size in ((64, 2_000_000), (2, 500), (1, 50)):
+        got = {r.cid: (r.n, r.own, [g % (1 << 64) for g in r.grams]) for r in jaccard.rarest(cut, 85, 100, hot, size).collect()}
+        assert got == want
+
+
 def test_packed_keys_come_back():
     import numpy as np
 
