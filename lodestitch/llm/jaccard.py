@@ -136,7 +136,7 @@ def _kind(df: DataFrame, name: str = "doc_id") -> str:
     return df.schema[name].dataType.simpleString()
 
 
-def _slices(batches: Iterator[pa.RecordBatch], size: int = 4_000_000, column: int = 1) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], size: int = 1_000_000, column: int = 1) -> Iterator[pa.RecordBatch]:
     """Slices of the batches, each with about ``size`` bytes in a binary ``column``, or one longer row."""
     for b in batches:
         ends = np.cumsum(pc.binary_length(b.column(column)).to_numpy(zero_copy_only=False))
@@ -147,7 +147,7 @@ def _slices(batches: Iterator[pa.RecordBatch], size: int = 4_000_000, column: in
             at = to
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], size: int = 4_000_000) -> Iterator[tuple[list, list[bytes]]]:
+def _chunks(batches: Iterator[pa.RecordBatch], size: int = 1_000_000) -> Iterator[tuple[list, list[bytes]]]:
     """Ids and texts, about ``size`` bytes at a time."""
     for b in _slices(batches, size):
         yield b.column(0).to_pylist(), b.column(1).to_pylist()
@@ -252,7 +252,7 @@ def _unpacked(keys: bytes, known: bytes, at: bytes) -> tuple[np.ndarray, np.ndar
     return k, np.frombuffer(known, np.int64)[np.frombuffer(at, np.uint16 if len(at) == 2 * n else np.uint32)]
 
 
-def members(rows: DataFrame, k: int, num: int, den: int, hot: int = 64, size: int = 16_000_000) -> DataFrame:
+def members(rows: DataFrame, k: int, num: int, den: int, hot: int = 64, size: int = 8_000_000) -> DataFrame:
     """doc_id, n and cid per row of ``rows`` (doc_id, text), and key and cid of the classes that share a key with another.
 
     Rows of the second kind have a key and may repeat. A key with over ``hot`` classes in a chunk of ``size`` bytes is
@@ -345,7 +345,7 @@ def stars(met: DataFrame) -> DataFrame:
     return met_lead.select(F.least("cid", "c").alias("a"), F.greatest("cid", "c").alias("b")).distinct()
 
 
-def rarest(cut: DataFrame, num: int, den: int, hot: int = 64, size: int = 2_000_000) -> DataFrame:
+def rarest(cut: DataFrame, num: int, den: int, hot: int = 64, size: int = 500_000) -> DataFrame:
     """cid, n, own and grams per set of ``cut``: the part of its prefix that other sets have too, rarest first.
 
     ``own`` n-grams stand before it that no other set has; sets whose prefix they fill have no row. N-grams are dealt
