@@ -350,13 +350,15 @@ def rarest(cut: DataFrame, num: int, den: int, hot: int = 64, size: int = 500_00
 
     ``own`` n-grams stand before it that no other set has; sets whose prefix they fill have no row. N-grams are dealt
     by ranges of their hash, packed, counted there and dealt back by class. An n-gram with over ``hot`` classes in a
-    chunk of ``size`` n-grams is counted as one of them with that weight; the others pass by and meet the sum in a join.
+    chunk of ``size`` n-grams is counted as one of them with that weight; the others pass by, packed, and look it up in
+    the sums of their range, which a join adds.
     """
     parts = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * parts
-    names = ["bucket", "keys", "known", "sizes", "at", "weights", "g", "df"]
-    types = [pa.int32(), *[pa.binary()] * 5, pa.int64(), pa.int64()]
-    plain = "bucket int, keys binary, known binary, sizes binary, at binary, weights binary, g long, df long"
+    # rows of n-grams have no range, those that pass by no weights, sums no classes
+    names = ["bucket", "range", "keys", "known", "sizes", "at", "weights"]
+    types = [*[pa.int32()] * 2, *[pa.binary()] * 5]
+    plain = "bucket int, range int, keys binary, known binary, sizes binary, at binary, weights binary"
 
     def batch(n: int, /, **columns: pa.Array) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, t) for c, t in zip(names, types, strict=True)], names)
@@ -379,7 +381,12 @@ def rarest(cut: DataFrame, num: int, den: int, hot: int = 64, size: int = 500_00
             keys, known, place = _packed(g[i:j], c[i:j])
             sizes = n[i:j][np.unique(c[i:j], return_index=True)[1]]
             rows.append((keys, known, sizes.tobytes(), place, None if w is None else w[i:j].tobytes()))
-        yield batch(len(at), bucket=pa.array(bucket[at]), **{x: pa.array(y, pa.binary()) for x, y in zip(names[1:6], zip(*rows, strict=True), strict=True)})
+        columns = {x: pa.array(y, pa.binary()) for x, y in zip(names[2:], zip(*rows, strict=True), strict=True)}
+        if w is None:
+            spread = buckets + ((mix(c[:1].view(np.uint64)) + np.arange(len(at), dtype=np.uint64)) % np.uint64(parts)).astype(np.int32)
+            yield batch(len(at), bucket=pa.array(spread), range=pa.array(bucket[at]), **columns)
+        else:
+            yield batch(len(at), bucket=pa.array(bucket[at]), **columns)
 
     def unpacked(row: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
         keys, known, sizes, at, weights = row
@@ -394,7 +401,7 @@ def rarest(cut: DataFrame, num: int, den: int, hot: int = 64, size: int = 500_00
             if by.num_rows:
                 yield by
             b = b.filter(pc.is_valid(b["weights"]))
-            for bucket, *row in zip(*(b[x].to_pylist() for x in names[:6]), strict=True):
+            for bucket, *row in zip(*(b[x].to_pylist() for x in ("bucket", *names[2:])), strict=True):
                 if held and bucket != now:
                     yield [np.concatenate(x) for x in zip(*held, strict=True)]
                     held = []
@@ -413,9 +420,7 @@ def rarest(cut: DataFrame, num: int, den: int, hot: int = 64, size: int = 500_00
         if crowd.any():
             w[first[met > hot]] = met[met > hot]
             crowd[first] = False
-            # any bucket beyond the others: these rows only pass by
-            spread = buckets + by_class(c[crowd])
-            yield from packed(spread, g[crowd], c[crowd], n[crowd], None)
+            yield from packed(by_gram(g[crowd]), g[crowd], c[crowd], n[crowd], None)
         yield from packed(by_gram(g[~crowd]), g[~crowd], c[~crowd], n[~crowd], w[~crowd])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -447,7 +452,7 @@ def rarest(cut: DataFrame, num: int, den: int, hot: int = 64, size: int = 500_00
                 continue
             rows, (g, df) = counted(*bucket)
             if len(g):
-                yield batch(len(g), g=pa.array(g.view(np.int64)), df=pa.array(df))
+                yield batch(1, range=pa.array(by_gram(g[:1])), keys=pa.array([g.tobytes()]), weights=pa.array([df.tobytes()]))
             held.append(rows)
             total += len(rows[0])
             if total >= size:
@@ -458,16 +463,20 @@ def rarest(cut: DataFrame, num: int, den: int, hot: int = 64, size: int = 500_00
             g, c, n, w = (np.concatenate(x) for x in zip(*held, strict=True))
             yield from packed(by_class(c), g, c, n, w)
 
-    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in zip(*(b[x].to_pylist() for x in names[1:6]), strict=True):
-                g, c, n, _ = unpacked(row)
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c), pa.array(n)], ["g", "cid", "n"])
-
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
         for b in batches:
-            c = b["cid"].to_numpy()
-            yield from packed(by_class(c), b["g"].to_numpy().view(np.uint64), c, b["n"].to_numpy(), b["df"].to_numpy())
+            for *row, sums, weights in zip(*(b[x].to_pylist() for x in (*names[2:6], "sum_keys", "sums")), strict=True):
+                g, c, n, _ = unpacked((*row, None))
+                held.append((g, c, n, np.frombuffer(weights, np.int64)[np.searchsorted(np.frombuffer(sums, np.uint64), g)]))
+                total += len(g)
+                if total >= size:
+                    g, c, n, w = (np.concatenate(x) for x in zip(*held, strict=True))
+                    yield from packed(by_class(c), g, c, n, w)
+                    held, total = [], 0
+        if total:
+            g, c, n, w = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield from packed(by_class(c), g, c, n, w)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g, c, n, w in grouped(batches):
@@ -486,9 +495,9 @@ def rarest(cut: DataFrame, num: int, den: int, hot: int = 64, size: int = 500_00
     sets = cut.select("cid", "n", "grams").mapInArrow(deal, plain)
     met = sets.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket").mapInArrow(count, plain)
     met = stage(met, "jaccard-counts")
-    sums = small_side(met.filter("df IS NOT NULL").select("g", "df"))
-    passed = met.filter("keys IS NOT NULL AND weights IS NULL").mapInArrow(rows_of, "g long, cid long, n long").join(sums, "g")
-    rows = met.filter("weights IS NOT NULL").unionByName(passed.mapInArrow(back, plain))
+    sums = met.filter("known IS NULL").select("range", F.col("keys").alias("sum_keys"), F.col("weights").alias("sums"))
+    passed = met.filter("known IS NOT NULL AND range IS NOT NULL").join(sums, "range").select(*names[2:6], "sum_keys", "sums")
+    rows = met.filter("range IS NULL").unionByName(passed.mapInArrow(back, plain))
     out = stage(rows.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket").mapInArrow(pick, "cid long, n long, own long, grams array<long>"), "jaccard-prefixes")
     drop_staged(met)
     return out
