@@ -44,6 +44,12 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(norm == 0, 1, norm)
 
 
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """All products of two blocks in doubles, for the confidences of what single floats have found."""
+    x, y = x.astype(np.float64), y.astype(np.float64)
+    return x @ y.T / np.sqrt(np.outer((x * x).sum(axis=1), (y * y).sum(axis=1)))
+
+
 def _flat(rows: pa.ListArray) -> np.ndarray:
     return rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
 
@@ -181,10 +187,10 @@ def _search(p: Search, threshold: float, same: bool) -> DataFrame:
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, one in zip(*batch.columns, strict=True):
-                (ia, x), (ib, y) = ((r.values.field("id"), _unit(_flat(r.values.field("v")))) for r in (a, b))
-                c = x @ y.T
+                (ia, x), (ib, y) = ((r.values.field("id"), _flat(r.values.field("v"))) for r in (a, b))
+                c = _unit(x) @ _unit(y).T
                 at, bt = np.nonzero(np.triu(c > threshold, 1) if one.as_py() else c > threshold)
-                sim = np.round(np.minimum(c[at, bt].astype(np.float64), 1.0), 6)
+                sim = np.round(np.minimum(_cosines(x, y)[at, bt], 1.0), 6) if len(at) else np.zeros(0)
                 yield pa.RecordBatch.from_arrays([ia.take(pa.array(at)), ib.take(pa.array(bt)), pa.array(sim)], ["hpo_id", "sct_id", "confidence"])
 
     schema = f"hpo_id {p.source.schema['id'].dataType.simpleString()}, sct_id {p.target.schema['id'].dataType.simpleString()}, confidence double"
@@ -197,8 +203,8 @@ def _search(p: Search, threshold: float, same: bool) -> DataFrame:
 def cosine_join(source: DataFrame, target: DataFrame, threshold: float = COSINE_THRESHOLD) -> DataFrame:
     """(hpo_id, sct_id, attribute, confidence) of all pairs with a cosine strictly over ``threshold``; the best of a pair.
 
-    Both sides are (id, v). Null vectors are left out, zero vectors match nothing. Confidence is cut at 1 and
-    rounded half to even at six places, after the test. Vectors are grouped by the nearest of at most PIVOTS pivots,
+    Both sides are (id, v). Null vectors are left out, zero vectors match nothing. Confidence is taken in doubles,
+    cut at 1 and rounded half to even at six places, after the test. Vectors are grouped by the nearest of at most PIVOTS pivots,
     taken from a bounded sample of the source, and by their angle to it; pairs of groups that are too far apart by the
     triangle inequality are skipped, which loses no pair, whatever the pivots (``skipped`` tells the share). Groups of
     any size are cut into blocks.

@@ -79,18 +79,23 @@ def hierarchy_relation(s: SparkSession, d: str) -> DataFrame:
     return hierarchy.relation(pairs, hierarchy.closure(edges(s, d)))
 
 
+def _four_places(c: str) -> Column:
+    """A positive double at four places as the SQL has it: by its binary value, where Spark's round takes the decimal digits (0.31375)."""
+    return F.floor(F.col(c) * 10000 + 0.5) / 10000
+
+
 def cosine_pairs(s: SparkSession, d: str) -> DataFrame:
     """Even with odd ids: two sides without a common row, for tests of the blocks. Not registered, as it leaves out pairs."""
     v = _t(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     out = embedding.cosine_join(v.filter("id % 2 = 0"), v.filter("id % 2 = 1"), 0.3)
-    return out.withColumn("confidence", F.round("confidence", 4))
+    return out.withColumn("confidence", _four_places("confidence"))
 
 
 def cosine_pairs_all(s: SparkSession, d: str) -> DataFrame:
     """All pairs of different embeddings, each once."""
     v = _t(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     out = embedding.cosine_self_join(v, 0.3)
-    return out.withColumn("confidence", F.round("confidence", 4))
+    return out.withColumn("confidence", _four_places("confidence"))
 
 
 def pair_phases(s: SparkSession, d: str) -> DataFrame:

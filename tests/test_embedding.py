@@ -1,5 +1,6 @@
 """The pruned cosine search against all products, and the embedder's contract."""
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -78,3 +79,20 @@ def test_embedder_asks_each_text_once(spark, tmp_path):
     assert sorted(asked) == sorted({t for _, t in terms if t})
     pairs = embedding.embedding_pairs(df.filter("concept_id IN ('h1', 'h2', 'h3')"), df.filter("concept_id IN ('h4', 'x0')"), embedding.TermEmbedder(model, 3), 0.7)
     assert [tuple(r) for r in pairs.orderBy("hpo_id").collect()] == [("h1", "h4", "embedding", 0.774597), ("h2", "h4", "embedding", 0.774597)]
+
+
+def test_confidences_are_those_of_doubles(spark):
+    x = np.random.default_rng(8).normal(size=(400, 64)).astype(np.float32)
+    m = x.astype(np.float64)
+    c = m @ m.T / np.sqrt(np.outer((m * m).sum(axis=1), (m * m).sum(axis=1)))
+    got = embedding.cosine_self_join(frame(spark, range(400), x), 0.0).collect()
+    assert len(got) > 30_000 and all(r.confidence == round(min(c[r.hpo_id, r.sct_id], 1.0), 6) for r in got)
+
+
+def test_four_places_by_binary_value(spark):
+    from lodestitch.plans.alignment import _four_places
+
+    values = [i / 1e6 for i in range(300_050, 400_000, 100)]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "c double").select(_four_places("c")).collect()]
+    want = [r[0] for r in duckdb.sql(f"SELECT round(v, 4) FROM (SELECT unnest({values}::DOUBLE[]) AS v)").fetchall()]
+    assert got == want
