@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from lodestitch.constants import CONFIDENCE_MAX, REVIEW_REASON
 from lodestitch.functions.text import children_text, quote_list
 
-from .answers import CHUNK, AnswerStore
+from .answers import CHUNK, AnswerStore, prompt_key
 
 PAIR = ["hpo_id", "sct_id"]
 ANSWER = "struct<rationale:string,decision:string,confidence:string>"
+_LISTS = ("labels", "synonyms", "definitions", "comments", "parents", "children")
 GROUP = "struct<mappings:array<struct<sct_id:string,rationale:string,decision:string,confidence:string>>>"
 
 
@@ -48,23 +49,33 @@ def _lines(*parts: tuple[str, Column]) -> Column:
     return F.concat_ws("\n", *(F.concat(F.lit(f"* {name}: "), c) for name, c in parts))
 
 
-def _source(d: str) -> Column:
-    return _lines(("Label", quote_list(F.col(f"{d}.labels"))), ("Synonyms", quote_list(F.col(f"{d}.synonyms"))), ("Definition", quote_list(F.col(f"{d}.definitions"))), ("Comment", quote_list(F.col(f"{d}.comments"))), ("Parents", quote_list(F.col(f"{d}.parents"))), ("Children", children_text(F.col(f"{d}.children"))))
+def _source(**lists: Column) -> Column:
+    return _lines(*((name, quote_list(lists[c])) for name, c in (("Label", "labels"), ("Synonyms", "synonyms"), ("Definition", "definitions"), ("Comment", "comments"), ("Parents", "parents"))), ("Children", children_text(lists["children"])))
+
+
+def _target(**lists: Column) -> Column:
+    return _lines(("Term", quote_list(lists["labels"])), ("Synonyms", quote_list(lists["synonyms"])), ("Parents", quote_list(lists["parents"])), ("Children", children_text(lists["children"])))
+
+
+def _told(described: DataFrame, text: Callable[..., Column], key: str, name: str) -> DataFrame:
+    """(key, name): what a prompt says about a concept, made once however many pairs have it, as its lists may be long."""
+    return described.select(F.col("concept_id").alias(key), text(**{c: F.col(c) for c in _LISTS}).alias(name))
+
+
+def _untold(text: Callable[..., Column]) -> Column:
+    """The text of a concept that isn't described."""
+    return text(**dict.fromkeys(_LISTS, F.lit(None).cast("array<string>")))
 
 
 def prompts(selected: DataFrame, source: DataFrame, target: DataFrame, reach: DataFrame) -> DataFrame:
     """(hpo_id, llm_pass, prompt): one per pair in pass 1, one per concept with all its candidates in pass 2."""
-    h = source.select(F.col("concept_id").alias("hpo_id"), F.struct("*").alias("h"))
-    t = target.select(F.col("concept_id").alias("sct_id"), F.struct("*").alias("t"))
+    h, t = _told(source, _source, "hpo_id", "src"), _told(target, _target, "sct_id", "tgt")
     rel = related_text(selected, target, reach)
-    p = selected.join(h, "hpo_id", "left").join(t, "sct_id", "left").join(rel, PAIR, "left")
-    block = _lines(
-        ("ID", F.col("sct_id").cast("string")), ("Term", quote_list(F.col("t.labels"))), ("Synonyms", quote_list(F.col("t.synonyms"))), ("Parents", quote_list(F.col("t.parents"))),
-        ("Children", children_text(F.col("t.children"))), ("Related candidates", F.coalesce("related", F.lit("None"))), ("Review reason", F.col("review_reason")),
-    )
-    p = p.select("hpo_id", "llm_pass", _source("h").alias("src"), F.struct(-F.col("validity"), F.col("sct_id"), block.alias("b")).alias("b"))
-    g = p.groupBy("hpo_id", "llm_pass").agg(F.min("src").alias("src"), F.sort_array(F.collect_list("b")).alias("b"))
-    return g.select("hpo_id", "llm_pass", F.concat(F.col("src"), F.lit("\n\n"), F.array_join(F.col("b.b"), "\n\n---\n\n")).alias("prompt"))
+    p = selected.join(rel, PAIR, "left").join(t, "sct_id", "left")
+    block = F.concat_ws("\n", _lines(("ID", F.col("sct_id").cast("string"))), F.coalesce("tgt", _untold(_target)), _lines(("Related candidates", F.coalesce("related", F.lit("None"))), ("Review reason", F.col("review_reason"))))
+    p = p.select("hpo_id", "llm_pass", F.struct(-F.col("validity"), F.col("sct_id"), block.alias("b")).alias("b"))
+    g = p.groupBy("hpo_id", "llm_pass").agg(F.sort_array(F.collect_list("b")).alias("b")).join(h, "hpo_id", "left")
+    return g.select("hpo_id", "llm_pass", F.concat(F.coalesce("src", _untold(_source)), F.lit("\n\n"), F.array_join(F.col("b.b"), "\n\n---\n\n")).alias("prompt"))
 
 
 def related_text(selected: DataFrame, target: DataFrame, reach: DataFrame) -> DataFrame:
@@ -92,10 +103,12 @@ def generate(asked: DataFrame, model: Callable[[list[str]], list[str]], settings
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"prompt": b["prompt"], "answer": model(b["prompt"].tolist())})
+            yield pd.DataFrame({"_key": b["_key"], "answer": model(b["prompt"].tolist())})
 
-    got = asked.select("prompt").filter("prompt IS NOT NULL").distinct().mapInPandas(ask, "prompt string, answer string")
-    return asked.join(got, "prompt", "left").select(*asked.columns, "answer")
+    # Prompts meet their answers by key: the text moves once to be told apart, and with its rows only where it is read on.
+    once = asked.filter("prompt IS NOT NULL").groupBy(prompt_key().alias("_key")).agg(F.first("prompt").alias("prompt"))
+    got = once.mapInPandas(ask, "_key string, answer string")
+    return asked.withColumn("_key", prompt_key()).join(got, "_key", "left").select(*asked.columns, "answer")
 
 
 def _parsed(a: Column) -> list[Column]:
