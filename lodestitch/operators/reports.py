@@ -1,11 +1,12 @@
 """All tables of the evaluation from one scan of the pairs, and the structural and distance reports.
 
-Pairs are counted under every set they belong to (stage, code, method, step, bucket ...) by one aggregation over
-memberships, whose few sums then make up the tables.
+Pairs that are alike are added up, then counted under every set they belong to (stage, code, method, step, bucket ...),
+and the few sums make up the tables.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from py4j.protocol import Py4JJavaError
@@ -22,18 +23,30 @@ from .evaluation import PAIR, _flag
 #: Pools of similarity rows whose thresholds are reported; the last takes the higher of both.
 POOLS = ("jaccard", "embedding", "either")
 OUTCOMES = ("accepted", "conflict", "review", "removed")
+#: Sets a long tells apart by its bits.
+_WORD = 62
 _SCORES = "n_pairs long, n_hpo long, n_correct long, precision double, recall double, f1 double"
 
 
-def pair_table(rows: DataFrame, gold: DataFrame, accepted: DataFrame) -> DataFrame:
-    """One row per generated pair: validity, step, methods (in the order of generation), the best confidence of either
-    similarity method, auto, llm, final and in_gold. ``accepted`` are the pairs of the review."""
-    best = {m: F.max(F.when(F.col("attribute") == m, F.col("confidence"))).alias(m) for m in POOLS[:2]}
-    p = rows.groupBy(*PAIR).agg(F.max("validity").cast("int").alias("validity"), F.max("step").alias("step"), F.collect_set("attribute").alias("ms"), *best.values())
-    p = _flag(_flag(p, gold, "in_gold"), accepted, "llm").withColumn("either", F.greatest(*POOLS[:2]))
-    auto = F.coalesce(F.col("validity") == ACCEPTED, F.lit(False))
-    order = F.array(*map(F.lit, METHODS))
-    return p.select(*PAIR, "validity", "step", F.filter(order, lambda m: F.array_contains("ms", m)).alias("methods"), *POOLS, auto.alias("auto"), "llm", (auto | F.col("llm")).alias("final"), "in_gold")
+def pair_table(rows: DataFrame, gold: DataFrame | Column, accepted: DataFrame | Column) -> DataFrame:
+    """One row per pair of any input: made (it was generated), validity, step, methods (bits in the order of generation),
+    the best confidence of either similarity method, auto, llm, final, gold, and in_gold for pairs without nulls.
+
+    ``accepted`` are the pairs of the review. It and ``gold`` are tables, or conditions on ``rows``; all meet in one
+    aggregation.
+    """
+    marks = {"gold": gold, "llm": accepted}
+    every = rows.select(*PAIR, "attribute", "confidence", F.col("validity").cast("int").alias("validity"), "step", F.lit(True).alias("made"), *[c.alias(n) for n, c in marks.items() if isinstance(c, Column)])
+    for name, others in marks.items():
+        if isinstance(others, DataFrame):
+            every = every.unionByName(others.select(*PAIR, F.lit(True).alias(name)), allowMissingColumns=True)
+    method, flag = F.col("attribute"), {n: F.coalesce(F.bool_or(n), F.lit(False)).alias(n) for n in ("made", "gold", "llm")}
+    bits = F.coalesce(F.bit_or(F.coalesce(*[F.when(method == m, F.lit(1 << i)) for i, m in enumerate(METHODS)])), F.lit(0))
+    best = [F.max(F.when(method == m, F.col("confidence"))).alias(m) for m in POOLS[:2]]
+    p = every.groupBy(*PAIR).agg(F.max("validity").alias("validity"), F.max("step").alias("step"), bits.alias("methods"), *best, *flag.values())
+    known = F.col("hpo_id").isNotNull() & F.col("sct_id").isNotNull()
+    auto, llm = F.coalesce(F.col("validity") == ACCEPTED, F.lit(False)), F.col("llm") & known
+    return p.select(*PAIR, "made", "validity", "step", "methods", *POOLS[:2], F.greatest(*POOLS[:2]).alias(POOLS[2]), auto.alias("auto"), llm.alias("llm"), (auto | llm).alias("final"), "gold", (F.col("gold") & known).alias("in_gold"))
 
 
 class Count(NamedTuple):
@@ -48,29 +61,41 @@ def _in(table: str, key: Column | str, cond: Column | None = None) -> Column:
     return m if cond is None else F.when(cond, m)
 
 
-def _memberships(steps: dict[str, list[float]]) -> list[Column]:
-    """Arrays of all sets a pair is in; thresholds by the number of them that the pair reaches."""
-    v, o = F.col("validity"), outcome(F.col("validity"))
-    held = dict(zip(STAGES, (F.lit(True), v.between(1, ACCEPTED), F.col("auto"), F.col("llm"), F.col("final")), strict=True))
-    at = F.array_position(F.array(*[F.lit(s) for s, _ in STEP_LABELS]), F.col("step"))
-    single = [_in("stage", s, c) for s, c in held.items()]
-    single += [_in("code", F.coalesce(v.cast("string"), F.lit("none"))), _in("agreement", F.size("methods")), _in("combination", F.array_join("methods", ","))]
-    single += [_in("flow", F.concat_ws(">", F.coalesce("step", F.lit("none")), F.coalesce(o, F.lit("unreached")), F.when(F.col("final"), "final").otherwise("rejected")))]
-    single += [_in("step", F.col("step"), at > 0), _in("step_outcome", F.concat_ws(">", "step", o), at > 0)]
-    fallback = next(i for i, (s, _) in enumerate(STEP_LABELS, 1) if STEP_CODE[s] in FALLBACK_CODES)
-    for i, (s, _) in enumerate(STEP_LABELS, 1):
-        if i > 1:
-            single.append(_in("step_cumulative", s, (at > 0) & (at <= i) & (o == "accepted" if i < fallback else o != "removed")))
-    every = [F.array(*single)]
-    for (table, pool), ts in steps.items():
-        every.append(F.array(_in(f"{table}:{pool}", _reached(ts, pool), F.col(pool).isNotNull())))
-    every.append(F.transform("methods", lambda m: F.struct(F.lit("method").alias("t"), m.alias("k"))))
-    every.append(F.when(F.col("final"), F.transform("methods", lambda m: F.struct(F.lit("method_final").alias("t"), m.alias("k")))).otherwise(F.array().cast("array<struct<t:string,k:string>>")))
-    found = F.get("methods", F.lit(0))
-    first = F.array_position(F.array(*map(F.lit, METHODS)), found)
-    every.append(F.array(_in("method_new", found, F.size("methods") > 0)))
-    every.append(F.transform(F.filter(F.sequence(F.lit(1), F.lit(len(METHODS))), lambda i: i >= first), lambda i: F.struct(F.lit("method_cumulative").alias("t"), F.element_at(F.array(*map(F.lit, METHODS)), i).alias("k"))))
-    return every
+def _fixed_sets() -> dict[tuple[str, str], Column]:
+    """The sets known beforehand, whose concepts are counted too: (table, key) and the condition of a pair."""
+    v, o, ms = F.col("validity"), outcome(F.col("validity")), F.col("methods")
+    held = zip(STAGES, (F.lit(True), v.between(1, ACCEPTED), F.col("auto"), F.col("llm"), F.col("final")), strict=True)
+    out = {("stage", s): c for s, c in held}
+    out |= {("code", str(c)): v == c for c in range(ACCEPTED + 1)} | {("code", "none"): v.isNull()}
+    fallback = next(i for i, (s, _) in enumerate(STEP_LABELS) if STEP_CODE[s] in FALLBACK_CODES)
+    for i, (s, _) in enumerate(STEP_LABELS):
+        here = F.col("step") == s
+        out |= {("step", s): here} | {("step_outcome", f"{s}>{x}"): here & (o == x) for x in OUTCOMES}
+        if i:
+            out["step_cumulative", s] = F.col("step").isin(*[x for x, _ in STEP_LABELS[: i + 1]]) & (o == "accepted" if i < fallback else o != "removed")
+    for i, m in enumerate(METHODS):
+        has, upto = ms.bitwiseAND(1 << i) != 0, ms.bitwiseAND((2 << i) - 1)
+        out |= {("method", m): has, ("method_final", m): has & F.col("final"), ("method_cumulative", m): upto != 0, ("method_new", m): upto == 1 << i}
+    return out
+
+
+def _masks(sets: list[Column]) -> list[Column]:
+    """The sets a pair is in, as bits of as few longs as hold them."""
+    word = lambda conds: reduce(Column.bitwiseOR, [F.when(c, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, c in enumerate(conds)])
+    return [word(sets[at : at + _WORD]).alias(f"m{at // _WORD}") for at in range(0, len(sets), _WORD)]
+
+
+def _listed(sets: list[tuple[str, str]]) -> Column:
+    """The sets of the masks, as (t, k)."""
+    each = [F.when(F.col(f"m{i // _WORD}").bitwiseAND(F.lit(1 << i % _WORD).cast("long")) != 0, F.struct(F.lit(t).alias("t"), F.lit(k).alias("k"))) for i, (t, k) in enumerate(sets)]
+    return F.array_compact(F.array(*each))
+
+
+def _open_sets() -> Column:
+    """The sets whose keys come from the pairs."""
+    names = F.array_compact(F.array(*[F.when(F.col("methods").bitwiseAND(1 << i) != 0, m) for i, m in enumerate(METHODS)]))
+    flow = F.concat_ws(">", F.coalesce("step", F.lit("none")), F.coalesce(outcome(F.col("validity")), F.lit("unreached")), F.when(F.col("final"), "final").otherwise("rejected"))
+    return F.array(_in("agreement", F.size(names)), _in("combination", F.array_join(names, ",")), _in("flow", flow))
 
 
 def _reached(thresholds: list[float], pool: str) -> Column:
@@ -95,24 +120,39 @@ def _observed(seen: Observation, names: list[str]) -> dict:
         return {n: 0 if n == "n" else None for n in names}
 
 
-def report(rows: DataFrame, gold: DataFrame, accepted: DataFrame) -> dict[str, DataFrame]:
+def report(rows: DataFrame, gold: DataFrame | Column, accepted: DataFrame | Column) -> dict[str, DataFrame]:
     """All tables that count pairs, by name.
 
-    ``rows`` are the generated rows with validity and step, ``accepted`` the pairs of the review. The pairs are built
-    and written once, observed on the way (universe, range of confidences), and read once for all sets. The sums, as
-    many as there are sets, make up the tables on the driver. Pools without pairs have no rows in their tables.
+    ``rows`` are the generated rows with validity and step, ``accepted`` the pairs of the review; it and ``gold`` may be
+    conditions on ``rows``. The pairs are built and written once, observed on the way (universe, range of
+    confidences), and read by one execution: pairs that are alike in all that is counted are added up before they are
+    put into sets, and the sets of a concept's pairs are joined as bits. The sums, as many as there are sets, make up
+    the tables on the driver. Pools without pairs have no rows in their tables.
     """
     spark = rows.sparkSession
-    scratch, seen, seen_gold = Scratch(spark, "report"), Observation(), Observation()
+    scratch, seen = Scratch(spark, "report"), Observation()
     reach = [f(p).alias(f"{name}_{p}") for p in POOLS for name, f in (("low", F.min), ("high", F.max))]
-    every = scratch.keep(pair_table(rows, gold.select(*PAIR).distinct().observe(seen_gold, F.count(F.lit(1)).alias("n")), accepted).observe(seen, F.count(F.lit(1)).alias("n"), *reach), "pairs")
-    got = _observed(seen, ["n", *[f"{name}_{p}" for p in POOLS for name in ("low", "high")]])
-    n_gold, universe, found = _observed(seen_gold, ["n"])["n"], got["n"], [p for p in POOLS if got[f"low_{p}"] is not None]
+    every = pair_table(rows, gold, accepted).observe(seen, F.count_if("made").alias("n"), F.count_if("gold").alias("n_gold"), *reach).filter("made")
+    every = scratch.keep(every.drop("made", "gold"), "pairs")
+    got = _observed(seen, ["n", "n_gold", *[f"{name}_{p}" for p in POOLS for name in ("low", "high")]])
+    n_gold, universe, found = got["n_gold"], got["n"], [p for p in POOLS if got[f"low_{p}"] is not None]
     steps = {("threshold", p): sorted(REPORT_THRESHOLDS) for p in found} | {("sweep", p): _sweep(got[f"low_{p}"], got[f"high_{p}"]) for p in found}
-    member = F.explode(F.array_compact(F.concat(*_memberships(steps))))
-    by_hpo = every.select("hpo_id", "in_gold", member.alias("m")).groupBy("m.t", "m.k", "hpo_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("in_gold").cast("long")).alias("c"))
+    sets = _fixed_sets()
+    keys, masks = list(sets), _masks(list(sets.values()))
+    n, none, right = F.count(F.lit(1)).alias("n"), F.lit(0).cast("long"), F.col("in_gold").cast("long")
+
+    def summed(alike: DataFrame, member: Column) -> DataFrame:
+        return alike.select("n", (F.col("n") * right).alias("c"), F.explode(member).alias("m")).select("m.t", "m.k", "n", none.alias("h"), "c")
+
+    alike = every.groupBy("validity", "step", "methods", "auto", "llm", "final", "in_gold").agg(n)
+    parts = [summed(alike.select("*", *masks), F.concat(_listed(keys), _open_sets()))]
+    concepts = every.select("hpo_id", *masks).groupBy("hpo_id").agg(*[F.bit_or(f"m{i}").alias(f"m{i}") for i in range(len(masks))]).groupBy(*[f"m{i}" for i in range(len(masks))]).agg(n)
+    parts.append(concepts.select("n", F.explode(_listed(keys)).alias("m")).select("m.t", "m.k", none.alias("n"), F.col("n").alias("h"), none.alias("c")))
+    if found:
+        reached = [_in(f"{table}:{p}", _reached(ts, p), F.col(p).isNotNull()) for (table, p), ts in steps.items()]
+        parts.append(summed(every.filter(F.col(POOLS[2]).isNotNull()).groupBy(*POOLS, "in_gold").agg(n), F.array_compact(F.array(*reached))))
     counts: dict[str, dict[str, Count]] = {}
-    for r in by_hpo.groupBy("t", "k").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("h"), F.sum("c").alias("c")).collect():
+    for r in reduce(DataFrame.unionByName, parts).groupBy("t", "k").agg(*[F.sum(x).alias(x) for x in "nhc"]).collect():
         counts.setdefault(r["t"], {})[r["k"]] = Count(r["n"], r["h"], r["c"])
     scratch.folder.delete()
 

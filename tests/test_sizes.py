@@ -3,7 +3,12 @@
 import random
 from contextlib import contextmanager
 
-from lodestitch.operators import review
+from pyspark.sql import functions as F
+
+from lodestitch.operators import reports, review
+from lodestitch.plans import alignment
+
+SF = "/root/testdata/sf0.001"
 
 
 @contextmanager
@@ -30,3 +35,21 @@ def test_prompts_carry_no_children_lists(spark):
         got = {r.hpo_id: r.prompt for r in review.prompts(chosen, review.describe(label([f"h{i}" for i in range(1, 500)]), edges), target, reach).collect()}
     assert len(got) == 500 and all("(10 of 4000 shown)" in p and '* ID: gone\n* Term: "None"' in p for p in got.values())
     assert got["h1"].startswith('* Label: "label h1"\n') and got["h0"].startswith('* Label: "None"\n')
+
+
+def test_report_of_conditions(spark):
+    r = alignment.rows(spark, SF)
+    jaccard = F.col("attribute") == "jaccard"
+    with shuffled(spark, 600_000):
+        found = reports.report(r, F.col("gold"), jaccard)
+    plain = reports.report(r, r.filter("gold").select("hpo_id", "sct_id"), r.filter(jaccard).select("hpo_id", "sct_id"))
+    assert all(sorted(map(tuple, found[n].collect())) == sorted(map(tuple, plain[n].collect())) for n in plain)
+
+
+def test_gold_pairs_that_were_not_made_count_as_gold_only(spark):
+    rows = spark.createDataFrame([("h1", "a", "jaccard", 0.8, 10, "2"), ("h1", "a", "jaccard", 0.9, 8, None), (None, "a", "embedding", 1.0, None, None)], "hpo_id string, sct_id string, attribute string, confidence double, validity int, step string")
+    pairs = spark.createDataFrame([("h1", "a"), ("h2", "b"), ("h2", "b"), (None, "a")], "hpo_id string, sct_id string")
+    found = reports.report(rows, pairs, pairs.filter("hpo_id = 'h2'"))
+    assert {tuple(x) for x in found["summary"].collect()} == {("gold", 3), ("universe", 2), ("auto", 1), ("llm", 0), ("final", 1)}
+    assert found["best_f1"].filter("pool = 'jaccard'").first().threshold == 0.9
+    assert {(x.stage, x.n_hpo, x.n_correct) for x in found["stages"].collect()} >= {("generated", 2, 1), ("auto", 1, 1)}
