@@ -146,8 +146,10 @@ def report(rows: DataFrame, gold: DataFrame | Column, accepted: DataFrame | Colu
 
     alike = every.groupBy("validity", "step", "methods", "auto", "llm", "final", "in_gold").agg(n)
     parts = [summed(alike.select("*", *masks), F.concat(_listed(keys), _open_sets()))]
-    concepts = every.select("hpo_id", *masks).groupBy("hpo_id").agg(*[F.bit_or(f"m{i}").alias(f"m{i}") for i in range(len(masks))]).groupBy(*[f"m{i}" for i in range(len(masks))]).agg(n)
-    parts.append(concepts.select("n", F.explode(_listed(keys)).alias("m")).select("m.t", "m.k", none.alias("n"), F.col("n").alias("h"), none.alias("c")))
+    concepts = every.select("hpo_id", *masks).groupBy("hpo_id").agg(*[F.bit_or(f"m{i}").alias(f"m{i}") for i in range(len(masks))])
+    hit = concepts.agg(*[F.coalesce(F.sum(F.shiftright(f"m{i // _WORD}", i % _WORD).bitwiseAND(1)), none).alias(f"s{i}") for i in range(len(keys))])
+    each = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(k).alias("k"), F.col(f"s{i}").alias("h")) for i, (t, k) in enumerate(keys)])
+    parts.append(hit.select(F.explode(each).alias("m")).select("m.t", "m.k", none.alias("n"), "m.h", none.alias("c")))
     if found:
         reached = [_in(f"{table}:{p}", _reached(ts, p), F.col(p).isNotNull()) for (table, p), ts in steps.items()]
         parts.append(summed(every.filter(F.col(POOLS[2]).isNotNull()).groupBy(*POOLS, "in_gold").agg(n), F.array_compact(F.array(*reached))))
