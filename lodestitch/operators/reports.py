@@ -227,22 +227,26 @@ def gold_distances(pairs: DataFrame, gold: DataFrame, edges: DataFrame, concepts
     (equal, broader, narrower, lateral).
 
     Targets that aren't among ``concepts`` (concept_id; all, if it isn't given) have no distance; where no gold
-    target is reached, the relation is ``gold_not_in_sct``.
+    target is reached, the relation is ``gold_not_in_sct``. All targets are climbed once. A concept's gold targets are
+    cut to the nearest one below each of their ancestors before its pairs meet them, so the work grows with the pairs
+    and the gold pairs and not with their products.
     """
     g = gold.select("hpo_id", F.col("sct_id").alias("g")).distinct()
     p = pairs.select(*PAIR).distinct().join(g.select("hpo_id").distinct(), "hpo_id", "left_semi")
-    met = p.join(g, "hpo_id")
+    ids = p.select(F.col("sct_id").alias("concept_id")).unionByName(g.select(F.col("g").alias("concept_id"))).distinct()
     if concepts is not None:
-        for c in ("sct_id", "g"):
-            met = met.join(concepts.select(F.col("concept_id").alias(c)).distinct(), c, "left_semi")
-    d = distances.search(met.select(F.col("sct_id").alias("a"), F.col("g").alias("b")), edges).filter("distance IS NOT NULL")
-    near = met.join(d.select(F.col("a").alias("sct_id"), F.col("b").alias("g"), "distance"), ["sct_id", "g"]).groupBy(*PAIR).agg(F.min(F.struct("distance", "g")).alias("m"))
+        ids = ids.join(concepts.select("concept_id").distinct(), "concept_id", "left_semi")
+    up = distances.climb(ids, edges)
+    below = g.join(up.select(F.col("start").alias("g"), "node", "steps"), "g").groupBy("hpo_id", "node").agg(F.min(F.struct("steps", "g")).alias("m"))
+    met = p.join(up.select(F.col("start").alias("sct_id"), "node", "steps"), "sct_id", "left").join(below, ["hpo_id", "node"], "left")
+    apart = F.struct((F.col("steps") + F.col("m.steps")).alias("distance"), F.col("m.g").alias("g"))
+    near = met.groupBy(*PAIR).agg(F.min(F.when(F.col("m").isNotNull(), apart)).alias("m"))
     near = near.select(*PAIR, F.col("m.distance").alias("gold_distance"), F.col("m.g").alias("nearest_gold_sct"))
-    apart = near.filter("gold_distance > 0").select(F.col("sct_id").alias("a"), F.col("nearest_gold_sct").alias("b"))
-    kinds = distances.relations(apart, distances.climb(apart.select(F.explode(F.array("a", "b")).alias("id")), edges))
-    near = near.join(kinds.select(F.col("a").alias("sct_id"), F.col("b").alias("nearest_gold_sct"), "relation"), ["sct_id", "nearest_gold_sct"], "left")
-    near = near.withColumn("gold_relation", F.when(F.col("gold_distance") == 0, "equal").otherwise(F.col("relation"))).drop("relation")
-    return p.join(near, PAIR, "left").withColumn("gold_relation", F.coalesce("gold_relation", F.lit(UNMEASURED))).select(*PAIR, "gold_distance", "nearest_gold_sct", "gold_relation")
+    for name, top, bottom in (("over", "sct_id", "nearest_gold_sct"), ("under", "nearest_gold_sct", "sct_id")):
+        near = near.join(up.select(F.col("node").alias(top), F.col("start").alias(bottom), F.lit(True).alias(name)), ["sct_id", "nearest_gold_sct"], "left")
+    d = F.col("gold_distance")
+    kind = F.when(d.isNull(), UNMEASURED).when(d == 0, "equal").when(F.col("over"), "broader").when(F.col("under"), "narrower").otherwise("lateral")
+    return near.select(*PAIR, "gold_distance", "nearest_gold_sct", kind.alias("gold_relation"))
 
 
 _BUCKETS = [*map(str, range(DISTANCE_CAP)), f"{DISTANCE_CAP}+"]

@@ -5,7 +5,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
-from lodestitch.operators import reports, review
+from lodestitch.operators import distances, reports, review
 from lodestitch.plans import alignment
 
 SF = "/root/testdata/sf0.001"
@@ -53,3 +53,26 @@ def test_gold_pairs_that_were_not_made_count_as_gold_only(spark):
     assert {tuple(x) for x in found["summary"].collect()} == {("gold", 3), ("universe", 2), ("auto", 1), ("llm", 0), ("final", 1)}
     assert found["best_f1"].filter("pool = 'jaccard'").first().threshold == 0.9
     assert {(x.stage, x.n_hpo, x.n_correct) for x in found["stages"].collect()} >= {("generated", 2, 1), ("auto", 1, 1)}
+
+
+def test_gold_distances_without_products(spark):
+    rng = random.Random(5)
+    edges = spark.createDataFrame([(str(rng.randrange(i)), str(i)) for i in range(1, 60)] + [("3", "1"), ("1", "3"), ("20", "2"), ("7", "40")], "parent string, child string")
+    pair = "hpo_id string, sct_id string"
+    some = lambda n: spark.createDataFrame(sorted({(f"h{rng.randrange(5)}", str(rng.randrange(62))) for _ in range(n)}), pair)
+    p, g = some(90), some(30)
+    met = p.join(g.withColumnRenamed("sct_id", "g"), "hpo_id")
+    d = {(r.a, r.b): r.distance for r in distances.search(met.select(F.col("sct_id").alias("a"), F.col("g").alias("b")), edges).collect()}
+    want = {}
+    for r in met.collect():
+        x = d[r.sct_id, r.g]
+        old = want.setdefault((r.hpo_id, r.sct_id), (None, None))
+        if x is not None and (old[0] is None or (x, r.g) < old):
+            want[r.hpo_id, r.sct_id] = (x, r.g)
+    assert {(r.hpo_id, r.sct_id): (r.gold_distance, r.nearest_gold_sct) for r in reports.gold_distances(p, g, edges).collect()} == want
+    wide = spark.range(1500).select(F.lit("h").alias("hpo_id"), F.col("id").cast("string").alias("sct_id"))
+    tree = spark.range(3000).select(F.concat(F.lit("p"), (F.col("id") % 3).cast("string")).alias("parent"), F.col("id").cast("string").alias("child"))
+    gold = spark.range(1500, 3000).select(F.lit("h").alias("hpo_id"), F.col("id").cast("string").alias("sct_id"))
+    with shuffled(spark, 3_000_000):
+        near = reports.gold_distances(wide, gold, tree)
+        assert near.filter("gold_distance = 2 AND gold_relation = 'lateral'").count() == 1500
