@@ -23,6 +23,8 @@ from .evaluation import PAIR, _flag
 #: Pools of similarity rows whose thresholds are reported; the last takes the higher of both.
 POOLS = ("jaccard", "embedding", "either")
 OUTCOMES = ("accepted", "conflict", "review", "removed")
+#: What the fixed sets of a pair depend on; it has few values.
+_KIND = ("validity", "step", "methods", "auto", "llm", "final")
 #: Sets a long tells apart by its bits.
 _WORD = 62
 _SCORES = "n_pairs long, n_hpo long, n_correct long, precision double, recall double, f1 double"
@@ -33,7 +35,8 @@ def pair_table(rows: DataFrame, gold: DataFrame | Column, accepted: DataFrame |
     the best confidence of either similarity method, auto, llm, final, gold, and in_gold for pairs without nulls.
 
     ``accepted`` are the pairs of the review. It and ``gold`` are tables, or conditions on ``rows``; all meet in one
-    aggregation.
+    aggregation. Nearly every row is a pair of its own, so rows are dealt by pair first instead of being summed up where
+    they are read, where a task's memory would grow with the part of a file it reads.
     """
     marks = {"gold": gold, "llm": accepted}
     every = rows.select(*PAIR, "attribute", "confidence", F.col("validity").cast("int").alias("validity"), "step", F.lit(True).alias("made"), *[c.alias(n) for n, c in marks.items() if isinstance(c, Column)])
@@ -43,7 +46,7 @@ def pair_table(rows: DataFrame, gold: DataFrame | Column, accepted: DataFrame |
     method, flag = F.col("attribute"), {n: F.coalesce(F.bool_or(n), F.lit(False)).alias(n) for n in ("made", "gold", "llm")}
     bits = F.coalesce(F.bit_or(F.coalesce(*[F.when(method == m, F.lit(1 << i)) for i, m in enumerate(METHODS)])), F.lit(0))
     best = [F.max(F.when(method == m, F.col("confidence"))).alias(m) for m in POOLS[:2]]
-    p = every.groupBy(*PAIR).agg(F.max("validity").alias("validity"), F.max("step").alias("step"), bits.alias("methods"), *best, *flag.values())
+    p = every.repartition(*PAIR).groupBy(*PAIR).agg(F.max("validity").alias("validity"), F.max("step").alias("step"), bits.alias("methods"), *best, *flag.values())
     known = F.col("hpo_id").isNotNull() & F.col("sct_id").isNotNull()
     auto, llm = F.coalesce(F.col("validity") == ACCEPTED, F.lit(False)), F.col("llm") & known
     return p.select(*PAIR, "made", "validity", "step", "methods", *POOLS[:2], F.greatest(*POOLS[:2]).alias(POOLS[2]), auto.alias("auto"), llm.alias("llm"), (auto | llm).alias("final"), "gold", (F.col("gold") & known).alias("in_gold"))
@@ -126,7 +129,8 @@ def report(rows: DataFrame, gold: DataFrame | Column, accepted: DataFrame | Colu
     ``rows`` are the generated rows with validity and step, ``accepted`` the pairs of the review; it and ``gold`` may be
     conditions on ``rows``. The pairs are built and written once, observed on the way (universe, range of
     confidences), and read by one execution: pairs that are alike in all that is counted are added up before they are
-    put into sets, and the sets of a concept's pairs are joined as bits. The sums, as many as there are sets, make up
+    put into sets, and a pair gets the bits of its kind, which are joined by concept: the many conditions are put to the
+    few kinds, not to the pairs. The sums, as many as there are sets, make up
     the tables on the driver. Pools without pairs have no rows in their tables.
     """
     spark = rows.sparkSession
@@ -144,9 +148,11 @@ def report(rows: DataFrame, gold: DataFrame | Column, accepted: DataFrame | Colu
     def summed(alike: DataFrame, member: Column) -> DataFrame:
         return alike.select("n", (F.col("n") * right).alias("c"), F.explode(member).alias("m")).select("m.t", "m.k", "n", none.alias("h"), "c")
 
-    alike = every.groupBy("validity", "step", "methods", "auto", "llm", "final", "in_gold").agg(n)
+    alike = every.groupBy(*_KIND, "in_gold").agg(n)
     parts = [summed(alike.select("*", *masks), F.concat(_listed(keys), _open_sets()))]
-    concepts = every.select("hpo_id", *masks).groupBy("hpo_id").agg(*[F.bit_or(f"m{i}").alias(f"m{i}") for i in range(len(masks))])
+    kinds = alike.select(*_KIND).distinct().select(*masks, *[F.col(c).alias(f"of_{c}") for c in _KIND])
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in _KIND])
+    concepts = every.select("hpo_id", *_KIND).join(F.broadcast(kinds), same).groupBy("hpo_id").agg(*[F.bit_or(f"m{i}").alias(f"m{i}") for i in range(len(masks))])
     hit = concepts.agg(*[F.coalesce(F.sum(F.shiftright(f"m{i // _WORD}", i % _WORD).bitwiseAND(1)), none).alias(f"s{i}") for i in range(len(keys))])
     each = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(k).alias("k"), F.col(f"s{i}").alias("h")) for i, (t, k) in enumerate(keys)])
     parts.append(hit.select(F.explode(each).alias("m")).select("m.t", "m.k", none.alias("n"), "m.h", none.alias("c")))

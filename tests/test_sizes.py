@@ -46,6 +46,19 @@ def test_report_of_conditions(spark):
     assert all(sorted(map(tuple, found[n].collect())) == sorted(map(tuple, plain[n].collect())) for n in plain)
 
 
+def test_pairs_are_dealt_before_they_are_added_up(spark):
+    """No map of all pairs that a task reads, and one exchange."""
+    plan = reports.pair_table(alignment.rows(spark, SF), F.col("gold"), F.col("attribute") == "jaccard")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.rindex("Aggregate") < plan.index("Exchange hashpartitioning")
+
+
+def test_kinds_of_nulls_keep_their_sets(spark):
+    rows = spark.createDataFrame([("h1", "a", "jaccard", 0.8, None, None), ("h1", "b", "embedding", None, 8, None), ("h2", "a", "hpo_sct", 1.0, None, "2"), (None, "a", None, None, 10, "2")], "hpo_id string, sct_id string, attribute string, confidence double, validity int, step string")
+    found = reports.report(rows, F.lit(False), F.lit(False))
+    assert {(x.stage, x.n_pairs, x.n_hpo) for x in found["stages"].collect()} == {("generated", 4, 3), ("filtered", 2, 2), ("auto", 1, 1), ("llm", 0, 0), ("final", 1, 1)}
+    assert {(x.validity, x.n_pairs, x.n_hpo) for x in found["codes"].collect() if x.n_pairs} == {("8", 1, 1), ("10", 1, 1), ("none", 2, 2)}
+
+
 def test_gold_pairs_that_were_not_made_count_as_gold_only(spark):
     rows = spark.createDataFrame([("h1", "a", "jaccard", 0.8, 10, "2"), ("h1", "a", "jaccard", 0.9, 8, None), (None, "a", "embedding", 1.0, None, None)], "hpo_id string, sct_id string, attribute string, confidence double, validity int, step string")
     pairs = spark.createDataFrame([("h1", "a"), ("h2", "b"), ("h2", "b"), (None, "a")], "hpo_id string, sct_id string")
