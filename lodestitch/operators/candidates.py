@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from lodestitch.functions.text import norm_key, tokens
 from lodestitch.functions.tokens import TokenNormalizer
 
+_REFS_A_TASK = 500_000
+
 
 def _pairs(df: DataFrame, method: str) -> DataFrame:
     return df.select("hpo_id", "sct_id", F.lit(method).alias("attribute"), F.col("confidence").cast("double").alias("confidence"))
@@ -58,9 +60,13 @@ def jaccard(source: DataFrame, target: DataFrame, threshold: float = 0.90, norma
 
 
 def xref_direct(refs: DataFrame, loaded: DataFrame) -> DataFrame:
-    """References of source concepts to target concepts that are loaded."""
-    ok = refs.join(loaded.select(F.col("concept_id").alias("ref")).distinct(), "ref", "left_semi")
-    return _pairs(ok.select(F.col("concept_id").alias("hpo_id"), F.col("ref").alias("sct_id"), F.lit(1.0).alias("confidence")).distinct(), "hpo_sct")
+    """References of source concepts to target concepts that are loaded.
+
+    Nearly every reference differs, so they are dealt before they are made distinct, to as many tasks as their number asks for.
+    """
+    parts = max(1, -(-refs.count() // _REFS_A_TASK))
+    ok = refs.select("concept_id", "ref").repartition(parts, "concept_id", "ref").distinct().join(loaded.select(F.col("concept_id").alias("ref")).distinct(), "ref", "left_semi")
+    return _pairs(ok.select(F.col("concept_id").alias("hpo_id"), F.col("ref").alias("sct_id"), F.lit(1.0).alias("confidence")), "hpo_sct")
 
 
 def xref_bridge(refs: DataFrame, bridge: DataFrame) -> DataFrame:
