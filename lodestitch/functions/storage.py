@@ -75,9 +75,10 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.folder = Folder(spark, f"{shared_dir(spark)}/lodestitch-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}")
         self._names: dict[int, str] = {}
+        self._kept = 0
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        name = f"{len(self._names)}-{name}"
+        name, self._kept = f"{self._kept}-{name}", self._kept + 1
         df.write.parquet(f"{self.folder.path}/{name}")
         out = df.sparkSession.read.schema(df.schema).parquet(f"{self.folder.path}/{name}")
         self._names[id(out)] = name

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestitch.functions.storage import Scratch
 
 
+def inner(up: DataFrame, node: str = "node", parent: str = "parent") -> DataFrame:
+    """The edges above nodes that are parents themselves: all that a climb needs after its first step."""
+    return up.join(up.select(F.col(parent).alias(node)).distinct(), node, "left_semi")
+
+
 def search(pairs: DataFrame, edges: DataFrame, trace: list[dict] | None = None) -> DataFrame:
     """(a, b, distance) of the distinct ``pairs``: fewest is-a steps from ``a`` up to a common ancestor and down to ``b``.
 
@@ -17,19 +22,26 @@ def search(pairs: DataFrame, edges: DataFrame, trace: list[dict] | None = None)
 
     Both ends of the open pairs climb one step a round, each id once however many pairs it is in. After ``k`` rounds
     every ancestor not met yet is over ``k`` steps from one of the ends, so a pair is settled as soon as its sum is at
-    most ``k + 1``, or when neither end climbs further. Ids that no open pair needs stop climbing. A round writes the
-    ancestors met so far and the open pairs, and drops what it supersedes. ``trace`` gets each round's open pairs and
+    most ``k + 1`` (``k + 2`` where neither end has children, as then it is a step from the other too), or when neither
+    end has an ancestor to climb from. Ids that no open pair needs stop climbing. A round writes the ancestors met so
+    far and the open pairs, and drops what it supersedes. ``trace`` gets each round's open pairs and
     ancestors.
     """
     spark = pairs.sparkSession
     scratch = Scratch(spark, "distances")
     distinct = scratch.keep(pairs.select("a", "b").distinct(), "pairs")
     up = scratch.keep(edges.select(F.col("child").alias("node"), "parent").filter("node != parent").distinct(), "edges")
+    above = scratch.keep(inner(up), "inner")
     done = [distinct.filter("a = b").withColumn("distance", F.lit(0).cast("long")), distinct.filter("a IS NULL OR b IS NULL").withColumn("distance", F.lit(None).cast("long"))]
-    state = scratch.keep(distinct.filter("a != b").withColumns({"distance": F.lit(None).cast("long"), "settled": F.lit(False)}), "state")
+    over = up.select("parent").distinct()
+    state = distinct.filter("a != b")
+    for c in "ab":
+        state = state.join(over.select(F.col("parent").alias(c), F.lit(0).alias(f"leaf_{c}")), c, "left")
+    leaves = F.coalesce("leaf_a", "leaf_b", F.lit(1)).alias("leaves")
+    state = scratch.keep(state.select("a", "b", F.lit(None).cast("long").alias("distance"), leaves, F.lit(False).alias("settled")), "state")
     settled, reach, k = [], None, 0
     while True:
-        todo = state.filter("NOT settled").select("a", "b")
+        todo = state.filter("NOT settled").select("a", "b", "leaves")
         n_open = todo.count()
         if not n_open:
             break
@@ -40,16 +52,16 @@ def search(pairs: DataFrame, edges: DataFrame, trace: list[dict] | None = None)
         else:
             known = reach.join(ids, "start", "left_semi")
         k += 1
-        climbed = known.filter(F.col("steps") == k - 1).join(up, "node").select("start", F.col("parent").alias("node"), F.lit(k).cast("long").alias("steps"))
+        climbed = known.filter(F.col("steps") == k - 1).join(up if k == 1 else above, "node").select("start", F.col("parent").alias("node"), F.lit(k).cast("long").alias("steps"))
         reach = scratch.keep(known.unionByName(climbed).groupBy("start", "node").agg(F.min("steps").alias("steps")), "reach")
         left = reach.select(F.col("start").alias("a"), "node", F.col("steps").alias("up_a"))
         right = reach.select(F.col("start").alias("b"), "node", F.col("steps").alias("up_b"))
-        met = todo.join(left, "a").join(right, ["b", "node"]).groupBy("a", "b").agg(F.min(F.col("up_a") + F.col("up_b")).alias("distance"))
-        climbing = reach.filter(F.col("steps") == k).select(F.col("start").alias("id"), F.lit(True).alias("on")).distinct()
+        met = todo.select("a", "b").join(left, "a").join(right, ["b", "node"]).groupBy("a", "b").agg(F.min(F.col("up_a") + F.col("up_b")).alias("distance"))
+        climbing = reach.filter(F.col("steps") == k).join(above.select("node").distinct(), "node", "left_semi").select(F.col("start").alias("id"), F.lit(True).alias("on")).distinct()
         ends = [climbing.select(F.col("id").alias(c), F.col("on").alias(f"on_{c}")) for c in "ab"]
         after = todo.join(met, ["a", "b"], "left").join(ends[0], "a", "left").join(ends[1], "b", "left")
         stuck = F.col("on_a").isNull() & F.col("on_b").isNull()
-        before, state = state, scratch.keep(after.select("a", "b", "distance", (F.coalesce(F.col("distance") <= k + 1, F.lit(False)) | stuck).alias("settled")), "state")
+        before, state = state, scratch.keep(after.select("a", "b", "distance", "leaves", (F.coalesce(F.col("distance") <= k + 1 + F.col("leaves"), F.lit(False)) | stuck).alias("settled")), "state")
         if trace is not None:
             trace.append({"round": k, "open": n_open, "ancestors": reach.count()})
         settled.append(state.filter("settled").select("a", "b", "distance"))
@@ -66,19 +78,22 @@ def search(pairs: DataFrame, edges: DataFrame, trace: list[dict] | None = None)
 def climb(ids: DataFrame, edges: DataFrame) -> DataFrame:
     """(start, node, steps): each distinct ``id`` with itself at 0 and all its ancestors by their fewest steps.
 
-    Only what lies above ``ids`` is walked; cycles end where they come back. A round is written with what is known
-    and supersedes the one before.
+    Only what lies above ``ids`` is walked; cycles end where they come back. A round writes the ancestors that it
+    meets first.
     """
     scratch = Scratch(ids.sparkSession, "climb")
     up = scratch.keep(edges.select(F.col("child").alias("node"), "parent").filter("node != parent").distinct(), "edges")
-    known = scratch.keep(ids.select(F.col(ids.columns[0]).alias("start")).filter("start IS NOT NULL").distinct().select("start", F.col("start").alias("node"), F.lit(0).cast("long").alias("steps")), "known")
+    above = scratch.keep(inner(up), "inner")
+    level = known = scratch.keep(ids.select(F.col(ids.columns[0]).alias("start")).filter("start IS NOT NULL").distinct().select("start", F.col("start").alias("node"), F.lit(0).cast("long").alias("steps")), "known")
     k = 0
-    while not known.filter(F.col("steps") == k).isEmpty():
-        climbed = known.filter(F.col("steps") == k).join(up, "node").select("start", F.col("parent").alias("node"), F.lit(k + 1).cast("long").alias("steps"))
-        old, k = known, k + 1
-        known = scratch.keep(known.unionByName(climbed).groupBy("start", "node").agg(F.min("steps").alias("steps")), "known")
-        scratch.drop(old)
-    scratch.drop(up)
+    while True:
+        climbed = level.select("start", "node").join(above if k else up, "node").select("start", F.col("parent").alias("node"))
+        k += 1
+        level = scratch.keep(climbed.distinct().join(known.select("start", "node"), ["start", "node"], "left_anti").withColumn("steps", F.lit(k).cast("long")), "known")
+        if level.isEmpty():
+            break
+        known = known.unionByName(level)
+    scratch.drop(up, above)
     return known
 
 
@@ -87,11 +102,29 @@ def relations(pairs: DataFrame, up: DataFrame) -> DataFrame:
 
     ``up`` is what ``climb`` made of at least the pairs' ids. Of two ids in one cycle the first is broader.
     """
-    p = pairs.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL").distinct()
-    over = up.select(F.col("node").alias("a"), F.col("start").alias("b"), F.lit(True).alias("over"))
-    under = up.select(F.col("start").alias("a"), F.col("node").alias("b"), F.lit(True).alias("under"))
-    kind = F.when(F.col("a") == F.col("b"), "equal").when(F.col("over"), "broader").when(F.col("under"), "narrower").otherwise("lateral")
-    return p.join(over, ["a", "b"], "left").join(under, ["a", "b"], "left").select("a", "b", kind.alias("relation"))
+    return compared(pairs.filter("a IS NOT NULL AND b IS NOT NULL"), up.select(F.col("node").alias("ancestor"), F.col("start").alias("descendant")))
+
+
+def compared(pairs: DataFrame, reach: DataFrame) -> DataFrame:
+    """``relations`` of pairs by (ancestor, descendant); ids that are null are lateral.
+
+    Pairs and reach are dealt once, by their two ids in order, and added up as bits: the pair is asked for as it stands
+    (1) or turned (2), its first id is above the other (4) or below it (8).
+    """
+
+    def in_order(df: DataFrame, a: str, b: str, yes: int, no: int) -> DataFrame:
+        up = F.col(a) <= F.col(b)
+        return df.select(F.when(up, F.col(a)).otherwise(F.col(b)).alias("x"), F.when(up, F.col(b)).otherwise(F.col(a)).alias("y"), F.when(up, yes).otherwise(no).alias("bits"))
+
+    every = in_order(pairs, "a", "b", 1, 2).unionByName(in_order(reach.filter("ancestor != descendant"), "ancestor", "descendant", 4, 8))
+    has = lambda bit: F.col("bits").bitwiseAND(bit) != 0
+
+    def asked(a: str, b: str, bit: int, over: int, under: int) -> Column:
+        kind = F.when(F.col(a) == F.col(b), "equal").when(has(over), "broader").when(has(under), "narrower").otherwise("lateral")
+        return F.when(has(bit), F.struct(F.col(a).alias("a"), F.col(b).alias("b"), kind.alias("relation")))
+
+    met = every.repartition("x", "y").groupBy("x", "y").agg(F.bit_or("bits").alias("bits")).filter(has(3))
+    return met.select(F.explode(F.array_compact(F.array(asked("x", "y", 1, 4, 8), asked("y", "x", 2, 8, 4)))).alias("r")).select("r.a", "r.b", "r.relation")
 
 
 def related_pairs(members: DataFrame, up: DataFrame, by: list[str]) -> DataFrame:

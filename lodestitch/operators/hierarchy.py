@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestitch.functions.storage import materialise
+from lodestitch.functions.storage import Scratch
 
 from . import distances
 
@@ -13,16 +13,19 @@ from . import distances
 def closure(edges: DataFrame) -> DataFrame:
     """(ancestor, descendant, min_steps) of all pairs linked by a path.
 
-    A frontier of shortest paths grows by one step a round; a round is written out, so the plan stays short and a
-    lost executor costs one round. A node is its own ancestor only through a cycle.
+    A frontier of shortest paths grows upwards by one step a round, which needs only the edges above parents; a round
+    is written out, so the plan stays short and a lost executor costs one round. A node is its own ancestor only
+    through a cycle.
     """
-    e = materialise(edges.select("parent", "child").filter("parent IS NOT NULL AND child IS NOT NULL").distinct())
+    scratch = Scratch(edges.sparkSession, "closure")
+    e = scratch.keep(edges.select("parent", "child").filter("parent IS NOT NULL AND child IS NOT NULL").distinct(), "edges")
+    above = scratch.keep(distances.inner(e, "child").select(F.col("child").alias("ancestor"), "parent"), "inner")
     known = e.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant"), F.lit(1).cast("long").alias("min_steps"))
     level, steps = known, 1
     while True:
         steps += 1
-        grown = level.select("ancestor", F.col("descendant").alias("parent")).join(e, "parent").select("ancestor", F.col("child").alias("descendant")).distinct()
-        level = materialise(grown.join(known, ["ancestor", "descendant"], "left_anti").withColumn("min_steps", F.lit(steps).cast("long")))
+        grown = level.select("ancestor", "descendant").join(above, "ancestor").select(F.col("parent").alias("ancestor"), "descendant").distinct()
+        level = scratch.keep(grown.join(known, ["ancestor", "descendant"], "left_anti").withColumn("min_steps", F.lit(steps).cast("long")), "level")
         if level.isEmpty():
             return known
         known = known.unionByName(level)
@@ -58,10 +61,7 @@ def depth(reach: DataFrame) -> DataFrame:
 
 def relation(pairs: DataFrame, reach: DataFrame) -> DataFrame:
     """(a, b, relation): equal, broader (a above b), narrower or lateral."""
-    down = reach.select(F.col("ancestor").alias("a"), F.col("descendant").alias("b"), F.lit(True).alias("over"))
-    up = reach.select(F.col("descendant").alias("a"), F.col("ancestor").alias("b"), F.lit(True).alias("under"))
-    p = pairs.select("a", "b").distinct().join(down, ["a", "b"], "left").join(up, ["a", "b"], "left")
-    return p.select("a", "b", F.when(F.col("a") == F.col("b"), "equal").when(F.col("over"), "broader").when(F.col("under"), "narrower").otherwise("lateral").alias("relation"))
+    return distances.compared(pairs, reach)
 
 
 def related_candidates(pairs: DataFrame, reach: DataFrame) -> DataFrame:

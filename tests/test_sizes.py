@@ -3,9 +3,11 @@
 import random
 from contextlib import contextmanager
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from lodestitch.operators import distances, reports, review
+from lodestitch.functions.storage import Scratch
+from lodestitch.operators import distances, hierarchy, reports, review
 from lodestitch.plans import alignment
 
 SF = "/root/testdata/sf0.001"
@@ -89,3 +91,34 @@ def test_gold_distances_without_products(spark):
     with shuffled(spark, 3_000_000):
         near = reports.gold_distances(wide, gold, tree)
         assert near.filter("gold_distance = 2 AND gold_relation = 'lateral'").count() == 1500
+
+
+def test_leaves_settle_a_round_earlier(spark):
+    edges = spark.createDataFrame([("r", "m0"), ("r", "m1"), ("r", "m2")] + [(f"m{i % 3}", str(i)) for i in range(30)], "parent string, child string")
+    pairs = [(str(i), str(i + 1)) for i in range(29)] + [("0", "3"), ("m0", "0"), ("5", "r"), ("6", "gone"), ("7", "7")]
+    trace = []
+    got = {(r.a, r.b): r.distance for r in distances.search(spark.createDataFrame(pairs, "a string, b string"), edges, trace).collect()}
+    assert got == {p: 4 for p in pairs[:29]} | dict(zip(pairs[29:], (2, 1, 2, None, 0), strict=True))
+    assert len(trace) == 2
+
+
+def test_relations_deal_pairs_and_closure_once(spark):
+    reach = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "c"), ("c", "c")], "ancestor string, descendant string")
+    pairs = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "c"), ("c", "a"), ("c", "c"), ("b", "c"), ("b", "c"), (None, "a"), ("a", None)], "a string, b string")
+    found = hierarchy.relation(pairs, reach)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(str, found.collect())) == sorted(map(str, [Row(a=a, b=b, relation=k) for a, b, k in (
+        ("a", "b", "broader"), ("b", "a", "broader"), ("a", "c", "broader"), ("c", "a", "narrower"), ("c", "c", "equal"), ("b", "c", "lateral"), (None, "a", "lateral"), ("a", None, "lateral"))]))
+
+
+def test_closure_climbs_without_the_leaves(spark):
+    edges = spark.range(20_000).select(F.concat(F.lit("m"), (F.col("id") % 5).cast("string")).alias("parent"), F.concat(F.lit("leaf of the tree "), F.col("id").cast("string")).alias("child"))
+    tree = edges.unionByName(spark.createDataFrame([("r", f"m{i}") for i in range(5)] + [("m3", "r")], "parent string, child string"))
+    with shuffled(spark, 3_000_000):
+        assert hierarchy.closure(tree).groupBy("min_steps").count().orderBy("min_steps").collect() == [(1, 20_006), (2, 20_006), (3, 16_000)]
+
+
+def test_tables_kept_one_after_another_have_their_own_names(spark):
+    scratch = Scratch(spark, "names")
+    assert sorted(scratch.keep(spark.range(i), "t").count() for i in range(1, 5)) == [1, 2, 3, 4]
+    assert len(scratch.folder.names()) == 4
