@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestitch.constants import ACCEPTED, EPSILON, REFERENCE_METHODS, STEP_CODE
 
@@ -27,12 +30,13 @@ def pair_flags(rows: DataFrame, domains: DataFrame) -> DataFrame:
         return F.coalesce(F.bool_or(cond), F.lit(False))
 
     method = F.col("attribute")
-    flags = rows.groupBy(*PAIR).agg(
+    flags = rows.repartition(*PAIR).groupBy(*PAIR).agg(
         any_of(method == "hpo_sct").alias("xref"), any_of(method == "hpo_umls_sct").alias("bridge"), any_of(method == "umls_hpo_sct").alias("shared"),
         any_of(method == "exact_lexical").alias("lex"), any_of((method == "jaccard") & exact()).alias("j1"), any_of((method == "embedding") & exact()).alias("c1"),
-        F.countDistinct(F.when(method.isin(*REFERENCE_METHODS), method)).alias("refs"), F.max("confidence").alias("best_conf"),
+        F.bit_or(F.coalesce(*[F.when(method == m, F.lit(1 << i)) for i, m in enumerate(REFERENCE_METHODS)])).alias("refs"), F.max("confidence").alias("best_conf"),
         F.max(F.when(method == "embedding", F.col("confidence"))).alias("cosine"), F.max(F.when(method == "jaccard", F.col("confidence"))).alias("jaccard"),
     )
+    flags = flags.withColumn("refs", F.bit_count(F.coalesce("refs", F.lit(0))).cast("long"))
     ok = domains.groupBy("sct_id").agg(F.bool_or("ok").alias("ok"))
     return flags.join(ok, "sct_id", "left").withColumn("dom_ok", F.coalesce("ok", F.lit(False))).drop("ok")
 
@@ -49,14 +53,14 @@ def phase(flags: DataFrame) -> DataFrame:
     return flags.withColumn("phase", step).withColumn("evidence", F.struct(F.col("refs").cast("int").alias("refs"), lexical.alias("lexical"), F.col("c1").cast("int").alias("cos1")))
 
 
-def _fold(group: pd.DataFrame) -> pd.DataFrame:
-    """Accept, reject or demote the related candidates of one concept in their order."""
+def _fold(candidates: list[tuple]) -> dict[str, int]:
+    """Accept, reject or demote the related candidates (target, step, evidence, broader ones) of one concept in their order."""
     accepted: set[str] = set()
     code: dict[str, int] = {}
     evidence, above, steps = {}, {}, {}
-    for sct, own, ev, up in group.sort_values("pos")[["sct_id", "phase", "ev", "broader"]].itertuples(index=False):
+    for sct, own, ev, up in candidates:
         evidence[sct], above[sct], steps[sct] = tuple(ev), set(up), own
-        over = [t for t in accepted if t in above[sct]]
+        over = accepted & above[sct]
         under = [t for t in accepted if sct in above[t]]
         if any(evidence[t] >= evidence[sct] for t in under) or any(evidence[t] > evidence[sct] for t in over):
             code[sct] = STEP_CODE[own]
@@ -66,7 +70,33 @@ def _fold(group: pd.DataFrame) -> pd.DataFrame:
             code[t] = STEP_CODE[steps[t]]
         accepted.add(sct)
         code[sct] = ACCEPTED
-    return pd.DataFrame({"hpo_id": group["hpo_id"].iloc[0], "sct_id": list(code), "validity": list(code.values())})
+    return code
+
+
+def _folds(kind: pa.DataType, target: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The folds of rows that come concept by concept, in their order; a call per concept costs more than its fold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, done = None, [], []
+
+        def coded() -> pa.RecordBatch:
+            columns = list(zip(*done, strict=True)) or [(), (), ()]
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (kind, target, pa.int32()), strict=True)], ["hpo_id", "sct_id", "validity"])
+
+        for b in batches:
+            for hpo, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and hpo != now:
+                    done.extend((now, *x) for x in _fold(held).items())
+                    held = []
+                now = hpo
+                held.append(row)
+            yield coded()
+        if held:
+            done.extend((now, *x) for x in _fold(held).items())
+            yield coded()
+
+    return run
 
 
 def resolve(candidates: DataFrame, reach: DataFrame) -> DataFrame:
@@ -85,9 +115,10 @@ def resolve(candidates: DataFrame, reach: DataFrame) -> DataFrame:
     tied = links.select("hpo_id", F.explode(F.array("broader", "narrower")).alias("sct_id")).distinct()
     free = c.join(tied, PAIR, "left_anti").select(*PAIR, F.lit(ACCEPTED).alias("validity"))
     met = c.join(tied, PAIR, "left_semi").join(up, PAIR, "left")
-    met = met.withColumn("pos", F.row_number().over(Window.partitionBy("hpo_id").orderBy("key"))).withColumn("broader", F.coalesce("broader", F.array().cast("array<string>")))
+    met = met.withColumn("broader", F.coalesce("broader", F.array().cast("array<string>"))).repartition("hpo_id").sortWithinPartitions("hpo_id", "key")
     schema = f"hpo_id {candidates.schema['hpo_id'].dataType.simpleString()}, sct_id {candidates.schema['sct_id'].dataType.simpleString()}, validity int"
-    return free.unionByName(met.select(*PAIR, "phase", "ev", "broader", "pos").groupBy("hpo_id").applyInPandas(_fold, schema))
+    arrow = [to_arrow_type(candidates.schema[c].dataType) for c in PAIR]
+    return free.unionByName(met.select(*PAIR, "phase", "ev", "broader").mapInArrow(_folds(*arrow), schema))
 
 
 def _missing(rows: DataFrame, coded: DataFrame) -> DataFrame:

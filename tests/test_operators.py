@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
 
 from lodestitch.constants import STEP_CODE
@@ -164,3 +165,13 @@ def test_step_seven_leaves_out_other_domains_first(spark):
     reach = hierarchy.closure(spark.createDataFrame([], "parent string, child string"))
     got = cascade.assign(spark.createDataFrame(rows, "hpo_id string, sct_id string, attribute string, confidence double"), domains, reach)
     assert sorted(tuple(r) for r in got.collect()) == [("h", "bad", 0, "1"), ("h", "good", 8, "7")]
+
+
+def test_concepts_fold_across_batches():
+    row = lambda h, s, up: {"hpo_id": h, "sct_id": s, "phase": "2b", "ev": [0, 2, 0], "broader": up}
+    rows = [row("h1", "a", []), row("h1", "b", ["a"]), row("h1", "c", ["b", "a"]), row("h2", "b", []), row("h2", "a", ["b"])]
+    kind = pa.schema([("hpo_id", pa.string()), ("sct_id", pa.string()), ("phase", pa.string()), ("ev", pa.list_(pa.int32())), ("broader", pa.list_(pa.string()))])
+    fold = cascade._folds(pa.string(), pa.string())
+    whole, cut = (sorted(tuple(r.values()) for b in fold(pa.RecordBatch.from_pylist(rows[i : i + n], kind) for i in range(0, 5, n)) for r in b.to_pylist()) for n in (5, 1))
+    assert whole == cut == [("h1", "a", 2), ("h1", "b", 2), ("h1", "c", 10), ("h2", "a", 10), ("h2", "b", 2)]
+    assert list(fold(iter([]))) == []
