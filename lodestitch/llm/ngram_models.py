@@ -164,36 +164,373 @@ def kneser_ney(
 # ---- suffix tree
 
 
+_HIGH = np.uint64(1) << np.uint64(63)
+#: Stands in place of a context where a word's own count is asked for.
+_ROOT = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Byte planes, compressed: the small numbers of frequent words leave planes of zeros."""
+    return pa.compress(b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns), "zstd", asbytes=True)
+
+
+def unpack(blob: bytes, n: int, kinds: list) -> list[np.ndarray]:
+    raw = np.frombuffer(pa.decompress(blob, n * sum(np.dtype(k).itemsize for k in kinds), "zstd", asbytes=True), np.uint8)
+    out, at = [], 0
+    for k in kinds:
+        wide = np.dtype(k).itemsize
+        out.append(np.ascontiguousarray(raw[at : at + n * wide].reshape(wide, n).T).view(k).ravel())
+        at += n * wide
+    return out
+
+
+def narrow(t: np.ndarray) -> np.ndarray:
+    """40 bits of the hashes of rare words further before; a token and the word before it keep all 64, as their counts must be exact."""
+    return np.where((t >> np.uint64(32) == 0) | (t == _HIGH), t, t & np.uint64((1 << 40) - 1) | np.uint64(1 << 40))
+
+
+def pair_keys(a: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(a * _LAST + w)
+
+
+class Told:
+    """Counts by context (a hot word, or none) and word, of those a bucket asked for; 0 of what nothing is known."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.counts = keys[order], counts[order]
+
+    def count(self, a: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return _look(self.keys, self.counts, pair_keys(a, w), 0)
+
+
 class Root:
-    """The root's distribution: add-one over the most frequent words; all other words share what is left alike."""
+    """The root's distribution: add-one over all words. The counts of the frequent words, which are numbered by
+    frequency, are at hand; those of the others are told."""
 
-    def __init__(self, top: np.ndarray, count: np.ndarray, n: int, v: int):
-        order = np.argsort(top)
-        self.words, self.n, self.v = top[order], n, v
-        self.p = (count[order] + 1.0) / (n + v + 1)
-        self.rest = max(1.0 - self.p.sum(), 0.0) / (v - len(top) + 1)
+    def __init__(self, count: np.ndarray, n: int, v: int):
+        self.count, self.all = count, n + v + 1
 
-    def probability(self, w: np.ndarray) -> np.ndarray:
-        return _look(self.words, self.p, w, self.rest)
+    def probability(self, w: np.ndarray, told: Told) -> np.ndarray:
+        return (_counts(self.count, w, told) + 1.0) / self.all
+
+
+def _counts(often: np.ndarray, w: np.ndarray, told: Told) -> np.ndarray:
+    """The words' own counts, of numbered ones from ``often``."""
+    known = w < np.uint64(len(often))
+    out = np.zeros(len(w))
+    out[known] = often[w[known].astype(np.int64)]
+    out[~known] = told.count(np.full(int((~known).sum()), _ROOT), w[~known])
+    return out
 
 
 class Hot:
-    """Next tokens of the words that are too frequent for one task: their frequent pairs, and the root for the rest."""
+    """Next tokens of the words that are too frequent for one task: the pairs met at least ``min_count`` times, and the root
+    for the rest. The most frequent pairs are at hand, the others are told."""
 
-    def __init__(self, size: dict[int, int], first: np.ndarray, second: np.ndarray, count: np.ndarray):
+    def __init__(self, size: dict[int, int], paired: dict[int, int], first: np.ndarray, second: np.ndarray, count: np.ndarray):
         self.words = np.array(sorted(size), np.uint64)
         self.size = np.array([size[int(w)] for w in self.words], float)
-        keys = mix(first * _LAST + second)
-        order = np.argsort(keys)
-        of = np.searchsorted(self.words, first)
-        self.keys, self.share = keys[order], (count / self.size[of])[order] if len(of) else np.zeros(0)
-        self.left = 1.0 - np.bincount(of, count, len(self.words)) / np.maximum(self.size, 1)
+        self.often = Told(pair_keys(first, second), count)
+        self.left = 1.0 - np.array([paired.get(int(w), 0) for w in self.words], float) / np.maximum(self.size, 1)
 
     def among(self, c: np.ndarray) -> np.ndarray:
         return np.isin(c, self.words)
 
-    def apply(self, c: np.ndarray, w: np.ndarray, p: np.ndarray) -> np.ndarray:
-        return _look(self.keys, self.share, mix(c * _LAST + w), 0.0) + self.left[np.searchsorted(self.words, c)] * p
+    def apply(self, c: np.ndarray, w: np.ndarray, p: np.ndarray, told: Told) -> np.ndarray:
+        of = np.searchsorted(self.words, c)
+        return (self.often.count(c, w) + told.count(c, w)) / self.size[of] + self.left[of] * p
+
+
+class Deal:
+    """Deals the positions of texts by the word before them, packed into one binary row per chunk and bucket of words.
+
+    ``rows`` are (doc_id, text, learn, mine, extra): ``learn`` marks texts to learn from, ``mine`` those whose sums are
+    wanted. Words are numbered by ``ranked``, the hashes of frequent words, most frequent first; all others keep their
+    hash. Positions after ``hot`` words are dealt by the word before that too. A bucket is told the counts (a, w, c) of
+    what it asks for: those of its words without a number, and of its pairs of a hot word that aren't ``at_hand``.
+    """
+
+    def __init__(self, rows: DataFrame, depth: int, chunk: int, ranked: np.ndarray, hot: np.ndarray, at_hand: np.ndarray):
+        spark = rows.sparkSession
+        self.kind, self.depth, self.chunk, self.hot = _kind(rows), depth, chunk, hot
+        self.parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = 4 * self.parts
+        by_hash = np.argsort(ranked)
+        self.ranks = spark.sparkContext.broadcast((ranked[by_hash], by_hash.astype(np.uint64)))
+        self.at_hand = spark.sparkContext.broadcast(np.sort(at_hand))
+        id_type = pa.string() if self.kind == "string" else pa.int64()
+        self.id_type = id_type
+        self.schema = f"part int, bucket int, chunk long, n int, blob binary, ids array<{self.kind}>, flags array<int>, sizes array<long>, extra array<string>"
+        self.names = ["part", "bucket", "chunk", "n", "blob", "ids", "flags", "sizes", "extra"]
+        self.types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.list_(id_type), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.string())]
+
+    def table(self, rows_out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows_out, strict=True), self.types, strict=True)], self.names)
+
+    def number(self, t: np.ndarray) -> np.ndarray:
+        keys, ranks = self.ranks.value
+        if not len(keys):
+            return t | _HIGH
+        at = np.minimum(np.searchsorted(keys, t), len(keys) - 1)
+        return np.where(keys[at] == t, ranks[at], t | _HIGH)
+
+    def places(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+        """Tokens, the texts' numbers of tokens, the words before each token and a hash that its bucket comes from."""
+        t, n = tokens(texts)
+        t = self.number(t)
+        lead = before(t, n, self.depth, _HIGH)
+        lead[1:] = map(narrow, lead[1:])
+        h = mix(lead[0] + _SALT)
+        if len(self.hot):
+            at = np.flatnonzero(np.isin(lead[0], self.hot))
+            h[at] = mix(h[at] + lead[min(1, self.depth - 1)][at])
+        return t, n, lead, h
+
+    def bucket(self, h: np.ndarray) -> np.ndarray:
+        return ((h >> np.uint64(32)) * np.uint64(self.buckets)) >> np.uint64(32)
+
+    def pairs(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per chunk the pairs of a hot word and a word, counted."""
+        for b in batches:
+            for _, ts in _chunks([b], self.chunk):
+                t, _, lead, _ = self.places(ts)
+                at = np.flatnonzero(np.isin(lead[0], self.hot))
+                if len(at):
+                    yield _counted(lead[0][at], t[at])
+
+    def by_key(self, keys: np.ndarray, chunk: int, *columns: np.ndarray) -> list[tuple]:
+        """Rows of sorted keys and what belongs to them, cut by ranges of the keys."""
+        h = self.bucket(keys)
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1])))
+        return [(int(h[i]) % self.parts, int(h[i]), chunk, int(j - i), pack(*(c[i:j] for c in (keys, *columns))), None, None, None, None) for i, j in zip(first, np.append(first[1:], len(h)), strict=True)]
+
+    def asked(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per chunk the keys that its buckets ask for."""
+        known = self.at_hand.value
+        for b in batches:
+            for _, ts in _chunks([b], self.chunk):
+                t, _, lead, h = self.places(ts)
+                of, c = self.bucket(h).astype(np.uint32), lead[0]
+                rare = np.flatnonzero(t >= _HIGH)
+                keys, of_keys = [pair_keys(np.full(len(rare), _ROOT), t[rare])], [of[rare]]
+                if len(self.hot):
+                    at = np.flatnonzero(np.isin(c, self.hot))
+                    k = pair_keys(c[at], t[at])
+                    new = _look(known, np.ones(len(known)), k, 0) == 0
+                    keys.append(k[new])
+                    of_keys.append(of[at[new]])
+                keys, of_keys = np.concatenate(keys), np.concatenate(of_keys)
+                order = np.lexsort((of_keys, keys))
+                keys, of_keys = keys[order], of_keys[order]
+                once = np.concatenate((np.ones(min(1, len(keys)), bool), (keys[1:] != keys[:-1]) | (of_keys[1:] != of_keys[:-1])))
+                if once.any():
+                    yield self.table(self.by_key(keys[once], 0, of_keys[once]))
+
+    def counts(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, n = [], 0
+        for b in batches:
+            if b.num_rows:
+                a, w, c = (x.to_numpy() for x in b.columns)
+                got.append((pair_keys(a.view(np.uint64), w.view(np.uint64)), c))
+                n += b.num_rows
+            if n >= 1_000_000:
+                keys, c = _by_first(got)
+                yield self.table(self.by_key(keys, -1, c))
+                got, n = [], 0
+        if got:
+            keys, c = _by_first(got)
+            yield self.table(self.by_key(keys, -1, c))
+
+    def answer(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What each bucket is told of the keys it asks for, range of keys by range."""
+        now, have, want = -1, [], []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if have and want:
+                keys, c = _by_first(have)
+                k, of = (np.concatenate(x) for x in zip(*want, strict=True))
+                met = _look(keys, c, k, 0)
+                order = np.flatnonzero(met)
+                order = order[np.lexsort((k[order], of[order]))]
+                k, of, met = k[order], of[order].astype(np.int64), met[order].astype(np.int64)
+                new = np.concatenate((np.ones(min(1, len(k)), bool), (k[1:] != k[:-1]) | (of[1:] != of[:-1])))
+                k, of, met = k[new], of[new], met[new]
+                first = np.flatnonzero(np.concatenate((np.ones(min(1, len(of)), bool), of[1:] != of[:-1])))
+                if len(first):
+                    yield self.table([(int(of[i]) % self.parts, int(of[i]), -1, int(j - i), pack(k[i:j], met[i:j]), None, None, None, None) for i, j in zip(first, np.append(first[1:], len(of)), strict=True)])
+
+        for b in batches:
+            for bucket, of, n, blob in zip(*(b.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
+                if bucket != now:
+                    yield from out()
+                    now, have, want = bucket, [], []
+                if of < 0:
+                    have.append(tuple(unpack(blob, n, [np.uint64, np.int64])))
+                else:
+                    want.append(tuple(unpack(blob, n, [np.uint64, np.uint32])))
+        yield from out()
+
+    def deal(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        here = TaskContext.get().partitionId() << 32
+        for b in batches:
+            at = 0
+            for keys, ts in _chunks([b], self.chunk):
+                learn, mine, extra = (b.column(i).slice(at, len(keys)) for i in (2, 3, 4))
+                flags = learn.to_numpy(zero_copy_only=False).astype(np.uint8) | mine.to_numpy(zero_copy_only=False).astype(np.uint8) << 1
+                at += len(keys)
+                t, n, lead, h = self.places(ts)
+                cols = [*lead, t, np.repeat(np.arange(len(n), dtype=np.uint32), n), np.repeat(flags, n)]
+                order = np.argsort(h)
+                h = self.bucket(h[order])
+                cols = [c[order] for c in cols]
+                first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+                out = [(int(here >> 32) % self.parts, -1, here, len(n), None, keys, flags.tolist(), n.tolist(), extra.to_pylist())]
+                for i, j in zip(first, np.append(first[1:], len(h)), strict=True):
+                    out.append((int(h[i]) % self.parts, int(h[i]), here, int(j - i), pack(*(c[i:j] for c in cols)), None, None, None, None))
+                yield self.table(out)
+                here += 1
+
+    def buckets_of(self, rows: DataFrame, counts: DataFrame) -> DataFrame:
+        """The dealt positions and what the buckets are told, each bucket in one partition, in order."""
+        in_turn = lambda df: df.repartitionById(self.parts, F.col("part")).sortWithinPartitions("bucket", "chunk")
+        told = in_turn(rows.mapInArrow(self.asked, self.schema).unionByName(counts.select("a", "w", "c").mapInArrow(self.counts, self.schema))).mapInArrow(self.answer, self.schema)
+        return in_turn(rows.mapInArrow(self.deal, self.schema).unionByName(stage(told, "told")))
+
+    def each(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Per bucket the chunks, owners, flags, words before, words and ``Told``; the heads of chunks as they come."""
+        record = [*([np.uint64] * (self.depth + 1)), np.uint32, np.uint8]
+        now, held, told = -1, [], []
+
+        def whole() -> tuple:
+            cols = [np.concatenate(x) for x in zip(*(x[1:] for x in held), strict=True)]
+            chunk_of = np.repeat(np.array([x[0] for x in held], np.int64), [len(x[1]) for x in held])
+            say = Told(*(np.concatenate(x) for x in zip(*told, strict=True))) if told else Told(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            return chunk_of, cols[-2], cols[-1], cols[: self.depth], cols[self.depth], say
+
+        for b in batches:
+            for _, bucket, of, n, blob, ids, flags, sizes, extra in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if bucket < 0:
+                    yield self.table([(of % self.parts, -1, of, n, None, ids, flags, sizes, extra)]), None
+                    continue
+                if bucket != now:
+                    if held:
+                        yield None, whole()
+                    held, told = [], []
+                now = bucket
+                if of < 0:
+                    told.append(unpack(blob, n, [np.uint64, np.int64]))
+                else:
+                    held.append((of, *unpack(blob, n, record)))
+        if held:
+            yield None, whole()
+
+    def summed(self, dealt: DataFrame, score, kinds: list) -> DataFrame:
+        """(doc_id, learn, n_tokens, extra, v0, ...): of each text that is mine the sums of what ``score`` gives its tokens.
+
+        ``score(ctx, w, taught, told)`` gives one array per kind; ``ctx`` are the words before, nearest first.
+        """
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: list[tuple[np.ndarray, ...]] = []
+
+            def merged(parts_in: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+                c, o, *values = (np.concatenate(x) for x in zip(*parts_in, strict=True))
+                order = np.lexsort((o, c))
+                c, o = c[order], o[order]
+                at = np.flatnonzero(np.concatenate((np.ones(min(1, len(c)), bool), (c[1:] != c[:-1]) | (o[1:] != o[:-1]))))
+                return c[at], o[at], *(np.add.reduceat(v[order], at) if len(at) else v for v in values)
+
+            for head, got in self.each(batches):
+                if head is not None:
+                    yield head
+                    continue
+                chunk_of, owner, flags, ctx, w, told = got
+                values = score(ctx, w, flags & 1 == 1, told)
+                mine = flags & 2 == 2
+                sums.append((chunk_of[mine], owner[mine].astype(np.int64), *(v[mine] for v in values)))
+                sums = [merged(sums)]
+            if sums:
+                c, o, *values = sums[0]
+                at = np.flatnonzero(np.concatenate((np.ones(min(1, len(c)), bool), c[1:] != c[:-1])))
+                ends = np.append(at[1:], len(c))
+                for lo in range(0, len(at), 500):
+                    out = []
+                    for i, j in zip(at[lo : lo + 500], ends[lo : lo + 500], strict=True):
+                        out.append((int(c[i]) % self.parts, 0, int(c[i]), int(j - i), pack(o[i:j].astype(np.uint32), *(v[i:j].astype(k) for v, k in zip(values, kinds, strict=True))), None, None, None, None))
+                    yield self.table(out)
+
+        def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, head, got = -1, None, []
+
+            def out() -> Iterator[pa.RecordBatch]:
+                ids, flags, sizes, extra = head
+                sums = [np.zeros(len(ids)) for _ in kinds]
+                for n, blob in got:
+                    o, *values = unpack(blob, n, [np.uint32, *kinds])
+                    for x, v in zip(sums, values, strict=True):
+                        x[o] += v
+                mine = pa.array([x & 2 == 2 for x in flags])
+                cols = [pa.array(ids, self.id_type), pa.array([x & 1 == 1 for x in flags]), pa.array(sizes, pa.int64()), pa.array(extra, pa.string()), *map(pa.array, sums)]
+                yield pa.RecordBatch.from_arrays([c.filter(mine) for c in cols], ["doc_id", "learn", "n_tokens", "extra", *(f"v{i}" for i in range(len(kinds)))])
+
+            for b in batches:
+                for _, bucket, of, n, blob, ids, flags, sizes, extra in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                    if of != now and head:
+                        yield from out()
+                        got = []
+                    now = of
+                    if bucket < 0:
+                        head = ids, flags, sizes, extra
+                    else:
+                        got.append((n, blob))
+            if head:
+                yield from out()
+
+        scored = dealt.mapInArrow(run, self.schema).repartitionById(self.parts, F.col("part")).sortWithinPartitions("chunk", "bucket")
+        return scored.mapInArrow(add_up, f"doc_id {self.kind}, learn boolean, n_tokens long, extra string" + "".join(f", v{i} double" for i in range(len(kinds))))
+
+
+def _by_first(columns: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    whole = [np.concatenate(x) for x in zip(*columns, strict=True)]
+    order = np.argsort(whole[0])
+    return tuple(x[order] for x in whole)
+
+
+def most(counted: DataFrame, n: int) -> int:
+    """The least count of the rows of the largest counts (c), as many whole counts as have ``n`` rows at most."""
+    levels = counted.groupBy("c").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("c")).limit(n).toArrow()
+    fit = np.cumsum(levels["k"].to_numpy()) <= n
+    return int(levels["c"].to_numpy()[fit].min(initial=1 << 62))
+
+
+def _counted(a: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+    order = np.lexsort((w, a))
+    a, w = a[order], w[order]
+    first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (w[1:] != w[:-1]))))
+    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a[first], w[first])] + [pa.array(np.diff(np.append(first, len(a))))], ["a", "w", "c"])
+
+
+class Vocabulary:
+    """The words of ``words`` (w, c): how many, and the ``n_top`` most frequent ones by whole counts, at hand."""
+
+    def __init__(self, words: DataFrame, n_top: int):
+        total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+        self.n, self.types = int(total["n"]), int(total["v"])
+        least = most(words, n_top)
+        top = words.filter(F.col("c") >= least).toArrow()
+        order = np.lexsort((top["w"].to_numpy(), -top["c"].to_numpy()))
+        self.ranked, self.often = top["w"].to_numpy()[order].astype(np.int64).view(np.uint64), top["c"].to_numpy()[order]
+        #: the counts of all others, as buckets ask for them
+        self.others = words.filter(F.col("c") < least).groupBy(F.lit(-1).cast("long").alias("a"), F.col("w").bitwiseOR(F.lit(-(1 << 63)).cast("long")).alias("w")).agg(F.sum("c").alias("c"))
+
+    def hot(self, share: float, ends: int) -> dict[int, int]:
+        """The words of more than ``share`` of all tokens and the start, which stands before as many tokens as there are ends."""
+        size = {i: int(c) for i, c in enumerate(self.often[: int((self.often > self.n * share).sum())])} | ({int(_HIGH): ends} if ends > self.n * share else {})
+        size.pop(int(np.flatnonzero(self.ranked == _END)[0]) if (self.ranked == _END).any() else -1, None)
+        return size
 
 
 def grow(ctx: list[np.ndarray], w: np.ndarray, learn: np.ndarray, p: np.ndarray, min_count: int, min_divergence: float, done: np.ndarray | None = None) -> np.ndarray:
@@ -246,18 +583,19 @@ def suffix_tree(
     """Probabilistic suffix tree: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     It learns from the rows whose crc32(key) mod ``mod`` isn't ``rest``, null keys among them. Contexts of up to
-    ``max_depth`` words are kept by ``grow``; the root is add-one, with words after the ``n_top`` most frequent ones
-    (fewer where a count would be cut) alike. Null texts are empty (one end). Repeated rows are learned and scored one by one, an empty table gives no rows,
-    extra columns are ignored, a string key stays a string. A very long text is a chunk of its own.
+    ``max_depth`` words are kept by ``grow``; the root is add-one over all words. Null texts are empty (one end).
+    Repeated rows are learned and scored one by one, an empty table gives no rows, extra columns are ignored, a string
+    key stays a string. A very long text is a chunk of its own.
 
     The tokens after one word are held by one task. A word of more than ``hot_share`` of all tokens, and the start if
     it is one, are always kept as contexts and are dealt by the word before them too; what follows them is known from
-    their pairs that make up one in ``n_top`` of all tokens, mixed with the root. The share is a number of the model,
-    not of the cluster: scores don't depend on partitions, chunks or how rows are dealt.
+    their pairs that were met ``min_count`` times, mixed with the root. The share is a number of the model, not of the
+    cluster: scores don't depend on partitions, chunks or how rows are dealt. Nor on ``n_top``: that many words, and
+    four times as many pairs, are sent to all tasks, and the counts of the others to those that meet them.
     """
     spark = docs.sparkSession
-    rows = _texts(docs, key, text).withColumn("learn", _crc_rest("doc_id", mod) != rest).select("doc_id", "text", "learn")
-    kind = _kind(rows)
+    held = _crc_rest("doc_id", mod) != rest
+    rows = _texts(docs, key, text).select("doc_id", "text", held.alias("learn"), F.lit(True).alias("mine"), F.lit(None).cast("string").alias("extra"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -266,196 +604,40 @@ def suffix_tree(
                 yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(c)], ["w", "c"])
 
     words = stage(rows.filter("learn").mapInArrow(count, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "tree-words")
-    total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n_train, types = int(total["n"]), int(total["v"])
-    # the words of the largest counts, as many whole counts as have n_top words at most
-    levels = words.groupBy("c").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("c")).limit(n_top).toArrow()
-    fit = np.cumsum(levels["k"].to_numpy()) <= n_top
-    least = int(levels["c"].to_numpy()[fit].min(initial=1 << 62))
-    top = words.filter(F.col("c") >= least).toArrow()
-    order = np.lexsort((top["w"].to_numpy(), -top["c"].to_numpy()))
-    ranked, often = (top[x].to_numpy()[order] for x in ("w", "c"))
-    ends = words.filter(F.col("w") == int(_END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    # frequent words have small numbers, so that their high bytes pack well; all others keep their hash
-    ranked = ranked.astype(np.int64).view(np.uint64)
-    sent = spark.sparkContext.broadcast(Root(np.arange(len(ranked), dtype=np.uint64), often, n_train, types))
-    by_hash = np.argsort(ranked)
-    sent_ranks = spark.sparkContext.broadcast((ranked[by_hash], by_hash.astype(np.uint64)))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * parts
-    high = np.uint64(1) << np.uint64(63)
-    limit = n_train * hot_share
-    hot_size = {i: int(c) for i, c in enumerate(often[: int((often > limit).sum())])} | ({int(high): int(ends)} if ends > limit else {})
-    hot_size.pop(int(np.flatnonzero(ranked == _END)[0]) if (ranked == _END).any() else -1, None)
+    v = Vocabulary(words, n_top)
+    ends = int(words.filter(F.col("w") == int(_END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
+    hot_size = v.hot(hot_share, ends)
     hot_words = np.array(sorted(hot_size), np.uint64)
-
-    def number(t: np.ndarray) -> np.ndarray:
-        keys, ranks = sent_ranks.value
-        if not len(keys):
-            return t | high
-        at = np.minimum(np.searchsorted(keys, t), len(keys) - 1)
-        return np.where(keys[at] == t, ranks[at], t | high)
-
-    def narrow(t: np.ndarray) -> np.ndarray:
-        """40 bits of the hashes of rare words; the word before a token keeps all 64, as its counts must be exact."""
-        return np.where((t >> np.uint64(32) == 0) | (t == high), t, t & np.uint64((1 << 40) - 1) | np.uint64(1 << 40))
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for _, ts in _chunks([b], chunk):
-                t, n = tokens(ts)
-                t = number(t)
-                c = before(t, n, 1, high)[0]
-                at = np.flatnonzero(np.isin(c, hot_words))
-                if len(at):
-                    c, t = c[at], narrow(t[at])
-                    order = np.lexsort((t, c))
-                    c, t = c[order], t[order]
-                    first = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (t[1:] != t[:-1]))))
-                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (c[first], t[first], np.diff(np.append(first, len(c))))], ["a", "w", "c"])
-
+    sent = spark.sparkContext.broadcast(Root(v.often, v.n, v.types))
+    counts, at_hand = v.others, np.zeros(0, np.uint64)
     if hot_size:
-        met = rows.filter("learn").mapInArrow(pairs, "a long, w long, c long").groupBy("a", "w").agg(F.sum("c").alias("c"))
-        got = stage(met.filter(F.col("c") >= max(2, n_train // n_top)), "tree-pairs").toArrow()
-        sent_hot = spark.sparkContext.broadcast(Hot(hot_size, *(got[x].to_numpy().astype(np.int64).view(np.uint64) for x in ("a", "w")), got["c"].to_numpy()))
-
-    def pack(*columns: np.ndarray) -> bytes:
-        """Byte planes, compressed: the small numbers of frequent words leave planes of zeros."""
-        return pa.compress(b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns), "zstd", asbytes=True)
-
-    def unpack(blob: bytes, n: int, kinds: list) -> list[np.ndarray]:
-        raw = np.frombuffer(pa.decompress(blob, n * sum(np.dtype(k).itemsize for k in kinds), "zstd", asbytes=True), np.uint8)
-        out, at = [], 0
-        for k in kinds:
-            wide = np.dtype(k).itemsize
-            out.append(np.ascontiguousarray(raw[at : at + n * wide].reshape(wide, n).T).view(k).ravel())
-            at += n * wide
-        return out
-
-    record = [*([np.uint64] * (max_depth + 1)), np.uint32, np.uint8]
-    schema = f"part int, bucket int, chunk long, n int, blob binary, ids array<{kind}>, learn array<boolean>, sizes array<long>"
-    names = ["part", "bucket", "chunk", "n", "blob", "ids", "learn", "sizes"]
-    id_type = pa.string() if kind == "string" else pa.int64()
-    types_out = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.list_(id_type), pa.list_(pa.bool_()), pa.list_(pa.int64())]
-
-    def table(rows_out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows_out, strict=True), types_out, strict=True)], names)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        here = TaskContext.get().partitionId() << 32
-        for b in batches:
-            at = 0
-            for keys, ts in _chunks([b], chunk):
-                learn = b.column(2).slice(at, len(keys)).to_pylist()
-                at += len(keys)
-                t, n = tokens(ts)
-                t = number(t)
-                owner = np.repeat(np.arange(len(n), dtype=np.uint32), n)
-                taught = np.repeat(np.array(learn, np.uint8), n)
-                lead = before(t, n, max_depth, high)
-                cols = [lead[0], *map(narrow, lead[1:]), narrow(t), owner, taught]
-                h = mix(cols[0] + _SALT)
-                if hot_size:
-                    at_hot = np.flatnonzero(np.isin(cols[0], hot_words))
-                    h[at_hot] = mix(h[at_hot] + cols[min(1, max_depth - 1)][at_hot])
-                order = np.argsort(h)
-                h = ((h[order] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-                cols = [c[order] for c in cols]
-                first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-                out = [(int(here >> 32) % parts, -1, here, len(n), None, keys, learn, n.tolist())]
-                for i, j in zip(first, np.append(first[1:], len(h)), strict=True):
-                    out.append((int(h[i]) % parts, int(h[i]), here, int(j - i), pack(*(c[i:j] for c in cols)), None, None, None))
-                yield table(out)
-                here += 1
-
-    def learn_and_score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root = sent.value
-        now, held = -1, []
-        sums: list[tuple[np.ndarray, ...]] = []
-
-        def close() -> None:
-            cols = [np.concatenate(x) for x in zip(*(x[1:] for x in held), strict=True)]
-            chunk_of = np.repeat(np.array([x[0] for x in held], np.int64), [len(x[1]) for x in held])
-            ctx, w, owner, taught = cols[:max_depth], cols[max_depth], cols[max_depth + 1], cols[max_depth + 2].astype(bool)
-            p = root.probability(w)
-            hot = sent_hot.value.among(ctx[0]) if hot_size else np.zeros(len(w), bool)
-            if hot.any():
-                p[hot] = sent_hot.value.apply(ctx[0][hot], w[hot], p[hot])
-            p = grow(ctx, w, taught, p, min_count, min_divergence, hot)
-            # every word but the start stands once before a token: its count is that of the tokens learned after it
-            _, c1 = np.unique(ctx[0], return_inverse=True)
-            met = np.bincount(c1, taught)[c1]
-            if hot.any():
-                met[hot] = sent_hot.value.size[np.searchsorted(sent_hot.value.words, ctx[0][hot])]
-            word = ctx[0] != high
-            sums.append((chunk_of, owner.astype(np.int64), np.where(word, np.log10(met + 1.0), 0.0), np.log10(p), (word & (met > 0)).astype(np.int64)))
-
-        def merged(parts_in: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-            c, o, base, score, known = (np.concatenate(x) for x in zip(*parts_in, strict=True))
-            order = np.lexsort((o, c))
-            c, o, base, score, known = (x[order] for x in (c, o, base, score, known))
-            at = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (o[1:] != o[:-1]))))
-            return c[at], o[at], np.add.reduceat(base, at), np.add.reduceat(score, at), np.add.reduceat(known, at)
-
-        for b in batches:
-            for _, bucket, of, n, blob, ids, learn, sizes in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                if bucket < 0:
-                    yield table([(of % parts, -1, of, n, None, ids, learn, sizes)])
-                    continue
-                if bucket != now and held:
-                    close()
-                    held = []
-                    sums = [merged(sums)]
-                now = bucket
-                held.append((of, *unpack(blob, n, record)))
-        if held:
-            close()
-        if sums:
-            c, o, base, score, known = merged(sums)
-            at = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
-            for lo in range(0, len(at), 500):
-                out = []
-                for i, j in zip(at[lo : lo + 500], [*at[lo + 1 : lo + 500], at[lo + 500] if lo + 500 < len(at) else len(c)], strict=True):
-                    out.append((int(c[i]) % parts, 0, int(c[i]), int(j - i), pack(o[i:j].astype(np.uint32), base[i:j], score[i:j], known[i:j].astype(np.uint32)), None, None, None))
-                yield table(out)
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, head, got = -1, None, []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            ids, learn, sizes = head
-            base, score, known = (np.zeros(len(ids)) for _ in range(3))
-            for n, blob in got:
-                o, x, y, z = unpack(blob, n, [np.uint32, np.float64, np.float64, np.uint32])
-                base[o] += x
-                score[o] += y
-                known[o] += z
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, id_type), pa.array([not x for x in learn]), pa.array(sizes, pa.int64()), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)],
-                ["doc_id", "held_out", "n_tokens", "words_known", "logs", "score"],
-            )
-
-        for b in batches:
-            for _, bucket, of, n, blob, ids, learn, sizes in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                if of != now and head:
-                    yield from out()
-                    got = []
-                now = of
-                if bucket < 0:
-                    head = ids, learn, sizes
-                else:
-                    got.append((n, blob))
-        if head:
-            yield from out()
-
-    dealt = rows.mapInArrow(deal, schema).repartitionById(parts, F.col("part")).sortWithinPartitions("bucket", "chunk")
-    scored = dealt.mapInArrow(learn_and_score, schema).repartitionById(parts, F.col("part")).sortWithinPartitions("chunk", "bucket")
-    done = scored.mapInArrow(add_up, f"doc_id {kind}, held_out boolean, n_tokens long, words_known long, logs double, score double")
-    done = stage(done, "tree-scored")
-    log_all = F.lit(float(np.log10(n_train + types + 1)))
+        met = rows.filter("learn").mapInArrow(Deal(rows, max_depth, chunk, v.ranked, hot_words, at_hand).pairs, "a long, w long, c long").groupBy("a", "w").agg(F.sum("c").alias("c"))
+        met = stage(met.filter(F.col("c") >= min_count), "tree-pairs")
+        often = most(met, 4 * n_top)
+        got = met.filter(F.col("c") >= often).toArrow()
+        first, second = (got[x].to_numpy().astype(np.int64).view(np.uint64) for x in ("a", "w"))
+        paired = {int(r["a"]) & ((1 << 64) - 1): int(r["c"]) for r in met.groupBy("a").agg(F.sum("c").alias("c")).collect()}
+        sent_hot = spark.sparkContext.broadcast(Hot(hot_size, paired, first, second, got["c"].to_numpy()))
+        counts, at_hand = counts.unionByName(met.filter(F.col("c") < often)), pair_keys(first, second)
+
+    def score(ctx: list[np.ndarray], w: np.ndarray, taught: np.ndarray, told: Told) -> tuple[np.ndarray, ...]:
+        p = sent.value.probability(w, told)
+        hot = sent_hot.value.among(ctx[0]) if hot_size else np.zeros(len(w), bool)
+        if hot.any():
+            p[hot] = sent_hot.value.apply(ctx[0][hot], w[hot], p[hot], told)
+        p = grow(ctx, w, taught, p, min_count, min_divergence, hot)
+        # every word but the start stands once before a token: its count is that of the tokens learned after it
+        _, c1 = np.unique(ctx[0], return_inverse=True)
+        met = np.bincount(c1, taught)[c1]
+        if hot.any():
+            met[hot] = sent_hot.value.size[np.searchsorted(sent_hot.value.words, ctx[0][hot])]
+        word = ctx[0] != _HIGH
+        return np.where(word, np.log10(met + 1.0), 0.0), np.log10(p), (word & (met > 0)).astype(np.int64)
+
+    deal = Deal(rows, max_depth, chunk, v.ranked, hot_words, at_hand)
+    done = stage(deal.summed(deal.buckets_of(rows, counts), score, [np.float64, np.float64, np.uint32]), "tree-scored")
+    log_all = F.lit(float(np.log10(v.n + v.types + 1)))
     return done.select(
-        "doc_id", "held_out", "n_tokens", (F.col("words_known") + int(ends > 0)).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.lit(float(np.log10(ends + 1.0))) - F.col("n_tokens") * log_all).alias("base_score"), "score",
+        "doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", (F.col("v2").cast("long") + int(ends > 0)).alias("n_known"), F.lit(v.n).cast("long").alias("train_tokens"),
+        (F.col("v0") + F.lit(float(np.log10(ends + 1.0))) - F.col("n_tokens") * log_all).alias("base_score"), F.col("v1").alias("score"),
     )
