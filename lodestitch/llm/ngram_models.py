@@ -1,10 +1,9 @@
 """Word models: interpolated modified Kneser-Ney (quality) and a probabilistic suffix tree (scores).
 
 Words are hashed to 64 bits (A-Z lower-cased); an end closes each text, and a start stands before its first word.
-The Kneser-Ney model is fitted to a bounded sample of trusted rows; its tables are sorted by hash, so ranges of it
-are shards, and positions are joined to them in the pass over the texts. The suffix tree learns from all rows: its
-positions are dealt once by the word before them, packed into one binary row per chunk and range of hashes, so that
-all contexts that end in a word, of any length, meet in one task and no row is made for a token.
+The Kneser-Ney model is fitted to all trusted rows that aren't held out, the suffix tree to all rows but those:
+positions are dealt by the word before them, packed into one binary row per chunk and range of hashes, so that all
+contexts that end in a word, of any length, meet in one task and no row is made for a token (``Deal``).
 """
 
 from __future__ import annotations
@@ -75,7 +74,7 @@ def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: flo
 
 
 class KneserNey:
-    """Interpolated modified Kneser-Ney of any order; ``score`` gives natural logs of the tokens' probabilities."""
+    """Interpolated modified Kneser-Ney of any order over texts in memory; ``score`` gives natural logs of the tokens' probabilities."""
 
     def __init__(self, t: np.ndarray, n: np.ndarray, order: int):
         self.order = order
@@ -108,6 +107,29 @@ class KneserNey:
         return np.log(p)
 
 
+def _levels(ctx: list[np.ndarray], w: np.ndarray, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Hashes of the contexts of 0, 1, ... words and of these with the token."""
+    c = [np.zeros(len(w), np.uint64)]
+    for x in ctx[: order - 1]:
+        c.append(mix(c[-1] * _SALT + x))
+    return c, [mix(x * _LAST + w) for x in c]
+
+
+def _grams(grams: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per order, lowest first, the different n-grams, a place of each, and its count: how often it was met in the highest
+    order, how many different words stand before it in the others."""
+    out, first = [], None
+    for g in reversed(grams):
+        keys, at, count = np.unique(g if first is None else g[first], return_index=True, return_counts=True)
+        first = at if first is None else first[at]
+        out.append((keys, first, count))
+    return out[::-1]
+
+
+def _cut(d: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return d[np.minimum(count, 3).astype(np.int64)]
+
+
 def kneser_ney(
     docs: DataFrame,
     trusted: DataFrame,
@@ -117,43 +139,147 @@ def kneser_ney(
     order: int = 3,
     quantile: float = 0.98,
     factor: float = 1.0,
-    max_rows: int = 4000,
-    max_bytes: int = 16_000_000,
+    n_top: int = 1 << 18,
+    chunk: int = 8_000_000,
+    hot_share: float = 1 / 1024,
+    waves: int = 2,
 ) -> DataFrame:
     """Kneser-Ney of ``order`` words: doc_id, lang, n_tokens, perplexity, threshold, kept.
 
-    ``trusted`` holds the ids of trusted rows in ``key``. The model is fitted to a bounded sample of those whose
-    crc32(id) mod 4 isn't 3: ``max_rows`` of them by the hash of the id, as far as they come to ``max_bytes``. A
-    language's threshold is ``factor`` times the ``quantile`` of the perplexities of its other trusted rows, of all
-    trusted rows where it has none (or is null); without trusted rows all are kept. Null texts are empty (one end).
-    Repeated rows are scored one by one, an empty table gives no rows, extra columns are ignored, a null key stays
-    null, a string key stays a string. A very long text is scored whole, in one task.
+    ``trusted`` holds the ids of trusted rows in ``key``. The model is fitted to all of those whose crc32(id) mod 4
+    isn't 3. A language's threshold is ``factor`` times the ``quantile`` of the perplexities of its other trusted rows, of
+    all trusted rows where it has none (or is null); without trusted rows all are kept. Null texts are empty (one end).
+    Repeated rows are learned and scored one by one, an empty table gives no rows, extra columns are ignored, a null
+    key stays null, a string key stays a string. A very long text is a chunk of its own.
+
+    The trusted positions are dealt by the word before them and counted; then all positions are dealt with them, so
+    that a bucket has all n-grams of its contexts. Texts pass in ``waves`` for the disk. Counts of single words and of
+    pairs of a word of more than ``hot_share`` of all tokens are sent to all tasks for the ``n_top`` most frequent ones,
+    else told to the buckets that ask for them: results depend on neither number.
     """
+    spark = docs.sparkSession
     kind = _kind(_texts(docs, key, text))
-    rows = docs.select(F.col(key).cast(kind).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"), F.col(lang).cast("string").alias("lang"))
-    ids = trusted.select(F.col(key).cast(kind).alias("doc_id")).filter("doc_id IS NOT NULL").distinct().withColumn("h", F.xxhash64("doc_id"))
-    chosen = stage(ids.filter(_crc_rest("doc_id", 4) != 3).orderBy("h", "doc_id").limit(max_rows), "kn-sample")
-    said, size = [], 0
-    for r in rows.join(F.broadcast(chosen), "doc_id").select("h", "text").orderBy("h", "text").limit(max_rows).toLocalIterator():
-        size += len(r["text"])
-        if size > max_bytes and said:
-            break
-        said.append(bytes(r["text"]))
-    model = KneserNey(*tokens(said), order) if said else None
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    ids = trusted.select(F.col(key).cast(kind).alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
+    ids = stage(ids.select("doc_id", (_crc_rest("doc_id", 4) != 3).alias("learn")), "kn-trusted")
+    taught = ids.filter("learn")
+    small = taught.limit(1_000_001).count() <= 1_000_000
+    own = F.col(key) if kind == "string" else F.col(key).cast("long")
+    whole = docs.select(own.alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"), F.col(lang).cast("string").alias("extra"))
+    rows = whole.join(F.broadcast(taught) if small else taught, "doc_id", "left").withColumn("learn", F.coalesce("learn", F.lit(False)))
+    rows = rows.select("doc_id", "text", "learn", F.lit(True).alias("mine"), "extra")
+    if not small:  # once, as the texts move
+        rows = stage(rows, "kn-rows")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = 0
-            for keys, ts in _chunks([b], 2_000_000):
-                t, n = tokens(ts)
-                total = np.bincount(np.repeat(np.arange(len(n)), n), sent.value.score(t, n), len(n)) if sent.value else np.full(len(n), np.nan)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(keys)), b.column(2).slice(at, len(keys)), pa.array(n, pa.int64()), pa.array(np.exp(-total / n))], ["doc_id", "lang", "n_tokens", "perplexity"])
-                at += len(keys)
+            for _, ts in _chunks([b], chunk // 2):
+                w, c = np.unique(tokens(ts)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(c)], ["w", "c"])
 
-    scored = stage(rows.mapInArrow(run, f"doc_id {kind}, lang string, n_tokens long, perplexity double"), "kn-scored")
-    scored = scored.withColumn("perplexity", F.when(~F.isnan("perplexity"), F.col("perplexity")))
-    good = scored.join(small_side(stage(ids.filter(_crc_rest("doc_id", 4) == 3).select("doc_id"), "kn-trusted")), "doc_id", "left_semi")
+    words = stage(rows.filter("learn").mapInArrow(count, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "kn-words")
+    v = Vocabulary(words, n_top)
+    ends = int(words.filter(F.col("w") == int(_END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
+    hot_size = v.hot(hot_share, ends) if order > 1 else {}
+    hot_words = np.array(sorted(hot_size), np.uint64)
+    depth = max(1, order - 1)
+    none = np.zeros(0, np.uint64)
+    learned = Deal(rows, depth, chunk, v.ranked, hot_words, none)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(kind, a, w, c): 0 words, 1 pairs of hot words, 2 how many n-grams of order ``a`` have the count ``w`` (4: more)."""
+        for _, got in learned.each(batches):
+            if got is None:
+                continue
+            ctx, w = got[3], got[4]
+            hot = np.isin(ctx[0], hot_words)
+            levels = _grams(_levels(ctx, w, order)[1])
+            out = []
+            for j in range(1, order):
+                at, c = levels[j][1:]
+                if j == 1:
+                    out.append((1, ctx[0][at[hot[at]]], w[at[hot[at]]], c[hot[at]]))
+                    c = c[~hot[at]]
+                seen, n = np.unique(np.minimum(c, 5), return_counts=True)
+                out.append((2, np.full(len(seen), j, np.uint64), seen.astype(np.uint64), n))
+            # a hot pair may be met in several buckets: it counts for its word once, when its parts are summed
+            at = levels[1][1] if order > 1 else np.arange(len(w))
+            mine, n = np.unique(w[at[~hot[at]]], return_counts=True)
+            out.append((0, np.zeros(len(mine), np.uint64), mine, n))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([np.full(len(x[1]), x[0], np.int32) for x in out])), *(pa.array(np.concatenate([x[i] for x in out]).astype(np.uint64).view(np.int64)) for i in (1, 2, 3))], ["kind", "a", "w", "c"]
+            )
+
+    train = rows.filter("learn").mapInArrow(learned.deal, learned.schema).repartitionById(learned.parts, F.col("part")).sortWithinPartitions("bucket", "chunk")
+    sums = stage(train.mapInArrow(counted, "kind int, a long, w long, c long").groupBy("kind", "a", "w").agg(F.sum("c").alias("c")), "kn-counts")
+    pairs = sums.filter("kind = 1").select("a", "w", "c")
+    first = stage(sums.filter("kind = 0").select("w", "c").unionByName(pairs.select("w", F.lit(1).cast("long").alias("c"))).groupBy("w").agg(F.sum("c").alias("c")), "kn-first")
+    # how many n-grams of each order have the counts 1 to 4, or more
+    met = np.zeros((order, 6), np.int64)
+    few = F.least("c", F.lit(5))
+    for r in sums.filter("kind = 2").collect():
+        met[r["a"], r["w"]] += r["c"]
+    for j, df in ((0, first), *(((1, pairs),) if order > 1 else ())):
+        for r in df.groupBy(few.alias("w")).count().collect():
+            met[j, r["w"]] += r["count"]
+    cuts = [discounts(np.repeat(np.arange(5), m[:5])) for m in met]
+    n_first, types = (int(x or 0) for x in first.agg(F.sum("c"), F.count(F.lit(1))).first())
+    left_first = float((met[0] * _cut(cuts[0], np.arange(6))).sum() / max(n_first, 1))
+    at_rank = first.filter("w >= 0").toArrow()
+    often = np.zeros(len(v.ranked), np.int64)
+    often[at_rank["w"].to_numpy()] = at_rank["c"].to_numpy()
+    stats: dict[int, list[float]] = {}
+    for r in pairs.groupBy("a", F.least("c", F.lit(3)).alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect():
+        s = stats.setdefault(int(r["a"]) & ((1 << 64) - 1), [0.0, 0.0])
+        s[0], s[1] = s[0] + r["c"], s[1] + r["n"] * cuts[1][r["k"]]
+    hot_total = np.array([stats.get(int(x), (0.0, 0.0))[0] for x in hot_words])
+    hot_left = np.array([stats.get(int(x), (0.0, 0.0))[1] for x in hot_words]) / np.maximum(hot_total, 1)
+    least = most(pairs, 4 * n_top)
+    got = pairs.filter(F.col("c") >= least).toArrow()
+    at_hand = pair_keys(*(got[x].to_numpy().astype(np.int64).view(np.uint64) for x in ("a", "w")))
+    sent = spark.sparkContext.broadcast((often, Told(at_hand, got["c"].to_numpy())))
+    counts = first.filter("w < 0").select(F.lit(-1).cast("long").alias("a"), "w", "c").unionByName(pairs.filter(F.col("c") < least))
+
+    def score(ctx: list[np.ndarray], w: np.ndarray, taught: np.ndarray, mine: np.ndarray, told: Told) -> tuple[np.ndarray, ...]:
+        own, frequent = sent.value
+        contexts, grams = _levels(ctx, w, order)
+        levels, learned = _grams([g[taught] for g in grams]), [c[taught] for c in contexts]
+        contexts, grams, ctx, w = [c[mine] for c in contexts], [g[mine] for g in grams], [c[mine] for c in ctx], w[mine]
+        c = _counts(own, w, told)
+        p = (c - _cut(cuts[0], c)) / n_first + left_first / (types + 1)
+        hot = np.isin(ctx[0], hot_words)
+        for j in range(1, order):
+            keys, at, count = levels[j]
+            d = _cut(cuts[j], count)
+            of, inverse = np.unique(learned[j][at], return_inverse=True)
+            total = np.bincount(inverse, count, len(of))
+            left = np.bincount(inverse, d, len(of)) / total
+            below, p = p, _look(keys, (count - d) / total[inverse], grams[j], 0.0) + _look(of, left, contexts[j], 1.0) * p
+            if j == 1 and hot.any():
+                a, x = ctx[0][hot], w[hot]
+                of = np.searchsorted(hot_words, a)
+                c = frequent.count(a, x) + told.count(a, x)
+                p[hot] = np.where(hot_total[of] > 0, (c - _cut(cuts[1], c)) / np.maximum(hot_total[of], 1) + hot_left[of] * below[hot], below[hot])
+        return (np.log(p),)
+
+    done = None
+    deal = Deal(rows, depth, chunk, v.ranked, hot_words, at_hand)
+    for i in range(waves if types else 0):
+        mine = F.pmod(F.xxhash64("doc_id"), F.lit(waves)) == i
+        part = rows.filter(mine | F.col("learn")).withColumn("mine", mine)
+        part = stage(deal.summed(deal.buckets_of(part.select("doc_id", "text", "learn", "mine", "extra"), counts), score, [np.float64]), "kn-scored")
+        done = part if done is None else done.unionByName(part)
+    if done is None:  # nothing to learn from: sizes alone
+
+        def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at = 0
+                for keys, ts in _chunks([b], chunk):
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(keys)), b.column(4).slice(at, len(keys)), pa.array(tokens(ts)[1], pa.int64())], ["doc_id", "extra", "n_tokens"])
+                    at += len(keys)
+
+        done = stage(rows.mapInArrow(sizes, f"doc_id {kind}, extra string, n_tokens long"), "kn-scored").withColumn("v0", F.lit(None).cast("double"))
+    scored = done.select("doc_id", F.col("extra").alias("lang"), "n_tokens", F.exp(-F.col("v0") / F.col("n_tokens")).alias("perplexity"))
+    good = scored.join(small_side(ids.filter("NOT learn").select("doc_id")), "doc_id", "left_semi")
     by = good.groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 10_000) * factor).alias("own")).filter("lang is not null")
     every = good.agg(F.percentile_approx("perplexity", quantile, 10_000) * factor).first()[0]
     limit = F.coalesce(F.col("own"), F.lit(every).cast("double"), F.lit(float("inf")))
@@ -396,7 +522,7 @@ class Deal:
     def buckets_of(self, rows: DataFrame, counts: DataFrame) -> DataFrame:
         """The dealt positions and what the buckets are told, each bucket in one partition, in order."""
         in_turn = lambda df: df.repartitionById(self.parts, F.col("part")).sortWithinPartitions("bucket", "chunk")
-        told = in_turn(rows.mapInArrow(self.asked, self.schema).unionByName(counts.select("a", "w", "c").mapInArrow(self.counts, self.schema))).mapInArrow(self.answer, self.schema)
+        told = in_turn(rows.filter("mine").mapInArrow(self.asked, self.schema).unionByName(counts.select("a", "w", "c").mapInArrow(self.counts, self.schema))).mapInArrow(self.answer, self.schema)
         return in_turn(rows.mapInArrow(self.deal, self.schema).unionByName(stage(told, "told")))
 
     def each(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -430,7 +556,8 @@ class Deal:
     def summed(self, dealt: DataFrame, score, kinds: list) -> DataFrame:
         """(doc_id, learn, n_tokens, extra, v0, ...): of each text that is mine the sums of what ``score`` gives its tokens.
 
-        ``score(ctx, w, taught, told)`` gives one array per kind; ``ctx`` are the words before, nearest first.
+        ``score(ctx, w, taught, mine, told)`` gives one array per kind for the tokens that are mine; ``ctx`` are the words
+        before, nearest first.
         """
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -448,9 +575,8 @@ class Deal:
                     yield head
                     continue
                 chunk_of, owner, flags, ctx, w, told = got
-                values = score(ctx, w, flags & 1 == 1, told)
                 mine = flags & 2 == 2
-                sums.append((chunk_of[mine], owner[mine].astype(np.int64), *(v[mine] for v in values)))
+                sums.append((chunk_of[mine], owner[mine].astype(np.int64), *score(ctx, w, flags & 1 == 1, mine, told)))
                 sums = [merged(sums)]
             if sums:
                 c, o, *values = sums[0]
@@ -620,7 +746,7 @@ def suffix_tree(
         sent_hot = spark.sparkContext.broadcast(Hot(hot_size, paired, first, second, got["c"].to_numpy()))
         counts, at_hand = counts.unionByName(met.filter(F.col("c") < often)), pair_keys(first, second)
 
-    def score(ctx: list[np.ndarray], w: np.ndarray, taught: np.ndarray, told: Told) -> tuple[np.ndarray, ...]:
+    def score(ctx: list[np.ndarray], w: np.ndarray, taught: np.ndarray, mine: np.ndarray, told: Told) -> tuple[np.ndarray, ...]:
         p = sent.value.probability(w, told)
         hot = sent_hot.value.among(ctx[0]) if hot_size else np.zeros(len(w), bool)
         if hot.any():
@@ -632,7 +758,7 @@ def suffix_tree(
         if hot.any():
             met[hot] = sent_hot.value.size[np.searchsorted(sent_hot.value.words, ctx[0][hot])]
         word = ctx[0] != _HIGH
-        return np.where(word, np.log10(met + 1.0), 0.0), np.log10(p), (word & (met > 0)).astype(np.int64)
+        return np.where(word, np.log10(met + 1.0), 0.0), np.log10(p), (word & (met > 0)).astype(np.int64)  # all are mine
 
     deal = Deal(rows, max_depth, chunk, v.ranked, hot_words, at_hand)
     done = stage(deal.summed(deal.buckets_of(rows, counts), score, [np.float64, np.float64, np.uint32]), "tree-scored")
