@@ -327,14 +327,16 @@ def structure(sets: dict[str, DataFrame], source_edges: DataFrame, target_edges:
     for name, pairs in sets.items():
         part = pairs.select(F.lit(name).alias("set"), *PAIR).distinct()
         every = part if every is None else every.unionByName(part)
+    every = Scratch(every.sparkSession, "structure").keep(every, "pairs")
     source_up, target_up = (distances.climb(every.select(c), e) for c, e in (("hpo_id", source_edges), ("sct_id", target_edges)))
     a = distances.related_pairs(every.withColumn("id", F.col("sct_id")), target_up, ["set", "hpo_id"])
     b = distances.related_pairs(every.withColumn("id", F.col("hpo_id")), source_up, ["set", "sct_id"])
-    child = every.select("set", F.col("hpo_id").alias("child"), F.col("sct_id").alias("child_sct"))
+    # a child's pair and a parent's meet by the parent and the child's target, so that no two pairs meet in vain
     over = source_up.filter("start != node").select(F.col("start").alias("child"), F.col("node").alias("parent"))
-    parent = every.select("set", F.col("hpo_id").alias("parent"), F.col("sct_id").alias("parent_sct"))
     below = target_up.filter("start != node").select(F.col("start").alias("parent_sct"), F.col("node").alias("child_sct"))
-    c = child.join(over, "child").join(parent, ["set", "parent"]).join(below, ["parent_sct", "child_sct"], "left_semi").select("set", "parent", "child", "parent_sct", "child_sct")
+    child = every.select("set", F.col("hpo_id").alias("child"), F.col("sct_id").alias("child_sct")).join(over, "child")
+    parent = every.select("set", F.col("hpo_id").alias("parent"), F.col("sct_id").alias("parent_sct")).join(below, "parent_sct")
+    c = child.join(parent, ["set", "parent", "child_sct"]).select("set", "parent", "child", "parent_sct", "child_sct")
     counts = None
     for name, df, of in (("source_collapse", a, "hpo_id"), ("target_collapse", b, "sct_id"), ("reversals", c, "child")):
         part = df.groupBy("set").agg(F.count(F.lit(1)).alias("n_pairs"), F.countDistinct(of).alias("n_concepts")).select("set", F.lit(name).alias("warning"), "n_pairs", "n_concepts")
