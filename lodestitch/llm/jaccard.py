@@ -36,8 +36,7 @@ from .common import drop_staged, small_side, stage
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _BYTE = _rng.integers(1 << 62, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOW = np.arange(256, dtype=np.uint8)
-_LOW[65:91] += 32
+_LOW = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -49,19 +48,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: What each byte adds at the first places of a word.
+_PLACED = mix(_BYTE + np.arange(64, dtype=np.uint64)[:, None] * _BASE)
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts in turn, and the number of words of each text."""
-    raw = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
-    raw = _LOW[raw]
-    gap = _BLANK[raw]
-    edge = np.diff(np.concatenate(([True], gap)).astype(np.int8))
-    first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    raw = np.frombuffer(b" ".join([*texts, b""]).translate(_LOW), np.uint8)
+    gap = _BLANK.take(raw)
+    edge = np.flatnonzero(np.diff(gap, prepend=True))
+    first, last = edge[::2], edge[1::2]
     # the bytes of each word, weighed by their place and summed
-    place = np.arange(len(raw), dtype=np.int64)
+    place = np.arange(len(raw))
     if len(first):
         place[first[0] :] -= np.repeat(first, np.diff(np.append(first, len(raw))))
-    values = mix(_BYTE[raw] + place.view(np.uint64) * _BASE)
-    values[gap] = 0
+    far = np.flatnonzero((place >= len(_PLACED)) & ~gap) if (last - first).max(initial=0) > len(_PLACED) else first[:0]
+    values = _PLACED.ravel().take(np.minimum(place, len(_PLACED) - 1) << 8 | raw)
+    values[far] = mix(_BYTE[raw[far]] + place[far].astype(np.uint64) * _BASE)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)))
     words = mix(sums[last] - sums[first] + (last - first).astype(np.uint64))
     ends = np.cumsum([len(t) + 1 for t in texts])
@@ -179,7 +182,7 @@ def segments(docs: DataFrame, ids: DataFrame, k: int, key: str, text: str, fragm
     """cid, fragment, n and grams: the sets of the rows ``ids``, cut by ranges of the n-gram order; fragment -1 holds the parities."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _chunks(batches):
+        for _, texts in _chunks(batches, 250_000):
             rows = []
             for s in shingle_sets(texts, k):
                 at = np.searchsorted(s >> np.uint64(32), (np.arange(fragments + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(fragments))
@@ -289,7 +292,7 @@ def members(rows: DataFrame, k: int, num: int, den: int, hot: int = 64, size: in
         seen: set[int] = set()  # copies in a task give their keys once; forgetting some only repeats keys
         found: list[np.ndarray] = []
         held: list[int] = []
-        for b in _slices(batches):
+        for b in _slices(batches, 250_000):
             sets = shingle_sets(b.column(1).to_pylist(), k)
             cids = [class_of(s) for s in sets]
             yield passing(None, np.array(cids, np.int64), doc_id=b.column(0), n=pa.array([len(s) for s in sets], pa.int64()))

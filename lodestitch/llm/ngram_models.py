@@ -9,6 +9,7 @@ contexts that end in a word, of any length, meet in one task and no row is made
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from .common import small_side, stage
 from .jaccard import _chunks, _kind, _texts, mix, word_hashes
 
 _END, _START = np.uint64(0xE4D), np.uint64(0x57A27)
+_HIGH = np.uint64(1) << np.uint64(63)
 _SALT, _LAST = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -27,7 +29,7 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     words, counts, at = [], [], 0
     while at < len(texts):  # some at a time: hashing takes many times a text's memory
         to, size = at, 0
-        while to < len(texts) and (to == at or size + len(texts[to]) <= 1_000_000):
+        while to < len(texts) and (to == at or size + len(texts[to]) <= 250_000):
             size += len(texts[to])
             to += 1
         w, n = word_hashes(texts[at:to])
@@ -66,13 +68,42 @@ def discounts(counts: np.ndarray) -> np.ndarray:
     return np.array([0.0, *(min(max(d, 0.05), i - 0.05) for i, d in enumerate(raw, 1))])
 
 
-def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
+def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float | np.ndarray) -> np.ndarray:
     if not len(keys):
         return np.full(len(wanted), default)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    if len(keys) > 1 << 16:  # in order, as the keys don't fit the processor's caches
+        order = np.argsort(wanted)
+        at = np.empty(len(wanted), np.int64)
+        at[order] = np.searchsorted(keys, wanted[order])
+    else:
+        at = np.searchsorted(keys, wanted)
+    at = np.minimum(at, len(keys) - 1)
     return np.where(keys[at] == wanted, values[at], default)
 
 
+def _runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of ``h``, and where its runs of equal values begin there."""
+    order = np.argsort(h)
+    s = h[order]
+    return order, np.flatnonzero(np.concatenate((np.ones(min(1, len(s)), bool), s[1:] != s[:-1])))
+
+
+def _dense(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each of ``h``, equal ones having the same, and a place of each number."""
+    order, first = _runs(h)
+    out = np.empty(len(h), np.int64)
+    out[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+    return out, order[first]
+
+
+def _among(words: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Which of ``c`` are among the few ``words``, nearly all of which are small numbers."""
+    out = np.isin(c, words[words < _HIGH], kind="table")
+    for x in words[words >= _HIGH]:
+        out |= c == x
+    return out
+
+
 class KneserNey:
     """Interpolated modified Kneser-Ney of any order over texts in memory; ``score`` gives natural logs of the tokens' probabilities."""
 
@@ -120,9 +151,10 @@ def _grams(grams: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.nda
     order, how many different words stand before it in the others."""
     out, first = [], None
     for g in reversed(grams):
-        keys, at, count = np.unique(g if first is None else g[first], return_index=True, return_counts=True)
-        first = at if first is None else first[at]
-        out.append((keys, first, count))
+        g = g if first is None else g[first]
+        order, at = _runs(g)
+        first = order[at] if first is None else first[order[at]]
+        out.append((g[order[at]], first, np.diff(np.append(at, len(g)))))
     return out[::-1]
 
 
@@ -142,7 +174,7 @@ def kneser_ney(
     n_top: int = 1 << 18,
     chunk: int = 8_000_000,
     hot_share: float = 1 / 1024,
-    waves: int = 2,
+    waves: int = 4,
 ) -> DataFrame:
     """Kneser-Ney of ``order`` words: doc_id, lang, n_tokens, perplexity, threshold, kept.
 
@@ -153,7 +185,7 @@ def kneser_ney(
     key stays null, a string key stays a string. A very long text is a chunk of its own.
 
     The trusted positions are dealt by the word before them and counted; then all positions are dealt with them, so
-    that a bucket has all n-grams of its contexts. Texts pass in ``waves`` for the disk. Counts of single words and of
+    that a bucket has all n-grams of its contexts. Buckets pass in ``waves`` for the disk. Counts of single words and of
     pairs of a word of more than ``hot_share`` of all tokens are sent to all tasks for the ``n_top`` most frequent ones,
     else told to the buckets that ask for them: results depend on neither number.
     """
@@ -166,7 +198,7 @@ def kneser_ney(
     own = F.col(key) if kind == "string" else F.col(key).cast("long")
     whole = docs.select(own.alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"), F.col(lang).cast("string").alias("extra"))
     rows = whole.join(F.broadcast(taught) if small else taught, "doc_id", "left").withColumn("learn", F.coalesce("learn", F.lit(False)))
-    rows = rows.select("doc_id", "text", "learn", F.lit(True).alias("mine"), "extra")
+    rows = rows.select("doc_id", "text", "learn", "extra")
     if not small:  # once, as the texts move
         rows = stage(rows, "kn-rows")
 
@@ -191,7 +223,7 @@ def kneser_ney(
             if got is None:
                 continue
             ctx, w = got[3], got[4]
-            hot = np.isin(ctx[0], hot_words)
+            hot = _among(hot_words, ctx[0])
             levels = _grams(_levels(ctx, w, order)[1])
             out = []
             for j in range(1, order):
@@ -239,14 +271,13 @@ def kneser_ney(
     sent = spark.sparkContext.broadcast((often, Told(at_hand, got["c"].to_numpy())))
     counts = first.filter("w < 0").select(F.lit(-1).cast("long").alias("a"), "w", "c").unionByName(pairs.filter(F.col("c") < least))
 
-    def score(ctx: list[np.ndarray], w: np.ndarray, taught: np.ndarray, mine: np.ndarray, told: Told) -> tuple[np.ndarray, ...]:
+    def score(ctx: list[np.ndarray], w: np.ndarray, taught: np.ndarray, told: Told) -> tuple[np.ndarray, ...]:
         own, frequent = sent.value
         contexts, grams = _levels(ctx, w, order)
         levels, learned = _grams([g[taught] for g in grams]), [c[taught] for c in contexts]
-        contexts, grams, ctx, w = [c[mine] for c in contexts], [g[mine] for g in grams], [c[mine] for c in ctx], w[mine]
         c = _counts(own, w, told)
         p = (c - _cut(cuts[0], c)) / n_first + left_first / (types + 1)
-        hot = np.isin(ctx[0], hot_words)
+        hot = _among(hot_words, ctx[0])
         for j in range(1, order):
             keys, at, count = levels[j]
             d = _cut(cuts[j], count)
@@ -261,20 +292,15 @@ def kneser_ney(
                 p[hot] = np.where(hot_total[of] > 0, (c - _cut(cuts[1], c)) / np.maximum(hot_total[of], 1) + hot_left[of] * below[hot], below[hot])
         return (np.log(p),)
 
-    done = None
-    deal = Deal(rows, depth, chunk, v.ranked, hot_words, at_hand)
-    for i in range(waves if types else 0):
-        mine = F.pmod(F.xxhash64("doc_id"), F.lit(waves)) == i
-        part = rows.filter(mine | F.col("learn")).withColumn("mine", mine)
-        part = stage(deal.summed(deal.buckets_of(part.select("doc_id", "text", "learn", "mine", "extra"), counts), score, [np.float64]), "kn-scored")
-        done = part if done is None else done.unionByName(part)
-    if done is None:  # nothing to learn from: sizes alone
+    if types:
+        done = stage(Deal(rows, depth, chunk, v.ranked, hot_words, at_hand).summed(rows, counts, score, [np.float64], waves), "kn-scored")
+    else:  # nothing to learn from: sizes alone
 
         def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 at = 0
                 for keys, ts in _chunks([b], chunk):
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(keys)), b.column(4).slice(at, len(keys)), pa.array(tokens(ts)[1], pa.int64())], ["doc_id", "extra", "n_tokens"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(keys)), b.column(3).slice(at, len(keys)), pa.array(tokens(ts)[1], pa.int64())], ["doc_id", "extra", "n_tokens"])
                     at += len(keys)
 
         done = stage(rows.mapInArrow(sizes, f"doc_id {kind}, extra string, n_tokens long"), "kn-scored").withColumn("v0", F.lit(None).cast("double"))
@@ -290,7 +316,6 @@ def kneser_ney(
 # ---- suffix tree
 
 
-_HIGH = np.uint64(1) << np.uint64(63)
 #: Stands in place of a context where a word's own count is asked for.
 _ROOT = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -361,7 +386,7 @@ class Hot:
         self.left = 1.0 - np.array([paired.get(int(w), 0) for w in self.words], float) / np.maximum(self.size, 1)
 
     def among(self, c: np.ndarray) -> np.ndarray:
-        return np.isin(c, self.words)
+        return _among(self.words, c)
 
     def apply(self, c: np.ndarray, w: np.ndarray, p: np.ndarray, told: Told) -> np.ndarray:
         of = np.searchsorted(self.words, c)
@@ -371,8 +396,7 @@ class Hot:
 class Deal:
     """Deals the positions of texts by the word before them, packed into one binary row per chunk and bucket of words.
 
-    ``rows`` are (doc_id, text, learn, mine, extra): ``learn`` marks texts to learn from, ``mine`` those whose sums are
-    wanted. Words are numbered by ``ranked``, the hashes of frequent words, most frequent first; all others keep their
+    ``rows`` are (doc_id, text, learn, extra): ``learn`` marks texts to learn from. Words are numbered by ``ranked``, the hashes of frequent words, most frequent first; all others keep their
     hash. Positions after ``hot`` words are dealt by the word before that too. A bucket is told the counts (a, w, c) of
     what it asks for: those of its words without a number, and of its pairs of a hot word that aren't ``at_hand``.
     """
@@ -382,6 +406,7 @@ class Deal:
         self.kind, self.depth, self.chunk, self.hot = _kind(rows), depth, chunk, hot
         self.parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.buckets = 4 * self.parts
+        self.slots = None
         by_hash = np.argsort(ranked)
         self.ranks = spark.sparkContext.broadcast((ranked[by_hash], by_hash.astype(np.uint64)))
         self.at_hand = spark.sparkContext.broadcast(np.sort(at_hand))
@@ -398,19 +423,32 @@ class Deal:
         keys, ranks = self.ranks.value
         if not len(keys):
             return t | _HIGH
-        at = np.minimum(np.searchsorted(keys, t), len(keys) - 1)
-        return np.where(keys[at] == t, ranks[at], t | _HIGH)
-
-    def places(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-        """Tokens, the texts' numbers of tokens, the words before each token and a hash that its bucket comes from."""
+        if self.slots is None:  # by the upper bits; of the words of one slot the most frequent has it, the others are searched
+            shift = np.uint64(61 - len(keys).bit_length())
+            slot = keys >> shift
+            order = np.argsort(ranks)[::-1]
+            of, rank = (np.zeros(8 << len(keys).bit_length(), k) for k in (np.uint64, np.uint32))
+            of[slot[order]], rank[slot[order]] = keys[order], ranks[order]
+            shared = of[slot] != keys
+            self.slots = shift, of, rank, keys[shared], ranks[shared]
+        shift, of, rank, keys, ranks = self.slots
+        slot = (t >> shift).view(np.int64)
+        out = rank.take(slot).astype(np.uint64)
+        other = np.flatnonzero(of.take(slot) != t)
+        out[other] = _look(keys, ranks, t[other], _HIGH | t[other])
+        return out
+
+    def places(self, texts: list[bytes], depth: int | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+        """Tokens, the texts' numbers of tokens, the words before each token, whole, and a hash that its bucket comes from,
+        for which a ``depth`` of two words is enough."""
         t, n = tokens(texts)
         t = self.number(t)
-        lead = before(t, n, self.depth, _HIGH)
-        lead[1:] = map(narrow, lead[1:])
+        lead = before(t, n, min(self.depth, depth or self.depth), _HIGH)
         h = mix(lead[0] + _SALT)
         if len(self.hot):
-            at = np.flatnonzero(np.isin(lead[0], self.hot))
-            h[at] = mix(h[at] + lead[min(1, self.depth - 1)][at])
+            at = np.flatnonzero(_among(self.hot, lead[0]))
+            second = lead[min(1, self.depth - 1)][at]
+            h[at] = mix(h[at] + (narrow(second) if self.depth > 1 else second))
         return t, n, lead, h
 
     def bucket(self, h: np.ndarray) -> np.ndarray:
@@ -420,8 +458,10 @@ class Deal:
         """Per chunk the pairs of a hot word and a word, counted."""
         for b in batches:
             for _, ts in _chunks([b], self.chunk):
-                t, _, lead, _ = self.places(ts)
-                at = np.flatnonzero(np.isin(lead[0], self.hot))
+                t, n = tokens(ts)
+                t = self.number(t)
+                lead = before(t, n, 1, _HIGH)
+                at = np.flatnonzero(_among(self.hot, lead[0]))
                 if len(at):
                     yield _counted(lead[0][at], t[at])
 
@@ -436,18 +476,20 @@ class Deal:
         known = self.at_hand.value
         for b in batches:
             for _, ts in _chunks([b], self.chunk):
-                t, _, lead, h = self.places(ts)
+                t, _, lead, h = self.places(ts, 2)
                 of, c = self.bucket(h).astype(np.uint32), lead[0]
                 rare = np.flatnonzero(t >= _HIGH)
                 keys, of_keys = [pair_keys(np.full(len(rare), _ROOT), t[rare])], [of[rare]]
                 if len(self.hot):
-                    at = np.flatnonzero(np.isin(c, self.hot))
+                    at = np.flatnonzero(_among(self.hot, c))
                     k = pair_keys(c[at], t[at])
                     new = _look(known, np.ones(len(known)), k, 0) == 0
                     keys.append(k[new])
                     of_keys.append(of[at[new]])
                 keys, of_keys = np.concatenate(keys), np.concatenate(of_keys)
-                order = np.lexsort((of_keys, keys))
+                # by the upper bits, then by bucket: a key asked for twice may stay twice where these bits are another's too
+                low = np.uint64((1 << self.buckets.bit_length()) - 1)
+                order = np.argsort(keys & ~low | of_keys)
                 keys, of_keys = keys[order], of_keys[order]
                 once = np.concatenate((np.ones(min(1, len(keys)), bool), (keys[1:] != keys[:-1]) | (of_keys[1:] != of_keys[:-1])))
                 if once.any():
@@ -497,33 +539,44 @@ class Deal:
                     want.append(tuple(unpack(blob, n, [np.uint64, np.uint32])))
         yield from out()
 
-    def deal(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(self, batches: Iterator[pa.RecordBatch], wave: int = 0, waves: int = 1) -> Iterator[pa.RecordBatch]:
+        """The positions of the buckets of a wave, and the heads of chunks."""
         from pyspark import TaskContext
 
         here = TaskContext.get().partitionId() << 32
         for b in batches:
             at = 0
             for keys, ts in _chunks([b], self.chunk):
-                learn, mine, extra = (b.column(i).slice(at, len(keys)) for i in (2, 3, 4))
-                flags = learn.to_numpy(zero_copy_only=False).astype(np.uint8) | mine.to_numpy(zero_copy_only=False).astype(np.uint8) << 1
+                learn, extra = (b.column(i).slice(at, len(keys)) for i in (2, 3))
+                flags = learn.to_numpy(zero_copy_only=False).astype(np.uint8)
                 at += len(keys)
                 t, n, lead, h = self.places(ts)
                 cols = [*lead, t, np.repeat(np.arange(len(n), dtype=np.uint32), n), np.repeat(flags, n)]
-                order = np.argsort(h)
-                h = self.bucket(h[order])
+                if waves > 1:
+                    at_all = np.flatnonzero(self.bucket(h) // np.uint64(self.parts) % np.uint64(waves) == wave)
+                    h, cols = h[at_all], [c[at_all] for c in cols]
+                h = self.bucket(h).astype(np.uint16 if self.buckets <= 1 << 16 else np.uint32)
+                order = np.argsort(h, kind="stable")  # owners stay in turn
+                h = h[order]
                 cols = [c[order] for c in cols]
-                first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+                cols[1 : self.depth] = map(narrow, cols[1 : self.depth])
+                first = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1])))
+                owner = cols[-2]
+                cols[-2] = np.diff(owner, prepend=np.uint32(0))
+                cols[-2][first] = owner[first]
                 out = [(int(here >> 32) % self.parts, -1, here, len(n), None, keys, flags.tolist(), n.tolist(), extra.to_pylist())]
                 for i, j in zip(first, np.append(first[1:], len(h)), strict=True):
                     out.append((int(h[i]) % self.parts, int(h[i]), here, int(j - i), pack(*(c[i:j] for c in cols)), None, None, None, None))
                 yield self.table(out)
                 here += 1
 
-    def buckets_of(self, rows: DataFrame, counts: DataFrame) -> DataFrame:
-        """The dealt positions and what the buckets are told, each bucket in one partition, in order."""
+    def buckets_of(self, rows: DataFrame, counts: DataFrame, waves: int = 1) -> Iterator[DataFrame]:
+        """Wave by wave the dealt positions and what the buckets are told, each bucket in one partition, in order."""
         in_turn = lambda df: df.repartitionById(self.parts, F.col("part")).sortWithinPartitions("bucket", "chunk")
-        told = in_turn(rows.filter("mine").mapInArrow(self.asked, self.schema).unionByName(counts.select("a", "w", "c").mapInArrow(self.counts, self.schema))).mapInArrow(self.answer, self.schema)
-        return in_turn(rows.mapInArrow(self.deal, self.schema).unionByName(stage(told, "told")))
+        told = in_turn(rows.mapInArrow(self.asked, self.schema).unionByName(counts.select("a", "w", "c").mapInArrow(self.counts, self.schema))).mapInArrow(self.answer, self.schema)
+        told = stage(told, "told")
+        for i in range(waves):
+            yield in_turn(rows.mapInArrow(partial(self.deal, wave=i, waves=waves), self.schema).unionByName(told.filter(F.pmod(F.floor(F.col("bucket") / self.parts), F.lit(waves)) == i)))
 
     def each(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         """Per bucket the chunks, owners, flags, words before, words and ``Told``; the heads of chunks as they come."""
@@ -549,37 +602,42 @@ class Deal:
                 if of < 0:
                     told.append(unpack(blob, n, [np.uint64, np.int64]))
                 else:
-                    held.append((of, *unpack(blob, n, record)))
+                    cols = unpack(blob, n, record)
+                    cols[-2] = np.cumsum(cols[-2], dtype=np.uint32)
+                    held.append((of, *cols))
         if held:
             yield None, whole()
 
-    def summed(self, dealt: DataFrame, score, kinds: list) -> DataFrame:
-        """(doc_id, learn, n_tokens, extra, v0, ...): of each text that is mine the sums of what ``score`` gives its tokens.
+    def summed(self, rows: DataFrame, counts: DataFrame, score, kinds: list, waves: int = 1) -> DataFrame:
+        """(doc_id, learn, n_tokens, extra, v0, ...): of each of the texts ``rows`` the sums of what ``score`` gives its tokens.
 
-        ``score(ctx, w, taught, mine, told)`` gives one array per kind for the tokens that are mine; ``ctx`` are the words
-        before, nearest first.
+        ``score(ctx, w, taught, told)`` gives one array per kind; ``ctx`` are the words before, nearest first. Of several
+        ``waves`` each has a part of the buckets, so that positions are moved once in all and each wave leaves its sums.
         """
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: list[tuple[np.ndarray, ...]] = []
 
-            def merged(parts_in: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-                c, o, *values = (np.concatenate(x) for x in zip(*parts_in, strict=True))
-                order = np.lexsort((o, c))
-                c, o = c[order], o[order]
+            def added(c: np.ndarray, o: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+                """Neighbours of one chunk and owner, summed."""
                 at = np.flatnonzero(np.concatenate((np.ones(min(1, len(c)), bool), (c[1:] != c[:-1]) | (o[1:] != o[:-1]))))
-                return c[at], o[at], *(np.add.reduceat(v[order], at) if len(at) else v for v in values)
+                return c[at], o[at], *(np.add.reduceat(v, at) if len(at) else v for v in values)
+
+            def merged() -> tuple[np.ndarray, ...]:
+                c, o, *values = (np.concatenate(x) for x in zip(*sums, strict=True))
+                order = np.lexsort((o, c))
+                return added(*(x[order] for x in (c, o, *values)))
 
             for head, got in self.each(batches):
                 if head is not None:
                     yield head
                     continue
                 chunk_of, owner, flags, ctx, w, told = got
-                mine = flags & 2 == 2
-                sums.append((chunk_of[mine], owner[mine].astype(np.int64), *score(ctx, w, flags & 1 == 1, mine, told)))
-                sums = [merged(sums)]
+                sums.append(added(chunk_of, owner.astype(np.int64), *score(ctx, w, flags == 1, told)))
+                if len(sums) == 4:
+                    sums = [merged()]
             if sums:
-                c, o, *values = sums[0]
+                c, o, *values = merged()
                 at = np.flatnonzero(np.concatenate((np.ones(min(1, len(c)), bool), c[1:] != c[:-1])))
                 ends = np.append(at[1:], len(c))
                 for lo in range(0, len(at), 500):
@@ -598,9 +656,9 @@ class Deal:
                     o, *values = unpack(blob, n, [np.uint32, *kinds])
                     for x, v in zip(sums, values, strict=True):
                         x[o] += v
-                mine = pa.array([x & 2 == 2 for x in flags])
-                cols = [pa.array(ids, self.id_type), pa.array([x & 1 == 1 for x in flags]), pa.array(sizes, pa.int64()), pa.array(extra, pa.string()), *map(pa.array, sums)]
-                yield pa.RecordBatch.from_arrays([c.filter(mine) for c in cols], ["doc_id", "learn", "n_tokens", "extra", *(f"v{i}" for i in range(len(kinds)))])
+                place = [pa.array(np.full(len(ids), now)), pa.array(np.arange(len(ids)))]
+                cols = [*place, pa.array(ids, self.id_type), pa.array([x == 1 for x in flags]), pa.array(sizes, pa.int64()), pa.array(extra, pa.string()), *map(pa.array, sums)]
+                yield pa.RecordBatch.from_arrays(cols, names)
 
             for b in batches:
                 for _, bucket, of, n, blob, ids, flags, sizes, extra in zip(*(x.to_pylist() for x in b.columns), strict=True):
@@ -615,8 +673,17 @@ class Deal:
             if head:
                 yield from out()
 
-        scored = dealt.mapInArrow(run, self.schema).repartitionById(self.parts, F.col("part")).sortWithinPartitions("chunk", "bucket")
-        return scored.mapInArrow(add_up, f"doc_id {self.kind}, learn boolean, n_tokens long, extra string" + "".join(f", v{i} double" for i in range(len(kinds))))
+        names = ["chunk", "place", "doc_id", "learn", "n_tokens", "extra", *(f"v{i}" for i in range(len(kinds)))]
+        types = ["long", "long", self.kind, "boolean", "long", "string", *["double"] * len(kinds)]
+        done = None
+        for dealt in self.buckets_of(rows, counts, waves):
+            part = dealt.mapInArrow(run, self.schema).repartitionById(self.parts, F.col("part")).sortWithinPartitions("chunk", "bucket")
+            part = part.mapInArrow(add_up, ", ".join(map(" ".join, zip(names, types, strict=True))))
+            part = stage(part, "wave") if waves > 1 else part
+            done = part if done is None else done.unionByName(part)
+        if waves > 1:
+            done = done.groupBy("chunk", "place").agg(*(F.any_value(x).alias(x) for x in names[2:6]), *(F.sum(x).alias(x) for x in names[6:]))
+        return done.select(*names[2:])
 
 
 def _by_first(columns: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
@@ -633,10 +700,10 @@ def most(counted: DataFrame, n: int) -> int:
 
 
 def _counted(a: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+    order, first = _runs(pair_keys(a, w))
+    a, w, c = a[order[first]], w[order[first]], np.diff(np.append(first, len(a)))
     order = np.lexsort((w, a))
-    a, w = a[order], w[order]
-    first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (w[1:] != w[:-1]))))
-    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a[first], w[first])] + [pa.array(np.diff(np.append(first, len(a))))], ["a", "w", "c"])
+    return pa.RecordBatch.from_arrays([pa.array(x[order].view(np.int64)) for x in (a, w, c)], ["a", "w", "c"])
 
 
 class Vocabulary:
@@ -659,10 +726,11 @@ class Vocabulary:
         return size
 
 
-def grow(ctx: list[np.ndarray], w: np.ndarray, learn: np.ndarray, p: np.ndarray, min_count: int, min_divergence: float, done: np.ndarray | None = None) -> np.ndarray:
+def grow(ctx: list[np.ndarray], w: np.ndarray, learn: np.ndarray, p: np.ndarray, min_count: int, min_divergence: float, done: np.ndarray | None = None, first: np.ndarray | None = None) -> np.ndarray:
     """Probabilities of the tokens ``w`` after their longest kept contexts.
 
-    ``done`` marks the tokens for which ``p`` has the context of one word already.
+    ``done`` marks the tokens for which ``p`` has the context of one word already; ``first`` numbers the words of ``ctx[0]``,
+    where they are numbered already.
 
     ``ctx`` has the words before each token, nearest first; ``learn`` marks the tokens to learn from and ``p`` starts
     as the root's probabilities. Level by level a context that was met ``min_count`` times is kept if its next
@@ -672,20 +740,19 @@ def grow(ctx: list[np.ndarray], w: np.ndarray, learn: np.ndarray, p: np.ndarray,
     """
     p = p.copy()
     live = np.arange(len(w))
-    group = np.zeros(len(w), np.uint64)
-    _, symbol = np.unique(w, return_inverse=True)
-    width = np.uint64(symbol.max(initial=0) + 1)
-    for c in ctx:
+    group = np.zeros(len(w), np.int64) if first is None else first
+    for level, c in enumerate(ctx):
         if not len(live):
             break
-        _, group = np.unique(mix(group[: len(live)] * _SALT + c[live]), return_inverse=True)
-        key = group.astype(np.uint64) * width + symbol[live].astype(np.uint64)
-        taught = learn[live]
-        seen, first, count = np.unique(key[taught], return_index=True, return_counts=True)
-        of = (seen // width).astype(np.int64)
+        if level or first is None:
+            group, _ = _dense(mix(group.astype(np.uint64) * _SALT + c[live]))
+        key, one = _dense(mix(group.astype(np.uint64) * _LAST + w[live]))
+        met = np.bincount(key, learn[live], len(one))
+        seen = np.flatnonzero(met)
+        of, count = group[one[seen]], met[seen]
         size = int(group.max()) + 1
         n, kinds = np.bincount(of, count, size), np.bincount(of, minlength=size)
-        q = p[live[taught][first]]
+        q = p[live[one[seen]]]
         gain = np.bincount(of, count * np.log(count / (n[of] * q)), size)
         keep = (n >= min_count) & (gain >= min_divergence)
         stays = (n >= min_count) & (kinds > 1)
@@ -694,17 +761,16 @@ def grow(ctx: list[np.ndarray], w: np.ndarray, learn: np.ndarray, p: np.ndarray,
             stays[group[done]] = True
             done = None
         mine = keep[group]
-        met = _look(seen, count, key[mine], 0)
         g, at = group[mine], live[mine]
-        p[at] = (met + kinds[g] * p[at]) / (n[g] + kinds[g])
+        p[at] = (met[key[mine]] + kinds[g] * p[at]) / (n[g] + kinds[g])
         stay = stays[group]
-        live, group = live[stay], group[stay].astype(np.uint64)
+        live, group = live[stay], group[stay]
     return p
 
 
 def suffix_tree(
     docs: DataFrame, key: str = "doc_id", text: str = "text", mod: int = 7, rest: int = 2, max_depth: int = 3, min_count: int = 2, min_divergence: float = 10.0, n_top: int = 1 << 18, chunk: int = 8_000_000,
-    hot_share: float = 1 / 1024,
+    hot_share: float = 1 / 1024, waves: int = 2,
 ) -> DataFrame:
     """Probabilistic suffix tree: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -717,11 +783,12 @@ def suffix_tree(
     it is one, are always kept as contexts and are dealt by the word before them too; what follows them is known from
     their pairs that were met ``min_count`` times, mixed with the root. The share is a number of the model, not of the
     cluster: scores don't depend on partitions, chunks or how rows are dealt. Nor on ``n_top``: that many words, and
-    four times as many pairs, are sent to all tasks, and the counts of the others to those that meet them.
+    four times as many pairs, are sent to all tasks, and the counts of the others to those that meet them. Buckets pass
+    in ``waves`` for the disk.
     """
     spark = docs.sparkSession
     held = _crc_rest("doc_id", mod) != rest
-    rows = _texts(docs, key, text).select("doc_id", "text", held.alias("learn"), F.lit(True).alias("mine"), F.lit(None).cast("string").alias("extra"))
+    rows = _texts(docs, key, text).select("doc_id", "text", held.alias("learn"), F.lit(None).cast("string").alias("extra"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -746,22 +813,21 @@ def suffix_tree(
         sent_hot = spark.sparkContext.broadcast(Hot(hot_size, paired, first, second, got["c"].to_numpy()))
         counts, at_hand = counts.unionByName(met.filter(F.col("c") < often)), pair_keys(first, second)
 
-    def score(ctx: list[np.ndarray], w: np.ndarray, taught: np.ndarray, mine: np.ndarray, told: Told) -> tuple[np.ndarray, ...]:
+    def score(ctx: list[np.ndarray], w: np.ndarray, taught: np.ndarray, told: Told) -> tuple[np.ndarray, ...]:
         p = sent.value.probability(w, told)
         hot = sent_hot.value.among(ctx[0]) if hot_size else np.zeros(len(w), bool)
         if hot.any():
             p[hot] = sent_hot.value.apply(ctx[0][hot], w[hot], p[hot], told)
-        p = grow(ctx, w, taught, p, min_count, min_divergence, hot)
+        c1, _ = _dense(ctx[0])
+        p = grow(ctx, w, taught, p, min_count, min_divergence, hot, c1)
         # every word but the start stands once before a token: its count is that of the tokens learned after it
-        _, c1 = np.unique(ctx[0], return_inverse=True)
         met = np.bincount(c1, taught)[c1]
         if hot.any():
             met[hot] = sent_hot.value.size[np.searchsorted(sent_hot.value.words, ctx[0][hot])]
         word = ctx[0] != _HIGH
-        return np.where(word, np.log10(met + 1.0), 0.0), np.log10(p), (word & (met > 0)).astype(np.int64)  # all are mine
+        return np.where(word, np.log10(met + 1.0), 0.0), np.log10(p), (word & (met > 0)).astype(np.int64)
 
-    deal = Deal(rows, max_depth, chunk, v.ranked, hot_words, at_hand)
-    done = stage(deal.summed(deal.buckets_of(rows, counts), score, [np.float64, np.float64, np.uint32]), "tree-scored")
+    done = stage(Deal(rows, max_depth, chunk, v.ranked, hot_words, at_hand).summed(rows, counts, score, [np.float64, np.float64, np.uint32], waves), "tree-scored")
     log_all = F.lit(float(np.log10(v.n + v.types + 1)))
     return done.select(
         "doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", (F.col("v2").cast("long") + int(ends > 0)).alias("n_known"), F.lit(v.n).cast("long").alias("train_tokens"),
