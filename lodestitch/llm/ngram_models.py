@@ -174,7 +174,7 @@ def kneser_ney(
     n_top: int = 1 << 18,
     chunk: int = 8_000_000,
     hot_share: float = 1 / 1024,
-    waves: int = 4,
+    waves: int = 3,
 ) -> DataFrame:
     """Kneser-Ney of ``order`` words: doc_id, lang, n_tokens, perplexity, threshold, kept.
 
@@ -293,7 +293,7 @@ def kneser_ney(
         return (np.log(p),)
 
     if types:
-        done = stage(Deal(rows, depth, chunk, v.ranked, hot_words, at_hand).summed(rows, counts, score, [np.float64], waves), "kn-scored")
+        done = stage(Deal(rows, depth, chunk, v.ranked, hot_words, at_hand, 2 * waves).summed(rows, counts, score, [np.float64], waves), "kn-scored")
     else:  # nothing to learn from: sizes alone
 
         def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,14 +398,15 @@ class Deal:
 
     ``rows`` are (doc_id, text, learn, extra): ``learn`` marks texts to learn from. Words are numbered by ``ranked``, the hashes of frequent words, most frequent first; all others keep their
     hash. Positions after ``hot`` words are dealt by the word before that too. A bucket is told the counts (a, w, c) of
-    what it asks for: those of its words without a number, and of its pairs of a hot word that aren't ``at_hand``.
+    what it asks for: those of its words without a number, and of its pairs of a hot word that aren't ``at_hand``. A
+    partition has ``share`` buckets.
     """
 
-    def __init__(self, rows: DataFrame, depth: int, chunk: int, ranked: np.ndarray, hot: np.ndarray, at_hand: np.ndarray):
+    def __init__(self, rows: DataFrame, depth: int, chunk: int, ranked: np.ndarray, hot: np.ndarray, at_hand: np.ndarray, share: int = 4):
         spark = rows.sparkSession
         self.kind, self.depth, self.chunk, self.hot = _kind(rows), depth, chunk, hot
         self.parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.buckets = 4 * self.parts
+        self.buckets = share * self.parts
         self.slots = None
         by_hash = np.argsort(ranked)
         self.ranks = spark.sparkContext.broadcast((ranked[by_hash], by_hash.astype(np.uint64)))
