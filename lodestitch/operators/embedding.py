@@ -50,6 +50,37 @@ def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return x @ y.T / np.sqrt(np.outer((x * x).sum(axis=1), (y * y).sum(axis=1)))
 
 
+def _singles(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosines of the rows' pairs in single floats, summed in turn with one rounding a step, as a fused loop does.
+
+    Products of singles are exact in doubles, so rounding each sum from there is that of the fused step.
+    """
+
+    def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(a), np.float32)
+        for k in range(a.shape[1]):
+            total = (a[:, k].astype(np.float64) * b[:, k] + total).astype(np.float32)
+        return total
+
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        return dot(x, y) / np.sqrt(dot(x, x) * dot(y, y))
+
+
+def over(x: np.ndarray, y: np.ndarray, threshold: float, later: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``x`` and ``y`` with a cosine strictly over ``threshold``; with ``later`` only those after ``x``'s row.
+
+    The product of the blocks decides all pairs but those within its rounding of the threshold, which ``_singles``
+    decides, so that no pair depends on the blocks' shapes.
+    """
+    c = _unit(x) @ _unit(y).T
+    margin = 4 * (x.shape[1] + 8) * float(np.finfo(np.float32).eps)
+    found = c > threshold - margin
+    at, bt = np.nonzero(np.triu(found, 1) if later else found)
+    near = np.flatnonzero(c[at, bt] <= threshold + margin)
+    drop = near[~(_singles(x[at[near]], y[bt[near]]) > threshold)]
+    return np.delete(at, drop), np.delete(bt, drop)
+
+
 def _flat(rows: pa.ListArray) -> np.ndarray:
     return rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
 
@@ -188,8 +219,7 @@ def _search(p: Search, threshold: float, same: bool) -> DataFrame:
         for batch in batches:
             for a, b, one in zip(*batch.columns, strict=True):
                 (ia, x), (ib, y) = ((r.values.field("id"), _flat(r.values.field("v"))) for r in (a, b))
-                c = _unit(x) @ _unit(y).T
-                at, bt = np.nonzero(np.triu(c > threshold, 1) if one.as_py() else c > threshold)
+                at, bt = over(x, y, threshold, one.as_py())
                 sim = np.round(np.minimum(_cosines(x, y)[at, bt], 1.0), 6) if len(at) else np.zeros(0)
                 yield pa.RecordBatch.from_arrays([ia.take(pa.array(at)), ib.take(pa.array(bt)), pa.array(sim)], ["hpo_id", "sct_id", "confidence"])
 

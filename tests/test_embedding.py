@@ -96,3 +96,21 @@ def test_four_places_by_binary_value(spark):
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "c double").select(_four_places("c")).collect()]
     want = [r[0] for r in duckdb.sql(f"SELECT round(v, 4) FROM (SELECT unnest({values}::DOUBLE[]) AS v)").fetchall()]
     assert got == want
+
+
+def test_pairs_at_the_threshold_are_those_of_sql(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from lodestitch.plans import alignment
+
+    # Two directions apart by about the angle of 0.3, turned together and scaled, so that rounding decides.
+    rng = np.random.default_rng(5)
+    u, w = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+    x = [u * s for s in rng.uniform(0.5, 2, 60)] + [(0.3 * u + np.sqrt(1 - 0.09) * w) * s for s in rng.uniform(0.5, 2, 60)]
+    frame(spark, range(120), x).select(F.col("id").alias("vec_id"), F.col("v").cast("array<float>").alias("embedding")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {tuple(r) for r in alignment.cosine_pairs_all(spark, str(tmp_path)).collect()}
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+        want = set(con.execute(alignment.ORACLE_SQL["cosine_pairs_all"]).fetchall())
+    near = {p for p in want if p[0] < 60 <= p[1]}
+    assert got == want and 0 < len(near) < 3600
