@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestitch.functions.storage import Scratch
 
+from . import ends
+
+#: A hierarchy of up to so many edges, whose ids take up to so many bytes as text, is held by every task.
+EDGES, EDGE_BYTES = 1 << 21, 64 << 20
+
 
 def inner(up: DataFrame, node: str = "node", parent: str = "parent") -> DataFrame:
     """The edges above nodes that are parents themselves: all that a climb needs after its first step."""
@@ -26,13 +36,20 @@ def search(pairs: DataFrame, edges: DataFrame, trace: list[dict] | None = None)
     end has an ancestor to climb from. Ids that no open pair needs stop climbing. A round writes the ancestors met so
     far and the open pairs, and drops what it supersedes. ``trace`` gets each round's open pairs and
     ancestors.
+
+    Where the hierarchy is small enough (EDGES, EDGE_BYTES) and no ``trace`` is asked for, each task holds it and
+    searches its own pairs by the same rule (``ends.distances``), without rounds.
     """
     spark = pairs.sparkSession
     scratch = Scratch(spark, "distances")
     distinct = scratch.keep(pairs.select("a", "b").distinct(), "pairs")
     up = scratch.keep(edges.select(F.col("child").alias("node"), "parent").filter("node != parent").distinct(), "edges")
-    above = scratch.keep(inner(up), "inner")
     done = [distinct.filter("a = b").withColumn("distance", F.lit(0).cast("long")), distinct.filter("a IS NULL OR b IS NULL").withColumn("distance", F.lit(None).cast("long"))]
+    if trace is None and _at_hand(distinct, up):
+        found = scratch.keep(_held(distinct.filter("a != b"), up), "found")
+        scratch.drop(up)
+        return done[0].unionByName(done[1]).unionByName(found)
+    above = scratch.keep(inner(up), "inner")
     over = up.select("parent").distinct()
     state = distinct.filter("a != b")
     for c in "ab":
@@ -75,6 +92,35 @@ def search(pairs: DataFrame, edges: DataFrame, trace: list[dict] | None = None)
     return out
 
 
+def _at_hand(pairs: DataFrame, up: DataFrame) -> bool:
+    """Whether a task can hold ``up``, and its ids are numbers or text of the pairs' type."""
+    kinds = {df.schema[c].dataType.simpleString() for df, c in ((pairs, "a"), (pairs, "b"), (up, "node"), (up, "parent"))}
+    if len(kinds) > 1 or not kinds <= {"int", "bigint", "string"}:
+        return False
+    n, size = up.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col("node").cast("string")) + F.octet_length(F.col("parent").cast("string")))).first()
+    return n <= EDGES and (size or 0) <= EDGE_BYTES
+
+
+def _held(pairs: DataFrame, up: DataFrame) -> DataFrame:
+    """``search`` of different ids, each task holding the hierarchy."""
+    spark = pairs.sparkSession
+    edges = up.select("node", "parent").toArrow()
+    ids = pc.unique(pa.chunked_array([*edges["node"].chunks, *edges["parent"].chunks], edges.schema.field("node").type))
+    child, parent = (pc.index_in(edges[c], value_set=ids).to_numpy() for c in ("node", "parent"))
+    shared = spark.sparkContext.broadcast((ids, ends.hierarchy(len(ids), child, parent)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, h = shared.value
+        for batch in batches:
+            a, b = (pc.fill_null(pc.index_in(c, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
+            d, both = np.full(len(a), -1, np.int64), (a >= 0) & (b >= 0)
+            d[both] = ends.distances(h, a[both], b[both])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d, mask=d < 0)], names=["a", "b", "distance"])
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    return pairs.repartition(4 * spark.sparkContext.defaultParallelism, "a", "b").mapInArrow(run, f"a {kind}, b {kind}, distance long")
+
+
 def climb(ids: DataFrame, edges: DataFrame) -> DataFrame:
     """(start, node, steps): each distinct ``id`` with itself at 0 and all its ancestors by their fewest steps.
 

@@ -3,10 +3,12 @@
 import json
 import random
 
+import numpy as np
 import pytest
 
-from lodestitch.operators import distances, hierarchy, review
+from lodestitch.operators import distances, ends, hierarchy, review
 from lodestitch.operators.answers import AnswerStore, SettingsError
+from test_sizes import shuffled
 
 
 upper = lambda prompts: [p.upper() for p in prompts]  # noqa: E731  (sent to workers by value)
@@ -136,3 +138,39 @@ def test_only_what_open_pairs_need_climbs(spark):
     got = distances.search(spark.createDataFrame([(-1, -2), (-3, -1)], "a long, b long"), chain.unionByName(leaves), trace).collect()
     assert {r.distance for r in got} == {2} and len(trace) == 1 and trace[0]["ancestors"] == 6
     assert distances.search(chain.selectExpr("child AS a", "parent AS b").limit(0), chain).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_ends_equal_a_plain_search(seed, monkeypatch):
+    """Cycles, hubs with many children and chains; in halves, and with descents that are given up."""
+    monkeypatch.setattr(ends, "MET", 300 if seed % 2 else 4_000_000)
+    rnd, n = random.Random(seed), 90
+    edges = {(rnd.randrange(max(1, min(i, 10))) if seed < 3 else rnd.randrange(n), i) for i in range(n) for _ in range(2)} | {(i - 1, i) for i in range(60, n)}
+    edges = sorted((p, c) for p, c in edges if p != c)
+    pairs = [(rnd.randrange(n), rnd.randrange(n)) for _ in range(400)]
+    h = ends.hierarchy(n, np.array([c for _, c in edges]), np.array([p for p, _ in edges]))
+    got = ends.distances(h, np.array([a for a, _ in pairs]), np.array([b for _, b in pairs])).tolist()
+    assert got == [-1 if d is None else d for d in (plain(edges, a, b) for a, b in pairs)]
+
+
+def test_ways_with_one_long_side_are_found():
+    """A chain of which each id has a second parent in a hub's tree far above: the descents must lower what both met first."""
+    chain = [(i, i + 1) for i in range(40)]
+    over = [(100 + i // 4, 100 + i) for i in range(4, 400)] + [(100 + rnd, i) for i, rnd in enumerate(random.Random(1).choices(range(100, 400), k=41))]
+    edges = [(p, c) for p, c in chain + over if p != c]
+    h = ends.hierarchy(500, np.array([c for _, c in edges]), np.array([p for p, _ in edges]))
+    pairs = [(a, b) for a in range(41) for b in range(41)]
+    assert ends.distances(h, *np.array(pairs).T).tolist() == [plain(edges, a, b) for a, b in pairs]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_held_hierarchies_need_no_rounds(spark, kind, monkeypatch):
+    n = 3000
+    p = spark.range(n).selectExpr("id AS a", f"(id * 5 + 1) % {n} AS b").unionByName(spark.createDataFrame([(5, None), (-7, 3), (-7, -7)], "a long, b long"))
+    e = spark.range(n).selectExpr(f"explode(array((id * 7 + 3) % {n}, id div 2)) AS parent", "id AS child")
+    p, e = p.selectExpr(*(f"CAST({c} AS {kind}) AS {c}" for c in "ab")), e.selectExpr(*(f"CAST({c} AS {kind}) AS {c}" for c in ("parent", "child")))
+    with shuffled(spark, 1_000_000):
+        got = {(r.a, r.b): r.distance for r in distances.search(p, e).collect()}
+    assert len(got) == n + 3
+    monkeypatch.setattr(distances, "EDGES", 0)
+    assert got == {(r.a, r.b): r.distance for r in distances.search(p, e).collect()}
