@@ -9,22 +9,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestitch.constants import CONFIDENCE_MAX, REVIEW_REASON
+from lodestitch.functions.storage import Scratch
 from lodestitch.functions.text import children_text, quote_list
 
 from .answers import CHUNK, AnswerStore, prompt_key
 
 PAIR = ["hpo_id", "sct_id"]
+#: What prompts say about targets is sent to all tasks up to so many bytes.
+TOLD_BYTES = 128 << 20
 ANSWER = "struct<rationale:string,decision:string,confidence:string>"
 _LISTS = ("labels", "synonyms", "definitions", "comments", "parents", "children")
-GROUP = "struct<mappings:array<struct<sct_id:string,rationale:string,decision:string,confidence:string>>>"
+_CANDIDATE = "struct<sct_id:string,rationale:string,decision:string,confidence:string>"
+GROUP = f"struct<mappings:array<{_CANDIDATE}>>"
 
 
 def select_pairs(coded: DataFrame) -> DataFrame:
-    """(hpo_id, sct_id, validity, review_reason, n_sct, llm_pass): reviewable pairs; one candidate goes to pass 1, more to pass 2."""
-    p = coded.filter(F.col("validity").isin(*REVIEW_REASON)).groupBy(*PAIR).agg(F.max("validity").alias("validity"))
-    n = p.groupBy("hpo_id").agg(F.count(F.lit(1)).alias("n_sct"))
+    """(hpo_id, sct_id, validity, review_reason, n_sct, llm_pass): reviewable pairs; one candidate goes to pass 1, more to pass 2.
+
+    Rows are dealt once, by their concept; pairs are told apart and counted where they lie.
+    """
+    p = coded.filter(F.col("validity").isin(*REVIEW_REASON)).select(*PAIR, "validity").repartition("hpo_id").groupBy(*PAIR).agg(F.max("validity").alias("validity"))
+    p = p.filter("hpo_id IS NOT NULL").withColumn("n_sct", F.count(F.lit(1)).over(Window.partitionBy("hpo_id")))
     reason = F.create_map(*[F.lit(x) for kv in REVIEW_REASON.items() for x in kv])
-    return p.join(n, "hpo_id").select(*PAIR, "validity", F.try_element_at(reason, F.col("validity").cast("int")).alias("review_reason"), "n_sct", F.when(F.col("n_sct") == 1, 1).otherwise(2).alias("llm_pass"))
+    return p.select(*PAIR, "validity", F.try_element_at(reason, F.col("validity").cast("int")).alias("review_reason"), "n_sct", F.when(F.col("n_sct") == 1, 1).otherwise(2).alias("llm_pass"))
 
 
 def describe(concepts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -68,25 +75,39 @@ def _untold(text: Callable[..., Column]) -> Column:
 
 
 def prompts(selected: DataFrame, source: DataFrame, target: DataFrame, reach: DataFrame) -> DataFrame:
-    """(hpo_id, llm_pass, prompt): one per pair in pass 1, one per concept with all its candidates in pass 2."""
-    h, t = _told(source, _source, "hpo_id", "src"), _told(target, _target, "sct_id", "tgt")
-    rel = related_text(selected, target, reach)
-    p = selected.join(rel, PAIR, "left").join(t, "sct_id", "left")
-    block = F.concat_ws("\n", _lines(("ID", F.col("sct_id").cast("string"))), F.coalesce("tgt", _untold(_target)), _lines(("Related candidates", F.coalesce("related", F.lit("None"))), ("Review reason", F.col("review_reason"))))
-    p = p.select("hpo_id", "llm_pass", F.struct(-F.col("validity"), F.col("sct_id"), block.alias("b")).alias("b"))
-    g = p.groupBy("hpo_id", "llm_pass").agg(F.sort_array(F.collect_list("b")).alias("b")).join(h, "hpo_id", "left")
-    return g.select("hpo_id", "llm_pass", F.concat(F.coalesce("src", _untold(_source)), F.lit("\n\n"), F.array_join(F.col("b.b"), "\n\n---\n\n")).alias("prompt"))
-
-
-def related_text(selected: DataFrame, target: DataFrame, reach: DataFrame) -> DataFrame:
-    """(hpo_id, sct_id, related): which other candidates a candidate is broader or narrower than."""
-    from .hierarchy import related_candidates
+    """(hpo_id, llm_pass, prompt): one per pair in pass 1, one per concept with all its candidates in pass 2.
 
-    r = related_candidates(selected, reach)
-    both = r.select("hpo_id", F.col("broader").alias("sct_id"), F.lit("broader than ").alias("k"), F.col("narrower").alias("o")).unionByName(r.select("hpo_id", F.col("narrower").alias("sct_id"), F.lit("narrower than ").alias("k"), F.col("broader").alias("o")))
-    both = both.join(target.select(F.col("concept_id").alias("o"), quote_list(F.slice("labels", 1, 1)).alias("l")), "o", "left")
-    text = F.concat("k", F.col("o").cast("string"), F.lit(" ("), F.coalesce("l", F.lit('"None"')), F.lit(")"))
-    return both.groupBy(*PAIR).agg(F.array_join(F.sort_array(F.collect_list(F.struct("o", text.alias("t"))))["t"], "; ").alias("related"))
+    What is said about a target, and what lies above it, is written once; where it is small (TOLD_BYTES) each task
+    holds it, so that only pairs are dealt, by their concept, and no text.
+    """
+    h = _told(source, _source, "hpo_id", "src")
+    over = reach.filter("ancestor != descendant").groupBy(F.col("descendant").alias("sct_id")).agg(F.collect_set("ancestor").alias("over"))
+    said = target.select(F.col("concept_id").alias("sct_id"), _target(**{c: F.col(c) for c in _LISTS}).alias("tgt"), quote_list(F.slice("labels", 1, 1)).alias("l"))
+    t = Scratch(selected.sparkSession, "told").keep(said.join(over, "sct_id", "full"), "targets")
+    size = F.octet_length(F.coalesce("tgt", F.lit(""))) + F.octet_length(F.coalesce(F.array_join(F.col("over").cast("array<string>"), " "), F.lit(""))) + 64
+    small = (t.agg(F.sum(size)).first()[0] or 0) <= TOLD_BYTES
+    p = selected.select("hpo_id", "sct_id", "llm_pass", "validity", "review_reason").join(F.broadcast(t) if small else t, "sct_id", "left")
+    g = p.groupBy("hpo_id", "llm_pass").agg(F.sort_array(F.collect_list(F.struct((-F.col("validity")).alias("v"), "sct_id", "tgt", "review_reason", "over", "l"))).alias("c"))
+    ids = F.col("c.sct_id")
+    links = F.flatten(F.transform("c", lambda x: F.transform(F.array_intersect(F.coalesce(x["over"], F.slice(ids, 1, 0)), ids), lambda o: F.struct(o.alias("broader"), x["sct_id"].alias("narrower")))))
+    g = g.withColumn("links", links)
+    g = g.withColumn("names", F.when(F.size("links") > 0, F.transform("c", lambda x: F.struct(x["sct_id"].alias("o"), F.coalesce(x["l"], F.lit('"None"')).alias("l")))))
+    block = lambda x: F.concat_ws("\n", _lines(("ID", x["sct_id"].cast("string"))), F.coalesce(x["tgt"], _untold(_target)), _lines(("Related candidates", _related(x["sct_id"])), ("Review reason", x["review_reason"])))
+    g = g.withColumn("b", F.transform("c", block)).select("hpo_id", "llm_pass", "b").join(h, "hpo_id", "left")
+    return g.select("hpo_id", "llm_pass", F.concat(F.coalesce("src", _untold(_source)), F.lit("\n\n"), F.array_join("b", "\n\n---\n\n")).alias("prompt"))
+
+
+def _related(own: Column) -> Column:
+    """Which other candidates of a concept a candidate is broader or narrower than, by its ``links`` and ``names``."""
+
+    def said(o: Column, kind: str) -> Column:
+        name = F.get(F.filter("names", lambda y: y["o"] == o), F.lit(0))["l"]
+        return F.struct(o.alias("o"), F.concat(F.lit(f"{kind} than "), o.cast("string"), F.lit(" ("), name, F.lit(")")).alias("t"))
+
+    wide = F.transform(F.filter("links", lambda k: k["broader"] == own), lambda k: said(k["narrower"], "broader"))
+    narrow = F.transform(F.filter("links", lambda k: k["narrower"] == own), lambda k: said(k["broader"], "narrower"))
+    both = F.sort_array(F.concat(wide, narrow))
+    return F.when(F.size(both) > 0, F.array_join(F.transform(both, lambda r: r["t"]), "; ")).otherwise("None")
 
 
 def generate(asked: DataFrame, model: Callable[[list[str]], list[str]], settings: str, store: str | None = None, chunk: int = CHUNK) -> DataFrame:
@@ -125,10 +146,21 @@ def parse_pair(answers: DataFrame) -> DataFrame:
 
 
 def parse_group(selected: DataFrame, answers: DataFrame) -> DataFrame:
-    """Decisions of pass 2 by target id; of repeated ids the last counts, missing ones are rejected."""
-    a = answers.select("hpo_id", F.posexplode(F.from_json("answer", GROUP)["mappings"])).select("hpo_id", F.col("col.sct_id").alias("sct_id"), "pos", "col")
-    last = a.groupBy(*PAIR).agg(F.max_by("col", "pos").alias("a"))
-    return selected.join(last, PAIR, "left").select(*selected.columns, *_parsed(F.col("a")))
+    """Decisions of pass 2 by target id; of repeated ids the last counts, missing ones are rejected.
+
+    Pairs and answers meet by their concept, the answers as they were given, and are told apart where they lie.
+    """
+    kind = selected.schema["sct_id"].dataType
+    numbered = F.transform(F.from_json("answer", GROUP)["mappings"], lambda x, i: F.struct(x["sct_id"].try_cast(kind).alias("sct_id"), i.alias("pos"), x.alias("a")))
+    got = answers.select("hpo_id", "answer").repartition("hpo_id").select("hpo_id", numbered.alias("m")).groupBy("hpo_id").agg(F.flatten(F.collect_list("m")).alias("m"))
+    pair = F.struct(*selected.columns)
+    every = selected.groupBy("hpo_id").agg(F.collect_list(pair).alias("s")).join(got, "hpo_id", "left")
+    none = F.slice("s", 1, 0)
+    asked = F.transform("s", lambda x: F.struct(x["sct_id"].alias("sct_id"), x.alias("s"), F.lit(None).cast("int").alias("pos"), F.lit(None).cast(_CANDIDATE).alias("a")))
+    told = F.transform(F.filter("m", lambda y: y["sct_id"].isNotNull()), lambda y: F.struct(y["sct_id"].alias("sct_id"), F.get(none, F.lit(0)).alias("s"), y["pos"].alias("pos"), y["a"].alias("a")))
+    met = every.select("hpo_id", F.explode(F.when(F.col("m").isNull(), asked).otherwise(F.concat(asked, told))).alias("x")).select("hpo_id", "x.*")
+    met = met.groupBy(*PAIR).agg(F.collect_list("s").alias("s"), F.max_by("a", "pos").alias("a"))
+    return met.select(F.explode("s").alias("s"), "a").select("s.*", *_parsed(F.col("a")))
 
 
 def merge(coded: DataFrame, reviewed: DataFrame) -> DataFrame:
