@@ -17,8 +17,8 @@ from lodestitch.functions.storage import Scratch
 
 #: Vectors of one block on either side: a product of two blocks takes 4 MB.
 BLOCK = 1024
-#: Source vectors are broadcast only up to this many bytes; beyond it target blocks are repeated per source block.
-BROADCAST_BYTES = 64 << 20
+#: Source vectors are broadcast only up to this many bytes; beyond it both sides are dealt in tiles of so many blocks.
+BROADCAST_BYTES, TILE = 64 << 20, 64
 #: Vectors that stand for neighbourhoods, at most; and shells of equal angle around each.
 PIVOTS, SHELLS = 64, 16
 #: Angles are widened by so much, over the rounding of single floats.
@@ -66,6 +66,14 @@ def _singles(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return dot(x, y) / np.sqrt(dot(x, x) * dot(y, y))
 
 
+def _confidences(x: np.ndarray, y: np.ndarray, at: np.ndarray, bt: np.ndarray) -> np.ndarray:
+    """The same for some pairs: all products at once only where these are many."""
+    if 8 * len(at) > len(x) * len(y):
+        return _cosines(x, y)[at, bt]
+    x, y = x.astype(np.float64), y.astype(np.float64)
+    return np.einsum("ij,ij->i", x[at], y[bt]) / np.sqrt((x * x).sum(axis=1)[at] * (y * y).sum(axis=1)[bt])
+
+
 def over(x: np.ndarray, y: np.ndarray, threshold: float, later: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Rows of ``x`` and ``y`` with a cosine strictly over ``threshold``; with ``later`` only those after ``x``'s row.
 
@@ -151,7 +159,7 @@ def least_angles(left: list[Group], right: list[Group], points: np.ndarray) -> n
 
 
 class Search(NamedTuple):
-    """Both sides in groups, and which pairs of groups may hold a match."""
+    """Both sides in groups, which pairs of groups may hold a match, and whether no side has an id twice."""
 
     source: DataFrame
     target: DataFrame
@@ -159,6 +167,7 @@ class Search(NamedTuple):
     right: list[Group]
     open: np.ndarray
     width: int
+    single: bool
 
 
 def _blocks_of(g: Group) -> int:
@@ -172,12 +181,13 @@ def _plan(source: DataFrame, target: DataFrame | None, threshold: float) -> Sear
     points = pivots(s, min(PIVOTS, max(1, math.isqrt(n) // 2)))
     if not points.size:
         empty = s.limit(0).selectExpr("id", "v", "0 AS pivot", "0 AS shell", "0D AS angle")
-        return Search(empty, empty, [], [], np.zeros((0, 0), bool), width)
+        return Search(empty, empty, [], [], np.zeros((0, 0), bool), width, True)
     a = scratch.keep(grouped(s, points), "source")
     b = a if target is None else scratch.keep(grouped(_clean(target), points), "target")
     left = groups(a)
     right = left if target is None else groups(b)
-    return Search(a, b, left, right, least_angles(left, right, points) <= math.acos(min(1, max(-1, threshold))) + SLACK, width)
+    single = all(x.groupBy("id").count().filter("count > 1").isEmpty() for x in ((a,) if target is None else (a, b)))
+    return Search(a, b, left, right, least_angles(left, right, points) <= math.acos(min(1, max(-1, threshold))) + SLACK, width, single)
 
 
 def skipped(source: DataFrame, target: DataFrame | None = None, threshold: float = COSINE_THRESHOLD) -> DataFrame:
@@ -196,38 +206,59 @@ def _blocked(df: DataFrame, known: list[Group], prefix: str) -> DataFrame:
     return rows.groupBy(F.col("g").alias(f"{prefix}g"), F.col("b").alias(f"{prefix}b")).agg(F.collect_list("x").alias(prefix))
 
 
-def _best(found: DataFrame) -> DataFrame:
-    best = found.groupBy("hpo_id", "sct_id").agg(F.max("confidence").alias("confidence"))
+def _best(found: DataFrame, single: bool) -> DataFrame:
+    """The best of each pair; where ids are single, each pair was found once and isn't moved."""
+    best = found if single else found.groupBy("hpo_id", "sct_id").agg(F.max("confidence").alias("confidence"))
     return best.select("hpo_id", "sct_id", F.lit("embedding").alias("attribute"), "confidence")
 
 
+def _tiled(p: Search, left: DataFrame, right: DataFrame, allowed: np.ndarray) -> DataFrame:
+    """Blocks that may match, side by side: target blocks go once to each tile of TILE source blocks that they may match.
+
+    A source tile goes to as many lots of target blocks as there are tiles, so a side is moved once a tile of the
+    other, not once a block.
+    """
+    spark = left.sparkSession
+    first = np.cumsum([0] + [_blocks_of(g) for g in p.left])
+    tiles = lambda i: range(int(first[i]) // TILE, (int(first[i + 1]) - 1) // TILE + 1)
+    meets = [(j, np.flatnonzero(allowed[:, j]).tolist()) for j in range(len(p.right))]
+    meets = spark.createDataFrame([(j, m, sorted({t for i in m for t in tiles(i)})) for j, m in meets if m], "tg int, m array<int>, tiles array<int>")
+    starts = spark.createDataFrame([(i, int(x)) for i, x in enumerate(first[:-1])], "sg int, first long")
+    lots = max(1, math.ceil(sum(map(_blocks_of, p.right)) / TILE))
+    right = right.join(F.broadcast(meets), "tg").withColumn("lot", F.pmod(F.xxhash64("tg", "tb"), F.lit(lots))).withColumn("tile", F.explode("tiles")).drop("tiles")
+    left = left.join(F.broadcast(starts), "sg").withColumn("tile", F.floor((F.col("first") + F.col("sb")) / TILE).cast("int")).withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lots - 1).cast("long")))).drop("first")
+    return right.join(left, ["tile", "lot"]).filter(F.array_contains("m", F.col("sg")))
+
+
 def _search(p: Search, threshold: float, same: bool) -> DataFrame:
     """The open block pairs, multiplied. With ``same`` each pair of blocks once and each pair of rows by ascending id."""
     spark = p.source.sparkSession
     left, right = _blocked(p.source, p.left, "s"), _blocked(p.target, p.right, "t")
     allowed = p.open & (np.tri(*p.open.shape, dtype=bool).T if same else True)
-    # Which source groups a target group has to meet, with their blocks: at most the square of the groups.
-    meets = [(j, [(i, _blocks_of(p.left[i])) for i in np.flatnonzero(allowed[:, j]).tolist()]) for j in range(len(p.right))]
-    meets = spark.createDataFrame([x for x in meets if x[1]], "tg int, m array<struct<sg:int,n:int>>")
-    right = right.join(F.broadcast(meets), "tg").select("tg", "tb", "t", F.inline("m")).withColumn("sb", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    if same:
-        right = right.filter("sg < tg OR sb <= tb")
-    small = sum(g.n for g in p.left) * p.width * 4 <= BROADCAST_BYTES
-    met = right.join(F.broadcast(left) if small else left, ["sg", "sb"]).select("s", "t", (F.col("sg") == F.col("tg")) & (F.col("sb") == F.col("tb")) if same else F.lit(False))
+    if sum(g.n for g in p.left) * p.width * 4 <= BROADCAST_BYTES:
+        # Which source groups a target group has to meet, with their blocks: at most the square of the groups.
+        meets = [(j, [(i, _blocks_of(p.left[i])) for i in np.flatnonzero(allowed[:, j]).tolist()]) for j in range(len(p.right))]
+        meets = spark.createDataFrame([x for x in meets if x[1]], "tg int, m array<struct<sg:int,n:int>>")
+        right = right.join(F.broadcast(meets), "tg").select("tg", "tb", "t", F.inline("m")).withColumn("sb", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        met = right.join(F.broadcast(left), ["sg", "sb"])
+    else:
+        met = _tiled(p, left, right, allowed)
+    one = (F.col("sg") == F.col("tg")) & (F.col("sb") == F.col("tb")) if same else F.lit(False)
+    met = (met.filter("sg < tg OR sb <= tb") if same else met).select("s", "t", one.alias("one"))
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, one in zip(*batch.columns, strict=True):
                 (ia, x), (ib, y) = ((r.values.field("id"), _flat(r.values.field("v"))) for r in (a, b))
                 at, bt = over(x, y, threshold, one.as_py())
-                sim = np.round(np.minimum(_cosines(x, y)[at, bt], 1.0), 6) if len(at) else np.zeros(0)
+                sim = np.round(np.minimum(_confidences(x, y, at, bt), 1.0), 6) if len(at) else np.zeros(0)
                 yield pa.RecordBatch.from_arrays([ia.take(pa.array(at)), ib.take(pa.array(bt)), pa.array(sim)], ["hpo_id", "sct_id", "confidence"])
 
     schema = f"hpo_id {p.source.schema['id'].dataType.simpleString()}, sct_id {p.target.schema['id'].dataType.simpleString()}, confidence double"
     found = met.mapInArrow(multiply, schema)
     if same:
         found = found.filter("hpo_id != sct_id").select(F.least("hpo_id", "sct_id").alias("hpo_id"), F.greatest("hpo_id", "sct_id").alias("sct_id"), "confidence")
-    return _best(found)
+    return _best(found, p.single)
 
 
 def cosine_join(source: DataFrame, target: DataFrame, threshold: float = COSINE_THRESHOLD) -> DataFrame:

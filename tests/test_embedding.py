@@ -114,3 +114,21 @@ def test_pairs_at_the_threshold_are_those_of_sql(spark, tmp_path):
         want = set(con.execute(alignment.ORACLE_SQL["cosine_pairs_all"]).fetchall())
     near = {p for p in want if p[0] < 60 <= p[1]}
     assert got == want and 0 < len(near) < 3600
+
+
+def test_blocks_move_once_a_tile_and_pairs_not_at_all(spark, monkeypatch):
+    from test_sizes import shuffled
+
+    monkeypatch.setattr(embedding, "BLOCK", 16)
+    monkeypatch.setattr(embedding, "TILE", 8, raising=False)
+    monkeypatch.setattr(embedding, "BROADCAST_BYTES", 0)
+    x = np.random.default_rng(4).normal(size=(1500, 24))
+    want = {(i, j) for i, j in products(x, x, 0.2) if i < j}
+    df = frame(spark, range(1500), x).cache()
+    with shuffled(spark, 4_000_000):
+        got = [(r.hpo_id, r.sct_id) for r in embedding.cosine_self_join(df, 0.2).collect()]
+    assert len(got) == len(want) > 100_000 and set(got) == want
+    twice = df.unionByName(df.filter("id < 10").selectExpr("id", "transform(v, e -> -e) AS v"))
+    pairs = [(r.hpo_id, r.sct_id) for r in embedding.cosine_self_join(twice, 0.2).collect()]
+    both = want | {(i, j) for i in range(10) for j in range(i + 1, 1500) if (-x[i] @ x[j] * (1 if j > 9 else np.inf)) / np.sqrt(x[i] @ x[i] * (x[j] @ x[j])) > 0.2}
+    assert len(pairs) == len(set(pairs)) and {p for p in pairs if p[1] > 9} == {p for p in both if p[1] > 9}
